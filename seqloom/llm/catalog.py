@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from seqloom.llm import bpe, mixing
+from seqloom.llm import bpe, langid, mixing
 
-_MODULES = (mixing, bpe)
+_MODULES = (mixing, bpe, langid)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
