@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from seqloom.llm import bpe, langid, mixing, quality
+from seqloom.llm import bpe, langid, mixing, quality, topk
 
-_MODULES = (mixing, bpe, langid, quality)
+_MODULES = (mixing, bpe, langid, quality, topk)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
