@@ -11,7 +11,7 @@ which holds at most QUERIES queries and one bounded part of the candidates; each
 parts' lists are merged by a window on the query.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
-vectors of another length than the query's share no product and are no candidates for it; ties go to the smaller id;
+vectors of another length than the query's share no product and are no candidates for it; a score beyond a long is the nearest long; ties go to the smaller id;
 repeated rows are candidates each; fewer than k candidates give fewer rows; an empty table gives an empty result; other
 columns take no part.
 """
@@ -45,14 +45,14 @@ def exact(q: np.ndarray, x: np.ndarray, safe: bool) -> np.ndarray:
     """Row-wise integer products. safe: no sum leaves the integers that doubles hold."""
     if safe:
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, s)) for r, s in zip(q, x)], dtype=object)
+    return np.array([min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(r, s)))) for r, s in zip(q, x)], np.int64)
 
 
 def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k best of x for each of q: query numbers, ids, scores; and how many pairs were scored exactly."""
     nq, dim = q.shape
     safe = bool(dim * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**52)
-    out_q, out_id, out_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if safe else object)
+    out_q, out_id, out_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     bar = np.full(nq, -np.inf)  # the k-th best score so far
     levels = [r for r in RATIOS if r < dim]
     sq = {r: segments(q, r) for r in levels}
