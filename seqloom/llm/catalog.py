@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from seqloom.llm import bpe, html, langid, mixing, quality, topk
+from seqloom.llm import bpe, html, langid, mixing, neardup, quality, topk
 
-_MODULES = (mixing, bpe, html, langid, quality, topk)
+_MODULES = (mixing, bpe, html, neardup, langid, quality, topk)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in _MODULES for k, f in m.ORACLE.items()}

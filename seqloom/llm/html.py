@@ -5,7 +5,7 @@ block-level tags (with class names). Of each path: text length per block, punctu
 outside links. A block's values are smoothed with its neighbours', fused as length * (1 + punctuation) * unlinked
 share, and averaged over its path; paths of at least SHARE of the best path's value are content paths. The article is
 the innermost article or main element that holds most of the content paths' text, or else their common ancestor. All
-its blocks are its text, save those in menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag,
+its blocks are its text, and the headline before it, save those in menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag,
 or by the name of a class, id or role) and lists of links. Tags of other languages of mark-up, scripts and styles are
 never text.
 
@@ -168,9 +168,17 @@ def main_text(page: str | None) -> str:
     # numbers grow inwards: the innermost article, or main, with most of the content; else the innermost such element
     most = [n for n, m in mass.items() if m >= 0.5 * total and name_of[n] in ("article", "main")] or [n for n, m in mass.items() if m >= 0.9 * total]
     root = max(most, default=None)
+    within = [root is None or any(n == root for n, _ in b.inside) for b in found]
+    # a headline may stand just before the element that holds the paragraphs
+    first = within.index(True)
+    if name_of.get(root) not in ("article", "main"):
+        for i in range(first - 1, -1, -1):
+            if found[i].inside and found[i].inside[-1][1] == "h1":
+                within[i] = True
+                break
     out = []
-    for b in found:
-        if root is not None and all(n != root for n, _ in b.inside):
+    for b, inside in zip(found, within):
+        if not inside:
             continue
         if b.path not in good and b.linked > 0.5 * len(b.text):
             continue
