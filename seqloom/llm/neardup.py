@@ -8,8 +8,9 @@ are compared on their full sets; only links that hold there count.
 
 A posting list of m classes isn't turned into its pairs. First each member is compared with a few heads of its list,
 which are found by aggregation; links found make components. Then only lists that still hold several components are
-read, in blocks of bounded size, and only pairs of different components that reach MATCHES are compared, each in the
-first list that both share (later meetings are skipped). So every pair that meets is either compared or already
+read, in blocks of bounded size: twice, each member is compared with the likeliest partners of other components only,
+which joins what belongs together, and at last all pairs of different components that reach MATCHES are compared, each
+in the first list that both share (later meetings are skipped). So every pair that meets is either compared or already
 connected, and no link between components is lost.
 
 Components come from repeated contraction: every node joins the root that its smallest neighbours lead to, until no
@@ -192,8 +193,9 @@ def head_pairs(postings: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that meet in a list and have at least MATCHES equal coordinates."""
+def rest_pairs(postings: DataFrame, labels: DataFrame, best: int | None = None) -> DataFrame:
+    """(a, b): pairs of different components that meet in a list and have at least MATCHES equal coordinates.
+    best: of each member, only so many partners with the most equal coordinates."""
     p = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     # blocks of a long list meet in pairs: member of block i goes to (i, j) and (j, i) for every j
@@ -226,16 +228,22 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(held)
             block, ids, label, (head, low) = t["i"].to_numpy(), t["id"].to_numpy(), t["label"].to_numpy(), _unpacked(t["low"])
             coord = key >> 32
-            for r in range(len(ids) - 1):
-                # pairs between the two blocks, or within the one
-                good = label[r + 1 :] != label[r]
+            for r in range(len(ids)):
+                # pairs between the two blocks, or within the one; each once, unless the best are wanted
+                good = label != label[r]
                 if x != y:
-                    good &= block[r + 1 :] != block[r]
-                o = np.flatnonzero(good) + r + 1
+                    good &= block != block[r]
+                if not best:
+                    good[:r] = False
+                o = np.flatnonzero(good)
                 if len(o):
                     same = head[o] == head[r]
-                    # pairs that share an earlier coordinate of the prefix have met there
-                    o = o[(same.sum(axis=1) + (low[o] == low[r]).sum(axis=1) >= MATCHES) & ~same[:, :coord].any(axis=1)]
+                    n = same.sum(axis=1) + (low[o] == low[r]).sum(axis=1)
+                    if best:
+                        o = o[np.argsort(-n, kind="stable")[:best]][: int((n >= MATCHES).sum())]
+                    else:
+                        # pairs that share an earlier coordinate of the prefix have met there
+                        o = o[(n >= MATCHES) & ~same[:, :coord].any(axis=1)]
                     out_a += [int(ids[r])] * len(o)
                     out_b += ids[o].tolist()
             if len(out_a) > 50_000:
@@ -255,11 +263,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     first = confirmed(stored(head_pairs(postings)), docs, id_col, text)
     first = cut(first)
     labels = components(first)
-    second = confirmed(stored(rest_pairs(postings, labels)), docs, id_col, text)
+    for best in (2, 2, None):
+        links = cut(confirmed(stored(rest_pairs(postings, labels, best)), docs, id_col, text))
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
     # an id with several texts ties their classes together
     several = named.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("id")
     ties = named.join(several, "id", "left_semi").select(F.col("id").alias("a"), "digest").join(classes.select("digest", F.col("id").alias("b")), "digest").select("a", "b")
-    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(second).union(ties))
+    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(ties)) if not several.isEmpty() else labels
     reps = classes.select("digest", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     found = rows.join(reps.select("digest", F.coalesce("label", "rep").alias("label")), "digest", "left")
     return found.select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
