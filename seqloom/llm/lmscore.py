@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import crc_mod, stored, table
 
-TABLE_BITS, SLAB_BITS, FAN = (24, 20, 21, 22), 18, 32
+TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
 SAMPLE, LONGEST_SAMPLE = 1500, 20_000
 WORDS_AT_MOST = 8_000_000
@@ -156,7 +156,7 @@ class Batch:
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, minlength=len(self.words))
 
-    def chunks(self, most: int = 60_000) -> Iterator[tuple[int, int]]:
+    def chunks(self, most: int = 30_000) -> Iterator[tuple[int, int]]:
         for a in range(0, len(self.pairs), most):
             yield a, min(a + most, len(self.pairs))
 
@@ -334,7 +334,7 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _batches(b: pa.RecordBatch, column: int, most: int = 24 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(b: pa.RecordBatch, column: int, most: int = 10 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Slices of a batch of bounded text: first row and texts."""
     texts = b.column(column)
     size = np.cumsum(texts.cast(pa.large_binary()).fill_null(b"").value_lengths().to_numpy()) if len(texts) and hasattr(texts.cast(pa.large_binary()), "value_lengths") else np.cumsum([len(x.as_py() or "") for x in texts])
