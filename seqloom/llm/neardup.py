@@ -8,9 +8,10 @@ are compared on their full sets; only links that hold there count.
 
 A posting list of m classes isn't turned into its pairs. First each member is compared with a few heads of its list,
 which are found by aggregation; links found make components. Then only lists that still hold several components are
-read, in blocks of bounded size: twice, each member is compared with the likeliest partners of other components only,
-which joins what belongs together, and at last all pairs of different components that reach MATCHES are compared, each
-in the first list that both share (later meetings are skipped). So every pair that meets is either compared or already
+read, in blocks of bounded size: pairs of different components that reach MATCHES are compared, each in the first list
+that both share (later meetings are skipped). Members that have a crowd of such partners aren't paired: their sets are
+brought together by list and block, shared shingles are counted for one member against all, and a link is given only
+where it joins two components. So every pair that meets is either compared or already
 connected, and no link between components is lost.
 
 Components come from repeated contraction: every node joins the root that its smallest neighbours lead to, until no
@@ -43,6 +44,8 @@ COORDS, SHORT, AGREE, MATCHES = 64, 20, 9, 42
 PREFIX = SHORT - AGREE + 1
 #: Members of a posting list that are compared in one go, and ids that are broadcast at most (8 MB).
 BLOCK, FEW = 2048, 1_000_000
+#: A member with more likely partners than this in a list is compared with them by counting, not pair by pair.
+CROWD = 16
 
 _mult = np.random.default_rng(20).integers(0, 2**63, SHINGLE + COORDS, dtype=np.uint64) | np.uint64(1)
 
@@ -124,18 +127,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= LEAST * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. pairs: stored."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = F.broadcast(ids) if ids.count() <= FEW else ids
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(few, "id", "left_semi")
+class Sets:
+    """Full sets by id, made from the texts when first asked for and stored."""
 
-    def run(batches):
-        for ids, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
+    def __init__(self, docs: DataFrame, id_col: str, text: str):
+        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+        self.stored: DataFrame | None = None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id, s: at least of the ids given (a row for each of an id's texts)."""
+        if self.stored is not None:
+            ids = ids.join(self.stored.select("id"), "id", "left_anti")
+        ids = cut(ids.distinct())
+        n = ids.count()
+        if n or self.stored is None:
+            d = self.docs.join(F.broadcast(ids) if n <= FEW else ids, "id", "left_semi")
+
+            def run(batches):
+                for ids, sets in _sets(batches):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
 
-    sets = stored(d.mapInArrow(run, "id bigint, s binary"))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+            new = stored(d.mapInArrow(run, "id bigint, s binary"))
+            self.stored = new if self.stored is None else self.stored.union(new)
+        return self.stored
+
+
+def confirmed(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. pairs: stored."""
+    s = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    both = pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare(batches):
         for x in batches:
@@ -193,65 +213,96 @@ def head_pairs(postings: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame, best: int | None = None) -> DataFrame:
-    """(a, b): pairs of different components that meet in a list and have at least MATCHES equal coordinates.
-    best: of each member, only so many partners with the most equal coordinates."""
+def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """Rows that agree in their first three columns, out of sorted batches."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for s, e in zip(np.append(0, cuts), np.append(cuts, len(k))):
+            this = tuple(int(v) for v in k[s])
+            if this != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = this
+            held.append(b.slice(s, e - s))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """What is left to compare in lists of several components: pairs (a, b) of different components with at least MATCHES
+    equal coordinates; and in place of the pairs of a member that has more than CROWD of them, the members of that crowd
+    (key, x, y, a: list and blocks), b null."""
     p = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    # blocks of a long list meet in pairs: member of block i goes to (i, j) and (j, i) for every j
+    # blocks of a long list meet in pairs: a member of block i goes to (i, j) or (j, i) for every j
     open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     p = p.join(open_, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     p = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     p = p.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label", "low")
     p = p.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
-    def groups(batches):
-        key, held = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            for s, e in zip(np.append(0, cuts), np.append(cuts, len(k))):
-                this = tuple(k[s])
-                if this != key and held:
-                    yield key, held
-                    held = []
-                key = this
-                held.append(b.slice(s, e - s))
-        if held:
-            yield key, held
-
     def run(batches):
-        out_a, out_b = [], []
-        for (key, x, y), held in groups(batches):
-            t = pa.Table.from_batches(held)
+        for (key, x, y), t in _in_groups(batches):
             block, ids, label, (head, low) = t["i"].to_numpy(), t["id"].to_numpy(), t["label"].to_numpy(), _unpacked(t["low"])
             coord = key >> 32
-            for r in range(len(ids)):
-                # pairs between the two blocks, or within the one; each once, unless the best are wanted
-                good = label != label[r]
+            crowd = np.zeros(len(ids), bool)
+            out_a, out_b = [], []
+            for r in range(len(ids) - 1):
+                # pairs between the two blocks, or within the one
+                good = label[r + 1 :] != label[r]
                 if x != y:
-                    good &= block != block[r]
-                if not best:
-                    good[:r] = False
-                o = np.flatnonzero(good)
+                    good &= block[r + 1 :] != block[r]
+                o = np.flatnonzero(good) + r + 1
                 if len(o):
                     same = head[o] == head[r]
-                    n = same.sum(axis=1) + (low[o] == low[r]).sum(axis=1)
-                    if best:
-                        o = o[np.argsort(-n, kind="stable")[:best]][: int((n >= MATCHES).sum())]
+                    # pairs that share an earlier coordinate of the prefix have met there
+                    o = o[(same.sum(axis=1) + (low[o] == low[r]).sum(axis=1) >= MATCHES) & ~same[:, :coord].any(axis=1)]
+                    if len(o) > CROWD:
+                        crowd[r] = True
+                        crowd[o] = True
                     else:
-                        # pairs that share an earlier coordinate of the prefix have met there
-                        o = o[(n >= MATCHES) & ~same[:, :coord].any(axis=1)]
-                    out_a += [int(ids[r])] * len(o)
-                    out_b += ids[o].tolist()
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                        out_a += [int(ids[r])] * len(o)
+                        out_b += ids[o].tolist()
+            n, own = len(out_a), ids[crowd].tolist()
+            both = [None] * n + [key] * len(own), [None] * n + [x] * len(own), [None] * n + [y] * len(own), out_a + own, out_b + [None] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(both, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "x", "y", "a", "b"])
+
+    return p.mapInArrow(run, "key bigint, x int, y int, a bigint, b bigint")
+
+
+def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
+    """(a, b): links between the components of crowds (key, x, y, id); enough of them to join what belongs together."""
+    s = sets.of(crowds.select("id"))
+    c = crowds.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(s, "id").select("key", "x", "y", "id", "label", "s")
+    c = c.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+
+    def run(batches):
+        for _, t in _in_groups(batches):
+            ids, label = t["id"].to_numpy(), t["label"].to_numpy().copy()
+            held = [np.frombuffer(v, np.uint64) for v in t["s"].to_pylist()]
+            size = np.array(list(map(len, held)), np.int64)
+            some = size > 0
+            ids, label, held, size = ids[some], label[some], [h for h in held if len(h)], size[some]
+            names, flat = np.unique(np.concatenate(held), return_inverse=True) if held else (np.zeros(0), np.zeros(0, np.int64))
+            starts = np.cumsum(size) - size
+            has, out_a, out_b = np.zeros(len(names), bool), [], []
+            for r in range(len(ids)):
+                own = flat[starts[r] : starts[r] + size[r]]
+                has[own] = True
+                both = np.add.reduceat(has[flat].astype(np.int32), starts)
+                has[own] = False
+                for o in np.flatnonzero((label != label[r]) & (100 * both >= LEAST * (size + size[r] - both))):
+                    if label[o] != label[r]:
+                        out_a.append(int(ids[r]))
+                        out_b.append(int(ids[o]))
+                        label[label == label[o]] = label[r]
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return p.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return c.mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,13 +311,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     named = rows.filter("digest IS NOT NULL AND id IS NOT NULL")
     classes = stored(named.groupBy("digest").agg(F.min(F.struct("id", "keys", "low")).alias("m")).select("digest", "m.*"))
     postings = classes.select(F.explode("keys").alias("key"), "id", "low")
-    first = confirmed(stored(head_pairs(postings)), docs, id_col, text)
-    first = cut(first)
-    labels = components(first)
-    for best in (2, 2, None):
-        links = cut(confirmed(stored(rest_pairs(postings, labels, best)), docs, id_col, text))
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
+    sets = Sets(docs, id_col, text)
+    labels = components(confirmed(stored(head_pairs(postings)), sets))
+    rest = stored(rest_pairs(postings, labels))
+    links = confirmed(rest.filter("key IS NULL").select("a", "b"), sets)
+    links = links.union(crowd_links(rest.filter("key IS NOT NULL").select("key", "x", "y", F.col("a").alias("id")), labels, sets))
+    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
     # an id with several texts ties their classes together
     several = named.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("id")
     ties = named.join(several, "id", "left_semi").select(F.col("id").alias("a"), "digest").join(classes.select("digest", F.col("id").alias("b")), "digest").select("a", "b")

@@ -58,6 +58,7 @@ def test_against_brute_force(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(neardup, "FEW", 0)
+    monkeypatch.setattr(neardup, "CROWD", 2)
     assert got(spark, rows) == brute(rows)
 
 
