@@ -25,12 +25,11 @@ table gives an empty result; other columns take no part.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +43,7 @@ SAMPLE, LONGEST_SAMPLE = 1500, 20_000
 WORDS_AT_MOST = 8_000_000
 BLOCK_BYTES = 32 << 20
 END, SPACE = b"\n", 32
-BUCKETS = 33
+BUCKETS, FINE = 33, 32
 
 _mult = np.random.default_rng(4).integers(0, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -129,20 +128,19 @@ class Topics:
 class Batch:
     """Texts as pairs of a state and a word: words, hashes; of each token its pair; of each text its first token."""
 
-    def __init__(self, texts: list[str | None], topics: Topics | None):
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        end = number[END]
-        ids, sizes = [], []
-        for t in texts:
-            ws = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-            x = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws) + 0)
-            ids.append(x)
-            ids.append(np.array([end], np.int32))
-            sizes.append(len(ws) + 1)
-        self.words = list(number)
-        self.token = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        self.size = np.array(sizes, np.int64)
+    def __init__(self, texts, topics: Topics | None):
+        """texts: strings or nulls, as a list or an Arrow array."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat, n_parts = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
+        full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        doc = np.repeat(np.arange(len(texts)), n_parts)[full]
+        self.words = [END, *coded.dictionary.cast(pa.large_binary()).to_pylist()]
+        self.size = np.bincount(doc, minlength=len(texts)).astype(np.int64) + 1
         self.start = np.cumsum(self.size) - self.size
+        self.token = np.zeros(int(self.size.sum()), np.int32)  # the end is word 0
+        self.token[np.arange(len(doc)) + doc] = coded.indices.to_numpy(zero_copy_only=False) + 1
         self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
         now = topics.states(self) if topics else np.zeros(len(self.token), np.int64)
         code = self.token.astype(np.int64) * STATES + now
@@ -156,7 +154,7 @@ class Batch:
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, minlength=len(self.words))
 
-    def chunks(self, most: int = 30_000) -> Iterator[tuple[int, int]]:
+    def chunks(self, most: int = 8_000) -> Iterator[tuple[int, int]]:
         for a in range(0, len(self.pairs), most):
             yield a, min(a + most, len(self.pairs))
 
@@ -246,7 +244,16 @@ class Model:
         self.weights[:, CONTEXTS] = 0
         self.hits = np.repeat(1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))[None, :], 256, axis=0) * 6
         self.tries = np.full((256, BUCKETS), 6.0)
+        self.settle()
+
+    def settle(self) -> None:
+        """The map, and from it the cost of either side by last byte and mixed prediction (in steps of 1 / FINE)."""
         self.map = (self.hits / self.tries).astype(np.float32)
+        t = (np.arange(24 * FINE) + 0.5) / FINE - 12
+        low, part = self.bucket(t)
+        refined = self.map[:, low] * (1 - part) + self.map[:, low + 1] * part
+        p = np.clip(0.5 / (1 + np.exp(-t)) + 0.5 * refined, 1e-5, 1 - 1e-5)
+        self.cost = np.log10(np.stack([1 - p, p])).astype(np.float32).ravel()
 
     def histories(self, slots) -> list[np.ndarray]:
         return [self.slots[k][slots[k]] for k in range(CONTEXTS)]
@@ -266,6 +273,21 @@ class Model:
             t += x[k] * self.weights[gate, k]
         return np.clip(t, -12, 12)
 
+    def mixed_at(self, slots, place):
+        """``mixed`` of ``inputs``, without making them."""
+        seen = [np.take(self.slots[k], slots[k], mode="clip").astype(np.intp) for k in range(CONTEXTS)]
+        gate = np.take(self.kind * 3, seen[0], mode="clip")
+        new = np.flatnonzero(seen[0] == 0)
+        gate[new] = (16 + (self.kind[seen[3][new]] & 7)) * 3
+        gate += place
+        columns = np.ascontiguousarray(self.weights.T)
+        t = np.take(columns[CONTEXTS] * np.float32(0.3), gate, mode="clip")
+        for k in range(CONTEXTS):
+            part = np.take(self.told[k], seen[k], mode="clip")
+            part *= np.take(columns[k], gate, mode="clip")
+            t += part
+        return np.clip(t, -12, 12, out=t)
+
     @staticmethod
     def bucket(t):
         s = np.clip(t * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
@@ -308,21 +330,20 @@ class Model:
             if turn == 0:
                 p = np.clip(hits / tries, 1e-5, 1 - 1e-5)
                 self.told = np.log(p / (1 - p)).astype(np.float32)
-        self.map = (self.hits / self.tries).astype(np.float32)
+        self.settle()
 
     def pair_scores(self, batch: Batch) -> np.ndarray:
         """log10 probability of each pair's word."""
         out = np.zeros(len(batch.pairs))
         for a, b in batch.chunks():
             side, slots, place, last, owner = self.coder.decisions(batch, a, b)
-            x, gate = self.inputs(self.histories(slots), place)
-            t = self.mixed(x, gate)
-            low, part = self.bucket(t)
-            cell = last * BUCKETS + low
-            flat = self.map.ravel()
-            refined = flat[cell] * (1 - part) + flat[cell + 1] * part
-            p = np.clip(0.5 / (1 + np.exp(-t)) + 0.5 * refined, 1e-5, 1 - 1e-5)
-            out[a:b] = np.bincount(owner, np.log10(np.where(side, p, 1 - p)), b - a)
+            t = self.mixed_at(slots, place)
+            t += np.float32(12)
+            t *= np.float32(FINE)
+            cell = t.astype(np.int32)
+            np.minimum(cell, 24 * FINE - 1, out=cell)
+            cell += (side.astype(np.int32) * 256 + last.astype(np.int32)) * (24 * FINE)
+            out[a:b] = np.bincount(owner, self.cost[cell], b - a)
         return out
 
 
@@ -334,15 +355,15 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _batches(b: pa.RecordBatch, column: int, most: int = 10 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a batch of bounded text: first row and texts."""
     texts = b.column(column)
-    size = np.cumsum(texts.cast(pa.large_binary()).fill_null(b"").value_lengths().to_numpy()) if len(texts) and hasattr(texts.cast(pa.large_binary()), "value_lengths") else np.cumsum([len(x.as_py() or "") for x in texts])
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     at = 0
     while at < len(texts):
         base = size[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(size, base + most)))
-        yield at, texts.slice(at, to - at).to_pylist()
+        yield at, texts.slice(at, to - at)
         at = to
 
 
@@ -352,7 +373,6 @@ def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
 
     def run(batches):
         held = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
-        words: dict[int, int] = {}
         any_rows = False
         known_h, known_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
@@ -364,13 +384,13 @@ def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
                 known_h, inverse = np.unique(np.concatenate([known_h, one.hash]), return_inverse=True)
                 known_c = np.bincount(inverse, np.concatenate([known_c, one.counts()]), len(known_h)).astype(np.int64)
                 if not use.all():
-                    one = Batch([t for t, u in zip(texts, use) if u], coder.topics)
+                    one = Batch(texts.filter(pa.array(use)), coder.topics)
                 for x, y in one.chunks():
                     side, slots, _, _, owner = coder.decisions(one, x, y)
                     times = one.times[x:y].astype(np.uint32)[owner]
                     for k in range(CONTEXTS):
                         np.add.at(held[k], slots[k] * 2 + side, times)
-                if len(known_h) > 2_000_000:
+                if len(known_h) > 1_000_000:
                     yield from words_out(known_h, known_c)
                     known_h, known_c = known_h[:0], known_c[:0]
         yield from words_out(known_h, known_c)
@@ -464,7 +484,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
     def out(ids, held, texts, lookup) -> pa.RecordBatch:
         batch = Batch(texts, coder.topics)
         size, known, base, own = _score(batch, shared.value, lookup(batch.hash), n, v)
-        n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
+        n_bytes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         per = -own * np.log2(10) / np.maximum(1, n_bytes)
         return pa.RecordBatch.from_arrays(
             [ids, held, pa.array(size), pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(own), pa.array(n_bytes), pa.array(per)],
@@ -475,7 +495,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
         c = counts.toArrow()
         h = c["word"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        known = spark.sparkContext.broadcast((h[order], c["c"].to_numpy()[order]))
+        known = spark.sparkContext.broadcast((h[order], np.minimum(c["c"].to_numpy()[order], 2**31 - 1).astype(np.int32) if n < 2**31 else c["c"].to_numpy()[order]))
 
         def run(batches):
             for b in batches:
@@ -494,7 +514,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
             for at, texts in _batches(b, 0):
                 own = block[at : at + len(texts)]
                 for k in np.unique(own):
-                    h = Batch([t for t, x in zip(texts, own) if x == k], None).hash
+                    h = Batch(texts.filter(pa.array(own == k)), None).hash
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64))], names=["_block", "word"])
 
     needed = d.select("_text", "_block").mapInArrow(held_words, "_block int, word bigint").distinct().join(counts, "word")
