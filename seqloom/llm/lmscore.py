@@ -131,7 +131,9 @@ class Batch:
     def __init__(self, texts, topics: Topics | None):
         """texts: strings or nulls, as a list or an Arrow array."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        # a slice is copied first: the split below is wrong for arrays that don't start at their buffer's start
+        texts = texts.take(pa.array(np.arange(len(texts)))).fill_null("")
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         flat, n_parts = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
         full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
         coded = flat.filter(pa.array(full)).dictionary_encode()

@@ -77,3 +77,13 @@ def test_empty_and_untrained(spark):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
     p = scored(spark, [(i, "a b", "x") for i in held])
     assert (p.train_tokens == 0).all() and (p.n_known == 0).all() and (p.base_score == 0).all() and np.isfinite(p.score).all()
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    texts = ["a  b\tC", None, "", " x\x0by ", "é\xa0z", "longer text with words"] * 5
+    for at in (0, 3, 7):
+        one = lmscore.Batch(pa.array(texts).slice(at), None)
+        want = [w for t in texts[at:] for w in [*(t or "").encode().lower().split(), lmscore.END]]
+        assert [one.words[i] for i in one.token.tolist()] == want
