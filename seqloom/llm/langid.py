@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,6 +121,19 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str =
     return d.mapInArrow(run, f"{kept}, lang_pred string, score double")
 
 
+def judged(spark: SparkSession, langs: list[str], matrix: np.ndarray):
+    """The same as a function of a text column: a struct of lang_pred and score. Other columns stay in the JVM."""
+    model = spark.sparkContext.broadcast((langs, matrix))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def told(text: pd.Series) -> pd.DataFrame:
+        langs, matrix = model.value
+        said, score = predict(text.tolist(), langs, matrix)
+        return pd.DataFrame({"lang_pred": said, "score": score})
+
+    return told
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc_mod(F.col(id_col), 4) == 2, F.lit(False))
 

@@ -64,3 +64,11 @@ def test_empty_and_null_labels(spark):
     n = spark.createDataFrame([(None, EN, None), (1, EN, None), (1, EN, None)], "doc_id long, text string, lang string")
     assert langid.training_rows(n) == []
     assert [r.lang_pred for r in langid.identify(n, langs, matrix).collect()] == ["und"] * 3
+
+
+def test_as_a_column(spark):
+    d = spark.createDataFrame(rows(20), "doc_id long, text string, lang string, source string")
+    langs, matrix = langid.fit(langid.training_rows(d))
+    told = langid.judged(spark, langs, matrix)
+    a = {(r.doc_id, r.p.lang_pred, r.p.score) for r in d.select("doc_id", told("text").alias("p")).collect()}
+    assert a == {tuple(r) for r in langid.identify(d, langs, matrix).collect()}
