@@ -17,10 +17,10 @@ LEAST_SCORE = 0.35
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the language told takes the place of a missing label."""
-    langs, matrix = langid.fit(langid.training_rows(docs))
-    d = langid.identify(docs, langs, matrix, keep=tuple(docs.columns), text="text")
-    d = d.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return d.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    told = langid.judged(spark, *langid.fit(langid.training_rows(docs)))
+    d = docs.select(F.struct("*").alias("_row"), told("text").alias("_told")).filter((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= LEAST_SCORE))
+    c = lambda name: F.col("_row")[name]
+    return d.select(*[(F.coalesce(c("lang"), F.col("_told.lang_pred")) if x == "lang" else c(x)).alias(x) for x in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
