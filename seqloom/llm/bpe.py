@@ -29,7 +29,7 @@ from seqloom.llm.common import table
 #: Fixed value: the split of byte-level BPE into pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens that a Python worker remembers; more are encoded again.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -70,15 +70,17 @@ class Bpe:
         starts: list[int] = []
         for w in words:
             starts.append(len(symbol))
-            symbol.extend(byte_id[b] for b in w.encode("utf-8", "surrogatepass"))
+            symbol.extend(map(byte_id.__getitem__, w.encode("utf-8", "surrogatepass")))
             symbol.append(-1)  # no pair reaches over it
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            r = rank.get((symbol[i], symbol[i + 1]))
+        for i, r in enumerate(map(rank.get, zip(symbol, symbol[1:]))):
             if r is not None:
-                where.setdefault(r, []).append(i)
+                if r in where:
+                    where[r].append(i)
+                else:
+                    where[r] = [i]
         pairs = {r: p for p, r in rank.items()} if not hasattr(self, "_pairs") else self._pairs
         self._pairs = pairs
         active = list(where)
@@ -146,30 +148,42 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Known(dict):
-    """Of each pretoken: its ids as text, and the bytes that they decode to."""
+class _Known:
+    """Of pretokens: their ids as text; and what they decode to, where that isn't their own text."""
+
+    def __init__(self, bpe: Bpe):
+        self.special = {s: str(i) for s, i in bpe.special.items()}
+        self.ids: dict[str, str] = dict(self.special)
+        self.odd: dict[str, bytes] = {}
 
 
 _known: dict[str, _Known] = {}
 
 
 def learn(bpe: Bpe, path: str, texts: list[list[str]]) -> _Known:
-    known = _known.get(path)
-    if known is None or len(known) > REMEMBERED:
-        known = _known[path] = _Known((s, (str(i), s.encode())) for s, i in bpe.special.items())
-    new = [w for w in set().union(*texts) if w not in known]
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
+    """What is known of the pretokens of texts, and of as many earlier ones as may be remembered."""
+    known = _known.setdefault(path, _Known(bpe))
+    held = set().union(*texts)
+    if len(known.ids) > REMEMBERED:
+        known.ids = {w: x for w, x in known.ids.items() if w in held} | known.special
+        known.odd = {w: x for w, x in known.odd.items() if w in held}
+    new = [w for w in held if w not in known.ids]
+    for at in range(0, len(new), 20_000):
+        some = new[at : at + 20_000]
         for w, ids in zip(some, bpe.encode_words(some)):
-            known[w] = ",".join(map(str, ids)), b"".join([bpe.bytes_of[i] for i in ids])
+            known.ids[w] = ",".join(map(str, ids))
+            decoded = b"".join([bpe.bytes_of[i] for i in ids])
+            if decoded != w.encode("utf-8", "surrogatepass"):
+                known.odd[w] = decoded
     return known
 
 
-def _groups(texts: list[str | None], most: int = 8_000_000) -> Iterator[list[str]]:
+def _groups(texts: pa.Array, most: int = 3_000_000) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
-        group.append(t or "")
-        size += len(t or "")
+        t = t.as_py() or ""
+        group.append(t)
+        size += len(t)
         if size >= most:
             yield group
             group, size = [], 0
@@ -191,16 +205,19 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep=("
         bpe = loaded(path)
         for batch in batches:
             at = 0
-            for group in _groups(batch.column(len(keep)).to_pylist()):
+            for group in _groups(batch.column(len(keep))):
                 split = [bpe.pretokens(t) for t in group]
                 known = learn(bpe, path, split)
                 n, ids_sha, decoded_sha, all_ids = [], [], [], []
                 for toks in split:
-                    both = [known[t] for t in toks]
-                    ids = ",".join([x for x, _ in both])
+                    ids = ",".join(map(known.ids.__getitem__, toks))
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded = b"".join([x for _, x in both]).decode("utf-8", "replace")
+                    if known.odd:
+                        raw = b"".join([known.odd.get(t) or t.encode("utf-8", "surrogatepass") for t in toks])
+                    else:
+                        raw = "".join(toks).encode("utf-8", "surrogatepass")
+                    decoded = raw.decode("utf-8", "replace")
                     decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
                         all_ids.append(list(map(int, ids.split(","))) if ids else [])
