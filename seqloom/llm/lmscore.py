@@ -357,7 +357,7 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _batches(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def _batches(b: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a batch of bounded text: first row and texts."""
     texts = b.column(column)
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
@@ -385,11 +385,11 @@ def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
                 one = Batch(texts, coder.topics)
                 known_h, inverse = np.unique(np.concatenate([known_h, one.hash]), return_inverse=True)
                 known_c = np.bincount(inverse, np.concatenate([known_c, one.counts()]), len(known_h)).astype(np.int64)
-                if not use.all():
-                    one = Batch(texts.filter(pa.array(use)), coder.topics)
+                # texts that don't learn lend their words only
+                learned = np.bincount(one.pair[np.repeat(use, one.size)], minlength=len(one.pairs)).astype(np.uint32)
                 for x, y in one.chunks():
                     side, slots, _, _, owner = coder.decisions(one, x, y)
-                    times = one.times[x:y].astype(np.uint32)[owner]
+                    times = learned[x:y][owner]
                     for k in range(CONTEXTS):
                         np.add.at(held[k], slots[k] * 2 + side, times)
                 if len(known_h) > 1_000_000:
