@@ -227,7 +227,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep=("
                     cols.append(pa.array(all_ids, pa.list_(pa.int32())))
                     names.append("ids")
                 at += len(group)
+                del split, known
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        # a worker that waits for its next task holds nothing
+        _known.clear()
+        pa.default_memory_pool().release_unused()
 
     return d.mapInArrow(run, schema)
 

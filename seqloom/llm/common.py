@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,30 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of an Arrow array of texts (nulls have none), which of them each word in order is, and each text's
+    number of words. The same words as ``words``."""
+    # a slice is copied first: the split below is wrong for arrays that don't start at their buffer's start
+    texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))).fill_null("")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, n_parts = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), n_parts)[full], minlength=len(texts)).astype(np.int64)
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), sizes
+
+
+def text_slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of bounded size: the first row and the texts."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    at = 0
+    while at < len(texts):
+        base = size[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(size, base + most)))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import crc_mod, stored, table
+from seqloom.llm.common import coded_words, crc_mod, stored, table, text_slices
 
 TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
@@ -130,19 +130,12 @@ class Batch:
 
     def __init__(self, texts, topics: Topics | None):
         """texts: strings or nulls, as a list or an Arrow array."""
-        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        # a slice is copied first: the split below is wrong for arrays that don't start at their buffer's start
-        texts = texts.take(pa.array(np.arange(len(texts)))).fill_null("")
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        flat, n_parts = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
-        full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-        coded = flat.filter(pa.array(full)).dictionary_encode()
-        doc = np.repeat(np.arange(len(texts)), n_parts)[full]
-        self.words = [END, *coded.dictionary.cast(pa.large_binary()).to_pylist()]
-        self.size = np.bincount(doc, minlength=len(texts)).astype(np.int64) + 1
+        known, index, sizes = coded_words(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        self.words = [END, *known]
+        self.size = sizes + 1
         self.start = np.cumsum(self.size) - self.size
         self.token = np.zeros(int(self.size.sum()), np.int32)  # the end is word 0
-        self.token[np.arange(len(doc)) + doc] = coded.indices.to_numpy(zero_copy_only=False) + 1
+        self.token[np.arange(len(index)) + np.repeat(np.arange(len(sizes)), sizes)] = index + 1
         self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
         now = topics.states(self) if topics else np.zeros(len(self.token), np.int64)
         code = self.token.astype(np.int64) * STATES + now
@@ -357,18 +350,6 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _batches(b: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a batch of bounded text: first row and texts."""
-    texts = b.column(column)
-    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
-    at = 0
-    while at < len(texts):
-        base = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, base + most)))
-        yield at, texts.slice(at, to - at)
-        at = to
-
-
 def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
     """What tasks gather from the training texts: rows (word's hash, count), and rows (context and slab, packed counts).
     learns: whether a text's decisions count, or its words only."""
@@ -379,7 +360,7 @@ def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
         known_h, known_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             learns = np.array(b.column(1).to_pylist(), bool)
-            for at, texts in _batches(b, 0):
+            for at, texts in text_slices(b.column(0)):
                 any_rows = True
                 use = learns[at : at + len(texts)]
                 one = Batch(texts, coder.topics)
@@ -501,7 +482,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
 
         def run(batches):
             for b in batches:
-                for at, texts in _batches(b, 2):
+                for at, texts in text_slices(b.column(2)):
                     yield out(b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), texts, lambda h: _lookup(h, *known.value))
 
         return d.mapInArrow(run, schema)
@@ -513,7 +494,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
     def held_words(batches):
         for b in batches:
             block = np.array(b.column(1).to_pylist())
-            for at, texts in _batches(b, 0):
+            for at, texts in text_slices(b.column(0)):
                 own = block[at : at + len(texts)]
                 for k in np.unique(own):
                     h = Batch(texts.filter(pa.array(own == k)), None).hash
@@ -526,7 +507,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
         order = np.argsort(h)
         h, c = h[order], b["c"].to_numpy()[order]
         a = a.combine_chunks()
-        done = [out(x.column(0).slice(at, len(t)), x.column(1).slice(at, len(t)), t, lambda q: _lookup(q, h, c)) for x in a.to_batches() for at, t in _batches(x, 2)]
+        done = [out(x.column(0).slice(at, len(t)), x.column(1).slice(at, len(t)), t, lambda q: _lookup(q, h, c)) for x in a.to_batches() for at, t in text_slices(x.column(2))]
         return pa.Table.from_batches(done) if done else pa.table({f: [] for f in ()})
 
     return d.groupBy("_block").cogroup(needed.groupBy("_block")).applyInArrow(block, schema)

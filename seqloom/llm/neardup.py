@@ -27,7 +27,6 @@ length; an empty table gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import cut, stored, table, words
+from seqloom.llm.common import coded_words, cut, stored, table, text_slices
 
 SHINGLE, LEAST = 5, 85
 COORDS, SHORT, AGREE, MATCHES = 64, 20, 9, 42
@@ -56,22 +55,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@functools.lru_cache(maxsize=300_000)
-def _word(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w)
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_word, ws), np.uint64, len(ws))
-    n, k = len(w), min(SHINGLE, len(w))
-    h = np.full(n - k + 1, k * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-    for i in range(k):
-        h += w[i : n - k + 1 + i] * _mult[i]
-    return np.unique(_mix(h))
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its shingles."""
+    known, index, sizes = coded_words(texts)
+    w = np.array([xxhash.xxh3_64_intdigest(x) for x in known], np.uint64)[index] if known else np.zeros(0, np.uint64)
+    h = {}
+    for k in {min(SHINGLE, int(n)) for n in np.unique(sizes) if n}:
+        x = np.full(max(0, len(w) - k + 1), k * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+        for i in range(k):
+            x += w[i : len(w) - k + 1 + i] * _mult[i]
+        h[k] = _mix(x)
+    ends = np.cumsum(sizes).tolist()
+    return [np.unique(h[min(SHINGLE, n)][e - n : e - min(SHINGLE, n) + 1]) if n else np.zeros(0, np.uint64) for n, e in zip(sizes.tolist(), ends)]
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
@@ -83,19 +78,11 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[tuple[list[pa.Scalar], list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     for b in batches:
-        ids, sets, size = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            s = shingles(t.as_py())
-            ids.append(i)
-            sets.append(s)
-            size += len(s)
-            if size >= most:
-                yield ids, sets
-                ids, sets, size = [], [], 0
-        if ids:
-            yield ids, sets
+        ids = b.column(0).to_pylist()
+        for at, texts in text_slices(b.column(1)):
+            yield ids[at : at + len(texts)], shingle_sets(texts)
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
