@@ -1,3 +1,58 @@
-"""Queries that run the aligner."""
+"""Queries that run the aligner: reads made from benchmark passages, aligned to those passages."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom import refindex
+from seqloom.operators import align
+from seqloom.options import Options
+
+READ, INSERT = 90, 160
+MAP = "translate(regexp_replace(lower(text), '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTTGCAGTCACTGATCGACGTACG')"
+
+
+def index_of(spark: SparkSession, d: str) -> str:
+    """An index of the passages; on a cluster it stands in the shared folder (spark.checkpoint.dir)."""
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").filter("text IS NOT NULL").selectExpr("item_id", f"{MAP} AS seq").orderBy("item_id").collect()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder.removeprefix("file://") if folder and (folder.startswith("file:") or folder.startswith("/")) else tempfile.gettempdir()
+    path = f"{folder}/seqloom-index-{os.getpid()}-{abs(hash(d)) % 10**8}"
+    refindex.build([(f"item{r.item_id}", "", r.seq) for r in rows]).save(path)
+    refindex.load.cache_clear()
+    return path
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs from every passage long enough: the first mate forward, the second from the other strand, each with a
+    substitution at a place given by the passage's number."""
+    p = spark.read.parquet(f"{d}/benchmark.parquet").filter("text IS NOT NULL").selectExpr("item_id", f"{MAP} AS seq").filter(F.length("seq") >= INSERT + 20)
+    p = p.select("item_id", "seq", F.explode(F.expr(f"sequence(0, length(seq) - {INSERT} - 1, 17)")).alias("at"))
+    p = p.withColumn("frag", F.expr(f"substring(seq, at + 1, {INSERT} + pmod(item_id + at, 9))"))
+    p = p.withColumn("a", F.expr(f"substring(frag, 1, {READ})")).withColumn("b", F.expr(f"substring(reverse(translate(frag, 'ACGT', 'TGCA')), 1, {READ})"))
+    hit = lambda c: F.expr(f"concat(substring({c}, 1, 20 + pmod(item_id, 50)), translate(substring({c}, 21 + pmod(item_id, 50), 1), 'ACGT', 'CGTA'), substring({c}, 22 + pmod(item_id, 50)))")
+    p = p.withColumn("a", hit("a")).withColumn("b", hit("b")).withColumn("pair_idx", F.expr("item_id * 100000 + at"))
+    name = F.concat(F.lit("r"), F.col("pair_idx"))
+    row = lambda k, c: F.struct(F.lit(k).alias("mate"), F.col(c).alias("seq"))
+    x = p.select("item_id", "at", "pair_idx", name.alias("name"), F.explode(F.array(row(0, "a"), row(1, "b"))).alias("r"))
+    return x.select("item_id", "at", F.lit(0).cast("long").alias("chunk_id"), "pair_idx", F.col("pair_idx").alias("idx"), "name", F.lit(None).cast("string").alias("comment"), "r.mate", "r.seq", F.repeat(F.lit("I"), READ).alias("qual"))
+
+
+def align_se(spark: SparkSession, d: str) -> DataFrame:
+    x = planted(spark, d).filter("mate = 0")
+    return align.single_end(x, index_of(spark, d)).select("idx", "line", "rname", "flag", "sam")
+
+
+def align_pe(spark: SparkSession, d: str) -> DataFrame:
+    return align.paired_end(planted(spark, d), index_of(spark, d)).select("idx", "line", "rname", "flag", "sam")
+
+
+def fixmate(spark: SparkSession, d: str) -> DataFrame:
+    return align.paired_end(planted(spark, d), index_of(spark, d), Options(fix_mates=True)).select("idx", "line", "rname", "flag", "sam")
+
+
+QUERIES = {"align_se": align_se, "align_pe": align_pe, "fixmate": fixmate}
