@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import crc_mod, table
+from seqloom.llm.common import crc_mod, table, text_slices, tidied
 
 BITS = {2: 14, 3: 15}
 N_FEATURES = 256 + sum(1 << b for b in BITS.values())
@@ -102,7 +101,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", tex
             packed = [features(t).astype(np.uint16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["lang", "f"])
 
-    rows = some.select("_lang", "_text").mapInArrow(run, "lang string, f binary").collect()
+    rows = some.select("_lang", "_text").mapInArrow(tidied(run), "lang string, f binary").collect()
     return sorted(((r.lang, np.frombuffer(r.f, np.uint16)) for r in rows), key=lambda x: (x[0], x[1].tobytes()))
 
 
@@ -115,21 +114,27 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = model.value
         for b in batches:
-            said, score = predict(b.column(len(keep)).to_pylist(), langs, matrix)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for at, some in text_slices(b.column(len(keep))):
+                said, score = predict(some.to_pylist(), langs, matrix)
+                own = [c.slice(at, len(some)) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return d.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return d.mapInArrow(tidied(run), f"{kept}, lang_pred string, score double")
 
 
 def judged(spark: SparkSession, langs: list[str], matrix: np.ndarray):
     """The same as a function of a text column: a struct of lang_pred and score. Other columns stay in the JVM."""
     model = spark.sparkContext.broadcast((langs, matrix))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def told(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def told(text: pa.Array) -> pa.Array:
         langs, matrix = model.value
-        said, score = predict(text.tolist(), langs, matrix)
-        return pd.DataFrame({"lang_pred": said, "score": score})
+        said, score = [], []
+        for _, some in text_slices(text):
+            x, y = predict(some.to_pylist(), langs, matrix)
+            said += x
+            score += y
+        return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     return told
 

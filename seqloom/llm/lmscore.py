@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import coded_words, crc_mod, stored, table, text_slices
+from seqloom.llm.common import coded_words, crc_mod, stored, table, text_slices, tidied
 
 TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
@@ -389,7 +389,7 @@ def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
             x, y = h[at : at + 100_000], c[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y), pa.nulls(len(x), pa.binary())], names=["word", "n", "block"])
 
-    return train.select(text, "_learns").mapInArrow(run, "word bigint, n bigint, block binary")
+    return train.select(text, "_learns").mapInArrow(tidied(run), "word bigint, n bigint, block binary")
 
 
 def summed(blocks: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
                 for at, texts in text_slices(b.column(2)):
                     yield out(b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), texts, lambda h: _lookup(h, *known.value))
 
-        return d.mapInArrow(run, schema)
+        return d.mapInArrow(tidied(run), schema)
 
     size = d.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import coded_words, cut, stored, table, text_slices
+from seqloom.llm.common import coded_words, cut, stored, table, text_slices, tidied
 
 SHINGLE, LEAST = 5, 85
 COORDS, SHORT, AGREE, MATCHES = 64, 20, 9, 42
@@ -106,7 +106,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
             )
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    return d.mapInArrow(run, "id bigint, n_shingles bigint, digest binary, keys array<bigint>, low binary")
+    return d.mapInArrow(tidied(run), "id bigint, n_shingles bigint, digest binary, keys array<bigint>, low binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -134,7 +134,7 @@ class Sets:
                 for ids, sets in _sets(batches):
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
 
-            new = stored(d.mapInArrow(run, "id bigint, s binary"))
+            new = stored(d.mapInArrow(tidied(run), "id bigint, s binary"))
             self.stored = new if self.stored is None else self.stored.union(new)
         return self.stored
 
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, sets: Sets) -> DataFrame:
             good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(compare), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
             both = [None] * n + [key] * len(own), [None] * n + [x] * len(own), [None] * n + [y] * len(own), out_a + own, out_b + [None] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(both, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "x", "y", "a", "b"])
 
-    return p.mapInArrow(run, "key bigint, x int, y int, a bigint, b bigint")
+    return p.mapInArrow(tidied(run), "key bigint, x int, y int, a bigint, b bigint")
 
 
 def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
@@ -289,7 +289,7 @@ def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
                         label[label == label[o]] = label[r]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return c.mapInArrow(run, "a bigint, b bigint")
+    return c.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
