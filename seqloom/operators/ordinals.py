@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.storage import cut
+
 
 def with_ordinal(df: DataFrame, order: list[str], parts: int | None = None, name: str = "ordinal") -> DataFrame:
-    """df with each row's place in the order. Rows are dealt by range, numbered within their part, and moved on by the
-    count of the parts before; only counts (a row a part) pass through one task. The order must be total: then a row's
-    place doesn't depend on where the ranges are cut, so a part that is computed again gives the same places."""
+    """df with each row's place in the order, which must be total.
+
+    Keys are dealt by range and stored, so that the parts stay as they were counted; rows are numbered within their part and
+    moved on by the count of the parts before. Only counts, a row a part, pass through one task.
+    """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("_p")).agg(F.max(F.struct(*order)).alias("_m")).filter("_m IS NOT NULL")
-    tops = sorted((r["_m"] for r in cuts.collect()), key=tuple)  # a row a part
-    part = F.lit(len(tops))
-    key = F.struct(*order)
-    part = F.lit(0)
-    for i, t in enumerate(tops[:-1]):
-        bound = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, t)])
-        part = part + F.when(key > bound, 1).otherwise(0)
-    x = df.withColumn("_part", part)
+    x = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_part", ahead.alias("_ahead"))
