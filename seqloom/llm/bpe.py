@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm.common import table, tidied
+from seqloom.llm.common import bounded_batches, table, tidied
 
 #: Fixed value: the split of byte-level BPE into pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,7 +231,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep=("
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         # a worker that waits for its next task holds nothing
         _known.clear()
+        loaded.cache_clear()
 
+    bounded_batches(docs.sparkSession)
     return d.mapInArrow(tidied(run), schema)
 
 

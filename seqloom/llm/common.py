@@ -107,6 +107,14 @@ def tidied(f):
     return run
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for whole texts: a batch stands in the JVM and in Python at once. A setting other than Spark's
+    own default is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

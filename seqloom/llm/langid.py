@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import crc_mod, table, text_slices, tidied
+from seqloom.llm.common import bounded_batches, crc_mod, table, text_slices, tidied
 
 BITS = {2: 14, 3: 15}
 N_FEATURES = 256 + sum(1 << b for b in BITS.values())
@@ -89,6 +89,7 @@ def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tu
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> list[tuple[str, np.ndarray]]:
     """Languages and features of about ``sample`` of the labelled rows of docs. The driver gets features of these rows only."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) >= SHORTEST))
     counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
     each = F.lit(sample) / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy()))
@@ -125,6 +126,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str =
 def judged(spark: SparkSession, langs: list[str], matrix: np.ndarray):
     """The same as a function of a text column: a struct of lang_pred and score. Other columns stay in the JVM."""
     model = spark.sparkContext.broadcast((langs, matrix))
+    bounded_batches(spark)
 
     @F.arrow_udf("lang_pred string, score double")
     def told(text: pa.Array) -> pa.Array:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import coded_words, crc_mod, stored, table, text_slices, tidied
+from seqloom.llm.common import bounded_batches, coded_words, crc_mod, stored, table, text_slices, tidied
 
 TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
@@ -444,6 +444,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
     held_out: a condition; what it holds for is scored but not learned from."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = docs.select(F.col(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
     train = d.filter(~F.col("held_out"))
     n_train = train.count()

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import coded_words, cut, stored, table, text_slices, tidied
+from seqloom.llm.common import bounded_batches, coded_words, cut, stored, table, text_slices, tidied
 
 SHINGLE, LEAST = 5, 85
 COORDS, SHORT, AGREE, MATCHES = 64, 20, 9, 42
@@ -105,6 +105,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
                 names=["id", "n_shingles", "digest", "keys", "low"],
             )
 
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     return d.mapInArrow(tidied(run), "id bigint, n_shingles bigint, digest binary, keys array<bigint>, low binary")
 
