@@ -62,14 +62,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case, as UTF-8. bytes.split and bytes.lower know ASCII only, which is what is asked for."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of an Arrow array of texts (nulls have none), which of them each word in order is, and each text's
-    number of words. The same words as ``words``."""
+    number of words. A-Z are put in lower case; only ASCII white space ends a word."""
     # a slice is copied first: the split below is wrong for arrays that don't start at their buffer's start
     texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))).fill_null("")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -80,7 +75,7 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), sizes
 
 
-def text_slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of bounded size: the first row and the texts."""
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     at = 0

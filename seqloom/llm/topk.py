@@ -2,8 +2,8 @@
 
 A vector is cut in segments; a segment's mean m and deviation d (root of the summed squared differences from the mean)
 bound the product of two segments of n components: q.x <= n * m(q) * m(x) + d(q) * d(x). Summed over the segments this
-is an upper bound of the score, that is, a lower bound of the distance. It is taken over 1/16, then 1/4 of the
-components (4-component segments last): only pairs whose coarse bound reaches the query's k-th best score so far are bounded
+is an upper bound of the score, that is, a lower bound of the distance. It is taken over segments of 16, then
+of 4 components: only pairs whose coarse bound reaches the query's k-th best score so far are bounded
 more finely, and only survivors are scored exactly, as integers.
 
 Queries and candidates are grouped in blocks. Every query block meets every candidate block once, in a task of its own,
@@ -11,15 +11,13 @@ which holds at most QUERIES queries and one bounded part of the candidates; each
 parts' lists are merged by a window on the query.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
-vectors of another length than the query's share no product and are no candidates for it; a score beyond a long is the nearest long; ties go to the smaller id;
-repeated rows are candidates each; fewer than k candidates give fewer rows; an empty table gives an empty result; other
+vectors of another length than the query's share no product and are no candidates for it; a score beyond a long is the
+nearest long; ties go to the smaller id; repeated rows are candidates each; fewer than k candidates give fewer rows; an empty table gives an empty result; other
 columns take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,14 +29,15 @@ K, QUERIES_A_BLOCK, PART, SCALE, STEP = 10, 2048, 16384, 1024, 1024
 RATIOS = (16, 4)
 
 
-def segments(x: np.ndarray, ratio: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of x, by segments of ratio components: root(n) * mean, deviation, with the rounding of either on the safe side."""
+def segments(x: np.ndarray, ratio: int) -> np.ndarray:
+    """Of each row of x, by segments of ratio components: root(n) * mean, then deviation. A product of two rows of these is
+    the bound."""
     cuts = np.arange(0, x.shape[1], ratio)
     n = np.diff(np.append(cuts, x.shape[1])).astype(np.float64)
     total = np.add.reduceat(x, cuts, axis=1)
     square = np.add.reduceat(x * x, cuts, axis=1)
     mean = total / np.sqrt(n)
-    return mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.sqrt(square.sum(axis=1))
+    return np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0))])
 
 
 def exact(q: np.ndarray, x: np.ndarray, safe: bool) -> np.ndarray:
@@ -55,8 +54,7 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
     out_q, out_id, out_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     bar = np.full(nq, -np.inf)  # the k-th best score so far
     levels = [r for r in RATIOS if r < dim]
-    sq = {r: segments(q, r) for r in levels}
-    qq = {r: np.hstack(sq[r][:2]) for r in levels}
+    qq = {r: segments(q, r) for r in levels}
     q_len = np.sqrt((q * q).sum(axis=1))
     scored = 0
     # long vectors first: they raise the bar early
@@ -67,7 +65,7 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
         slack = 1e-9 * q_len * np.sqrt((c * c).sum(axis=1)).max(initial=0) + 1e-6
         low = bar - slack
         if levels:
-            stats = {r: np.hstack(segments(c, r)[:2]) for r in levels}
+            stats = {r: segments(c, r) for r in levels}
             i, j = np.nonzero(qq[levels[0]] @ stats[levels[0]].T >= low[:, None])
             for r in levels[1:]:
                 keep = np.concatenate([np.einsum("ij,ij->i", qq[r][i[a : a + 65536]], stats[r][j[a : a + 65536]]) >= low[i[a : a + 65536]] for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
