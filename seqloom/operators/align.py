@@ -32,6 +32,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk_id", "idx", "line", "rname", "rnext", "flag", "sam"])
 
 
+def _spread(reads: DataFrame, *keys: str) -> DataFrame:
+    """Reads over as many tasks as there are cores or shuffle partitions: aligning them takes far longer than moving them,
+    and a number that is given keeps small parts from being merged."""
+    spark = reads.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return reads.repartition(n, *keys)
+
+
 def single_end(reads: DataFrame, index_path: str, options: Options = Options()) -> DataFrame:
     """Lines of reads (chunk_id, idx, name, comment, seq, qual). idx is the read's place in its chunk; ties depend on it."""
 
@@ -48,15 +56,12 @@ def single_end(reads: DataFrame, index_path: str, options: Options = Options())
                 rows += _lines(r["chunk_id"], r["idx"], records.single(index, r, found, options, m))
             yield _frame(rows)
 
-    return reads.select("chunk_id", "idx", "name", "comment", "seq", "qual").mapInPandas(run, LINES)
-
-
-PAIR = "chunk_id bigint, pair_idx bigint, name struct<a: string, b: string>, seq struct<a: string, b: string>, qual struct<a: string, b: string>, comment struct<a: string, b: string>"
+    return _spread(reads.select("chunk_id", "idx", "name", "comment", "seq", "qual"), "chunk_id", "idx").mapInPandas(run, LINES)
 
 
 def as_pairs(reads: DataFrame) -> DataFrame:
     """One row a pair from reads with pair_idx and mate (0, 1)."""
-    both = reads.groupBy("chunk_id", "pair_idx").agg(*[F.max(F.when(F.col("mate") == k, F.struct("name", "comment", "seq", "qual"))).alias(x) for k, x in enumerate("ab")])
+    both = _spread(reads, "chunk_id", "pair_idx").groupBy("chunk_id", "pair_idx").agg(*[F.max(F.when(F.col("mate") == k, F.struct("name", "comment", "seq", "qual"))).alias(x) for k, x in enumerate("ab")])
     return both.select("chunk_id", "pair_idx", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for c in ("name", "comment", "seq", "qual") for x in "ab"])
 
 
