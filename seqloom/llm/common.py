@@ -93,15 +93,20 @@ def tidied(f):
     @functools.wraps(f)
     def run(batches):
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Smaller Arrow batches for whole texts: a batch stands in the JVM and in Python at once. A setting other than Spark's
     own default is left as it is."""

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bounded_batches, coded_words, crc_mod, stored, table, text_slices, tidied
+from seqloom.llm.common import bounded_batches, coded_words, crc_mod, give_back, stored, table, text_slices, tidied
 
 TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
@@ -440,6 +440,16 @@ def _lookup(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(known[i] == h, counts[i], 0)
 
 
+def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words' hashes in order, and their counts."""
+    c = counts.toArrow()
+    h, n = c["word"].to_numpy().view(np.uint64), c["c"].to_numpy()
+    del c
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    return h, n.astype(np.int32) if not len(n) or n.max() < 2**31 else n
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, words_at_most: int = WORDS_AT_MOST) -> DataFrame:
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
     held_out: a condition; what it holds for is scored but not learned from."""
@@ -460,6 +470,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
     counts = rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
     model = Model(coder, tables(summed(rows.filter("block IS NOT NULL").select("n", "part", "block"))))
     model.learn(Batch(texts, coder.topics))
+    give_back()
     counts = stored(counts)
     v, n = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(model)
@@ -476,10 +487,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text",
         )
 
     if v <= words_at_most:
-        c = counts.toArrow()
-        h = c["word"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        known = spark.sparkContext.broadcast((h[order], np.minimum(c["c"].to_numpy()[order], 2**31 - 1).astype(np.int32) if n < 2**31 else c["c"].to_numpy()[order]))
+        known = spark.sparkContext.broadcast(_sorted_counts(counts))
+        give_back()
 
         def run(batches):
             for b in batches:
