@@ -13,6 +13,8 @@ from seqloom.llm.common import stored, table
 
 #: A text is rejected if its language can't be told, or is told with less than this score.
 LEAST_SCORE = 0.35
+#: Documents whose word shingles are similar by this many hundredths are near copies.
+NEAR = 80
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id. Rows without id stay."""
-    g = neardup.groups(docs)
+    g = neardup.groups(docs, least=NEAR)
     gone = g.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     again = g.groupBy("id").count().filter("count > 1 AND id IS NOT NULL")

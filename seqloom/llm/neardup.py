@@ -2,13 +2,14 @@
 
 A document's set is its distinct shingles of five words. Documents with one set form a class, and only classes go on.
 A class has COORDS MinHash coordinates; it is posted under the coordinate-value pairs of a prefix of the first SHORT
-ones. Two classes that agree on at least AGREE of those SHORT coordinates meet in that prefix (SHORT - AGREE + 1
-coordinates) at least once. Pairs that meet count their equal coordinates over all COORDS, and those of at least MATCHES
-are compared on their full sets; only links that hold there count.
+ones. Two classes that agree on at least ``agree`` of those SHORT coordinates meet in that prefix (SHORT - agree + 1
+coordinates) at least once. Pairs that meet count their equal coordinates over all COORDS, and those of at least ``matches``
+are compared on their full sets; only links that hold there count. The threshold is a parameter, and both numbers come
+from it (``Bounds``).
 
 A posting list of m classes isn't turned into its pairs. First each member is compared with a few heads of its list,
 which are found by aggregation; links found make components. Then only lists that still hold several components are
-read, in blocks of bounded size: pairs of different components that reach MATCHES are compared, each in the first list
+read, in blocks of bounded size: pairs of different components that reach ``matches`` are compared, each in the first list
 that both share (later meetings are skipped). Members that have a crowd of such partners aren't paired: their sets are
 brought together by list and block, shared shingles are counted for one member against all, and a link is given only
 where it joins two components. So every pair that meets is either compared or already
@@ -17,7 +18,7 @@ connected, and no link between components is lost.
 Components come from repeated contraction: every node joins the root that its smallest neighbours lead to, until no
 edge is left, with each round's frames checkpointed. Texts are read again only for the classes of candidate pairs.
 
-Chance of missing a pair at similarity 0.85: under 1e-5 for the prefix and 3e-5 for the count.
+Chance of missing a pair at the threshold: at most MISS for the prefix and MISS_COUNT for the count.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with nothing and are their
 own component; under five words the whole sequence is the only shingle; rows with one id are one document with several
@@ -28,7 +29,9 @@ length; an empty table gives an empty result; other columns take no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,39 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import bounded_batches, coded_words, cut, stored, table, text_slices, tidied
 
 SHINGLE, LEAST = 5, 85
-COORDS, SHORT, AGREE, MATCHES = 64, 20, 9, 42
-PREFIX = SHORT - AGREE + 1
+COORDS, SHORT = 64, 20
+#: The chance, at most, that a pair at the threshold is missed by the prefix, and by the count.
+MISS, MISS_COUNT = 1e-5, 3.1e-5
 #: Members of a posting list that are compared in one go, and ids that are broadcast at most (8 MB).
 BLOCK, FEW = 2048, 1_000_000
 #: A member with more likely partners than this in a list is compared with them by counting, not pair by pair.
 CROWD = 16
 
+
+def _most(n: int, p: float, miss: float) -> int:
+    """The largest m such that fewer than m of n coordinates, each equal with chance p, are equal with a chance of at most miss."""
+    m, below = 0, 0.0
+    while m <= n:
+        below += math.comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below > miss:
+            break
+        m += 1
+    return m
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """A threshold in hundredths, coordinates of the prefix, and equal coordinates that a candidate pair has at least."""
+
+    least: int
+    prefix: int
+    matches: int
+
+    @staticmethod
+    def of(least: int) -> Bounds:
+        return Bounds(least, SHORT - max(1, _most(SHORT, least / 100, MISS)) + 1, _most(COORDS, least / 100, MISS_COUNT))
+
+
 _mult = np.random.default_rng(20).integers(0, 2**63, SHINGLE + COORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -85,7 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None],
             yield ids[at : at + len(texts)], shingle_sets(texts)
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def signed(docs: DataFrame, by: Bounds, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, digest of the set (null if empty), coordinate-value pairs of the prefix, the coordinates as ``_packed`` has them."""
 
     def run(batches):
@@ -94,8 +123,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
             digest, keys, low = [None] * len(ids), [None] * len(ids), [None] * len(ids)
             if full:
                 sig = signature([sets[i] for i in full])
-                pairs = sig[:, :PREFIX].astype(np.int64) | (np.arange(PREFIX, dtype=np.int64) << 32)
-                small = _packed(sig)
+                pairs = sig[:, : by.prefix].astype(np.int64) | (np.arange(by.prefix, dtype=np.int64) << 32)
+                small = _packed(sig, by)
                 for r, i in enumerate(full):
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     keys[i] = pairs[r]
@@ -110,9 +139,9 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return d.mapInArrow(tidied(run), "id bigint, n_shingles bigint, digest binary, keys array<bigint>, low binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= LEAST * (len(a) + len(b) - both)
+    return 100 * both >= least * (len(a) + len(b) - both)
 
 
 class Sets:
@@ -140,14 +169,14 @@ class Sets:
         return self.stored
 
 
-def confirmed(pairs: DataFrame, sets: Sets) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: Sets, by: Bounds) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. pairs: stored."""
     s = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare(batches):
         for x in batches:
-            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
+            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), by.least) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(tidied(compare), "a bigint, b bigint").distinct()
@@ -174,18 +203,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _packed(sig: np.ndarray) -> np.ndarray:
+def _packed(sig: np.ndarray, by: Bounds) -> np.ndarray:
     """Rows of bytes: the prefix's coordinates whole, of the others the low byte."""
-    return np.hstack([np.ascontiguousarray(sig[:, :PREFIX]).view(np.uint8), sig[:, PREFIX:].astype(np.uint8)])
+    return np.hstack([np.ascontiguousarray(sig[:, : by.prefix]).view(np.uint8), sig[:, by.prefix :].astype(np.uint8)])
 
 
-def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * PREFIX + COORDS - PREFIX)
-    return np.ascontiguousarray(x[:, : 4 * PREFIX]).view(np.uint32), x[:, 4 * PREFIX :]
+def _unpacked(column, by: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 3 * by.prefix + COORDS)
+    return np.ascontiguousarray(x[:, : 4 * by.prefix]).view(np.uint32), x[:, 4 * by.prefix :]
 
 
-def head_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): a member of a posting list and one of its two heads, with at least MATCHES equal coordinates."""
+def head_pairs(postings: DataFrame, by: Bounds) -> DataFrame:
+    """(a, b): a member of a posting list and one of its two heads, with at least by.matches equal coordinates."""
     member = F.struct("id", "low")
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("h"), F.min(F.struct(F.xxhash64("id"), "id", "low")).alias("g")).filter("n > 1")
     heads = heads.select("key", F.explode(F.array(F.struct("h.id", "h.low"), F.struct("g.id", "g.low"))).alias("h"))
@@ -194,8 +223,8 @@ def head_pairs(postings: DataFrame) -> DataFrame:
     def run(batches):
         for x in batches:
             if x.num_rows:
-                (p, q), (r, s) = _unpacked(x.column(1)), _unpacked(x.column(3))
-                good = (p == r).sum(axis=1) + (q == s).sum(axis=1) >= MATCHES
+                (p, q), (r, s) = _unpacked(x.column(1), by), _unpacked(x.column(3), by)
+                good = (p == r).sum(axis=1) + (q == s).sum(axis=1) >= by.matches
                 yield pa.RecordBatch.from_arrays([x.column(2), x.column(0)], names=["a", "b"]).filter(pa.array(good))
 
     return met.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -220,8 +249,8 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, i
         yield key, pa.Table.from_batches(held)
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is left to compare in lists of several components: pairs (a, b) of different components with at least MATCHES
+def rest_pairs(postings: DataFrame, labels: DataFrame, by: Bounds) -> DataFrame:
+    """What is left to compare in lists of several components: pairs (a, b) of different components with at least by.matches
     equal coordinates; and in place of the pairs of a member that has more than CROWD of them, the members of that crowd
     (key, x, y, a: list and blocks), b null."""
     p = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -235,7 +264,7 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for (key, x, y), t in _in_groups(batches):
-            block, ids, label, (head, low) = t["i"].to_numpy(), t["id"].to_numpy(), t["label"].to_numpy(), _unpacked(t["low"])
+            block, ids, label, (head, low) = t["i"].to_numpy(), t["id"].to_numpy(), t["label"].to_numpy(), _unpacked(t["low"], by)
             coord = key >> 32
             crowd = np.zeros(len(ids), bool)
             out_a, out_b = [], []
@@ -248,7 +277,7 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
                 if len(o):
                     same = head[o] == head[r]
                     # pairs that share an earlier coordinate of the prefix have met there
-                    o = o[(same.sum(axis=1) + (low[o] == low[r]).sum(axis=1) >= MATCHES) & ~same[:, :coord].any(axis=1)]
+                    o = o[(same.sum(axis=1) + (low[o] == low[r]).sum(axis=1) >= by.matches) & ~same[:, :coord].any(axis=1)]
                     if len(o) > CROWD:
                         crowd[r] = True
                         crowd[o] = True
@@ -262,7 +291,7 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return p.mapInArrow(tidied(run), "key bigint, x int, y int, a bigint, b bigint")
 
 
-def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
+def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets, by: Bounds) -> DataFrame:
     """(a, b): links between the components of crowds (key, x, y, id); enough of them to join what belongs together."""
     s = sets.of(crowds.select("id"))
     c = crowds.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(s, "id").select("key", "x", "y", "id", "label", "s")
@@ -283,7 +312,7 @@ def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
                 has[own] = True
                 both = np.add.reduceat(has[flat].astype(np.int32), starts)
                 has[own] = False
-                for o in np.flatnonzero((label != label[r]) & (100 * both >= LEAST * (size + size[r] - both))):
+                for o in np.flatnonzero((label != label[r]) & (100 * both >= by.least * (size + size[r] - both))):
                     if label[o] != label[r]:
                         out_a.append(int(ids[r]))
                         out_b.append(int(ids[o]))
@@ -293,17 +322,18 @@ def crowd_links(crowds: DataFrame, labels: DataFrame, sets: Sets) -> DataFrame:
     return c.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id: a row per row of docs."""
-    rows = stored(signed(docs, id_col, text))
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """id, n_shingles, component_id: a row per row of docs. least: the threshold, in hundredths."""
+    by = Bounds.of(least)
+    rows = stored(signed(docs, by, id_col, text))
     named = rows.filter("digest IS NOT NULL AND id IS NOT NULL")
     classes = stored(named.groupBy("digest").agg(F.min(F.struct("id", "keys", "low")).alias("m")).select("digest", "m.*"))
     postings = classes.select(F.explode("keys").alias("key"), "id", "low")
     sets = Sets(docs, id_col, text)
-    labels = components(confirmed(stored(head_pairs(postings)), sets))
-    rest = stored(rest_pairs(postings, labels))
-    links = confirmed(rest.filter("key IS NULL").select("a", "b"), sets)
-    links = links.union(crowd_links(rest.filter("key IS NOT NULL").select("key", "x", "y", F.col("a").alias("id")), labels, sets))
+    labels = components(confirmed(stored(head_pairs(postings, by)), sets, by))
+    rest = stored(rest_pairs(postings, labels, by))
+    links = confirmed(rest.filter("key IS NULL").select("a", "b"), sets, by)
+    links = links.union(crowd_links(rest.filter("key IS NOT NULL").select("key", "x", "y", F.col("a").alias("id")), labels, sets, by))
     labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
     # an id with several texts ties their classes together
     several = named.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("id")

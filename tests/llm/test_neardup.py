@@ -85,3 +85,16 @@ def test_ids_with_several_texts_null_ids_and_empty(spark):
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (50, 70), (200, 200)], "a long, b long")
     assert {r.id: r.label for r in neardup.components(e).collect()} == {**{i: 0 for i in range(41)}, 50: 50, 70: 50, 100: 50}
+
+
+def test_threshold_is_a_parameter(spark):
+    assert [neardup.Bounds.of(x) for x in (80, 85)] == [neardup.Bounds(80, 14, 37), neardup.Bounds(85, 12, 42)]
+    base = [f"w{i}" for i in range(204)]
+    near = base[:188] + [f"x{i}" for i in range(16)]  # 184 of 216 shingles: 0.852
+    mid = [f"y{i}" for i in range(21)] + base[21:]  # 179 of 221 shingles: 0.81
+    far = base[:178] + [f"z{i}" for i in range(26)]  # 174 of 226 shingles: 0.77
+    rows = [(i, " ".join(w)) for i, w in enumerate((base, near, mid, far))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **how: {r.id: r.component_id for r in neardup.groups(d, **how).collect()}
+    assert found() == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert found(least=80) == {0: 0, 1: 0, 2: 0, 3: 3}

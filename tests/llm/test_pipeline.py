@@ -86,3 +86,11 @@ def test_odd_rows_pass_every_stage(spark, folder):
         for name, f in corpus_pipeline.STAGES:
             out = f(spark, spark.createDataFrame(rows, schema), folder)
             assert out.count() <= 15, name
+
+
+def test_near_copies_from_80_percent(spark, folder):
+    base = [f"w{i}" for i in range(204)]
+    # 179 of 221, and 174 of 226 shingles are shared with the first
+    texts = [base, [f"y{i}" for i in range(21)] + base[21:], base[:178] + [f"z{i}" for i in range(26)]]
+    d = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, folder).collect()} == {0, 2}
