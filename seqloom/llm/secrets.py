@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives; SQL expressions only.
 
-Candidates are what CANDIDATE matches: keys with a known prefix, values assigned to a telling name, and long tokens with
-a digit. Each candidate is described by its length, its character transitions (changes between lower case, upper case,
+Candidates are what CANDIDATE matches: keys with a known prefix, private keys in PEM form as a whole, values assigned to a
+telling name (whatever comes before it in a longer name), and long tokens with a digit. Each candidate is described by its length, its character transitions (changes between lower case, upper case,
 digits and signs, and the share of different characters), how much of it dictionary words cover, signs of a path, and
 the words beside it. A random forest, trained from labelled findings, gives the share of its trees' leaves for a secret.
 
@@ -28,9 +28,13 @@ MASK = "[SECRET]"
 
 #: Names that a secret is assigned to, and prefixes of keys.
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)"
-ASSIGNED = NAMES + r"[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?"
-KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?:" + KNOWN + "|" + ASSIGNED + r"[^\s\x22\x27<>,;]{6,}|(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
+#: A name ends a run of the prefix's characters; that the run ends before a sign is seen first, which keeps the search linear.
+ASSIGNED = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*+[\x22\x27]?\s{0,3}[:=])[A-Za-z0-9+/_.-]*?" + NAMES + r"[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?(?=[^\s\x22\x27<>,;]{6})"
+#: To the END line; without one, to the last of the lines of base64 that follow.
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{40,}){0,200})"
+KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+KNOWN = KEYS + "|" + PEM
+CANDIDATE = "(?:" + PEM + "|(?<![A-Za-z0-9])(?:" + KEYS + ")|" + ASSIGNED + "(?:" + PEM + r"|[^\s\x22\x27<>,;]{6,})|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"
 #: Words that secrets don't hold, and words that tell of something else beside a token.
 DICTIONARY = (
     r"(?i)password|passwd|secret|token|example|sample|change|dummy|default|placeholder|public|private|access|user|admin|login|your|here|test|demo|none|null|true|false|value|string|name|field|index|table|column|config|setting|server|client"
@@ -74,11 +78,14 @@ FEATURES = {
 
 def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """Labelled findings by rule: b, v, a, label (1: a secret). Values come from md5 of the number, so they are the same each time."""
-    d = spark.range(0, n, 1, 2).selectExpr("id", "md5(concat('finding ', id)) AS m", "md5(concat('more ', id)) AS o", "cast(pmod(xxhash64(id), 19) AS int) AS k", "cast(pmod(xxhash64(id, 1), 6) AS int) AS w")
+    d = spark.range(0, n, 1, 2).selectExpr("id", "md5(concat('finding ', id)) AS m", "md5(concat('more ', id)) AS o", "cast(pmod(xxhash64(id), 24) AS int) AS k", "cast(pmod(xxhash64(id, 1), 6) AS int) AS w")
     mixed = "replace(replace(replace(base64(unhex(concat(m, o))), '+', 'x'), '/', 'Q'), '=', '')"
     capital = "substring(translate(upper(concat(m, o)), '0123456789ABCDEF', 'QW3RT6YU9PAS2FGH'), 1, 16)"
     near = "element_at(array('the ', 'and so on. ', 'use this: ', 'for it, ', 'export ', '// '), w + 1)"
     words = "element_at(array('readRequestFromClientObject', 'table_of_service_names_version', 'north-street-house-number', 'getUserNameFieldLength', 'page-style-color-default', 'there-is-nothing-to-see-here'), w + 1)"
+    lines = "array_join(transform(sequence(1, 3 + 4 * w), i -> left(regexp_replace(base64(unhex(sha2(concat(m, i), 512))), '[^A-Za-z0-9+/]', ''), 64)), '\\n')"
+    kind = "element_at(array('RSA ', 'EC ', '', 'OPENSSH ', 'ENCRYPTED ', 'DSA '), w + 1)"
+    pem = lambda body: f"concat('-----BEGIN ', {kind}, 'PRIVATE KEY-----\\n', {body}, '\\n-----END ', {kind}, 'PRIVATE KEY-----')"
     rules = [
         (1, f"concat({near}, 'token = \"')", "concat(m, left(o, 8))", "'\" and'"),
         (1, f"concat({near}, 'password=')", "left(m, 12 + 2 * w)", "' or'"),
@@ -99,6 +106,11 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, f"concat({near}, 'order ')", "translate(concat(m, left(o, w)), 'abcdef', '123456')", "' was'"),
         (0, f"concat({near}, 'token=')", f"left({words}, 18)", "' '"),
         (0, near, f"concat('/usr/share/', {words}, w)", "' '"),
+        (1, near, pem(lines), "''"),
+        (1, f"concat({near}, 'private_key = \"')", pem(lines), "'\"'"),
+        (0, near, pem("'your private key here'"), "''"),
+        (1, f"concat({near}, 'AWS_ACCESS_KEY_ID=')", f"concat('AKIA', {capital})", "' then'"),
+        (1, f"concat({near}, 'DB_PASSWORD=')", "left(m, 12 + 2 * w)", "' or'"),
     ]
     case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {r[i]}" for k, r in enumerate(rules)) + " END"
     return d.selectExpr(f"{case(1)} AS b", f"{case(2)} AS v", f"{case(3)} AS a", f"double({case(0)}) AS label")
