@@ -54,6 +54,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(file)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,6 +121,9 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "-1", "67108864", "64m", "64MB", "268435456", "256MB"):
+        spark.conf.set(name, str(16 << 20))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -1,21 +1,25 @@
 """LM scoring by logistic context mixing.
 
 A text is its words, A-Z in lower case, and an end. A word is spelled as its bytes and a space, the end as a line feed;
-a byte is a path of binary decisions in a prefix code. Each decision is predicted in several hashed contexts: the word so
-far and its last two bytes, both with the text's kind, and its last three and last five bytes. The kind is what the words
-before tell (clusters of texts, in effect languages), so it adapts along the text. A context's slot holds how often either
-side was taken in the corpus; what such a history tells is learned too.
-The predictions are combined by a logistic mixer, whose weight set is gated by how often the word so far was seen and by
-the place in the word, and the result is refined by an adaptive map from (mixed prediction, last byte) to what came true.
-Kinds, weights and map are learned, the last two online, in small steps, on about SAMPLE training texts that are left out of the counts, so
-that they see counts as a new text does.
-
-Counts come from all training texts. They are gathered in tables of 2^TABLE_BITS slots, by context, a fixed size that is
-broadcast; tasks' tables are summed slab by slab, FAN at a time. Word counts for the base score are broadcast as hashes
-and counts while there are at most WORDS_AT_MOST different ones; beyond that, texts are dealt to blocks, and each
-block gets the counts of its own words by a join.
-
-As decisions depend on a word and the text's kind so far alone, they are made once for each such pair of a batch.
+a byte is a path of binary decisions in a prefix code. Each decision is predicted in hashed contexts that go on across
+the space before the word: the word so far with the text's kind, and the last two (with the kind), three and five bytes,
+of which at most two letters and the space stand before the word. The kind is what the words before tell (clusters of
+texts, in effect languages), so it adapts along the text. A context's slot holds how often either side was taken in the
+corpus; what such a history tells is learned too. The predictions are combined by a logistic mixer, whose weight set is
+gated by how often the word so far was seen and by the place in the word, and the result is refined by an adaptive map
+from (mixed prediction, last byte) to what came true.
+
+Beyond the word, a text is cut in stretches: one begins wherever the hash of the two words before is 0 modulo STRIDE. One
+more decision, made at its start, is whether the stretch is one that training saw after the same two words, in another
+text: its odds are those that training gives contexts seen so often, moved by how often the text's last stretches were
+known. With chance l for known, a stretch seen c of T times after its context has l * c / T + (1 - l) * (its spelling).
+So word order, phrases and copies count. A training text's own stretches are taken off the counts before it is scored.
+
+Passes, each where the rows are: bytes and kinds; counts of contexts, gathered from all training texts in tables of slots;
+weights and map, learned online along all training texts; spelling of all texts, whose words and stretches go
+to slabs by hash, are counted there, and come back by block of texts. Texts are dealt to two folds by hash: what is learned
+on a fold sees the counts of the other, as a new text does. No text is left out and nothing but tables of fixed size
+passes the driver. Tables have one slot for every 4 bytes of training text, up to 2^TABLE_BITS; beyond that contexts share slots.
 
 Defined results: a null or empty text is the end alone; without training texts N and V are 0, and all decisions are even;
 whole texts are scored at any length; repeated rows are scored alike; a row without id counts as training; an empty
@@ -25,27 +29,35 @@ table gives an empty result; other columns take no part.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bounded_batches, coded_words, crc_mod, give_back, stored, table, text_slices, tidied
+from seqloom.llm.common import bounded_batches, coded_words, crc_mod, removed, stored, table, text_slices, tidied
 
-TABLE_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 32
+#: Slots at most, by context; the least; slots of a slab; tables added at a time.
+TABLE_BITS, LEAST_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
-SAMPLE, LONGEST_SAMPLE = 1500, 20_000
-WORDS_AT_MOST = 8_000_000
-BLOCK_BYTES = 32 << 20
-END, SPACE = b"\n", 32
+#: Words of the text's kind are told apart by a hash of so many bits, and are at most so long.
+KIND_BITS, KIND_LENGTH = 12, 5
+#: One place in so many begins a stretch; stretches of the text that its odds look back on.
+STRIDE, LOOK_BACK = 16, 16
+#: Classes of how often a stretch's context was seen.
+CLASSES = 24
+SLAB_BYTES = 32 << 20
+END, SPACE, LINE = b"\n", 32, 10
 BUCKETS, FINE = 33, 32
 
-_mult = np.random.default_rng(4).integers(0, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_mult = np.random.default_rng(4).integers(0, 2**63, 24, dtype=np.uint64) | np.uint64(1)
 
 
 def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,44 +87,51 @@ def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return length, node, side
 
 
-class Topics:
-    """What frequent words tell of a text's kind (in effect, its language): log probabilities by kind, from k-means over texts."""
-
-    def __init__(self, texts: list[str], kinds: int = STATES - 1, words: int = 3000):
-        batch = Batch(texts, None)
-        top = np.argsort(-batch.counts(), kind="stable")[:words]
-        column = np.full(len(batch.words), -1)
-        column[top] = np.arange(len(top))
-        row, col = np.repeat(np.arange(len(texts)), batch.size), column[batch.token]
-        tf = np.zeros((len(texts), len(top)), np.float32)
-        np.add.at(tf, (row[col >= 0], col[col >= 0]), 1)
-        unit = np.sqrt(tf)
-        unit /= np.maximum(1e-6, np.linalg.norm(unit, axis=1, keepdims=True))
-        # centres: each next one is far from those before
-        chosen = [0] if len(texts) else []
-        while chosen and len(chosen) < min(kinds, len(texts)):
-            chosen.append(int((unit @ unit[chosen].T).max(axis=1).argmin()))
-        centre = unit[chosen]
-        for _ in range(15):
-            own = (unit @ centre.T).argmax(axis=1) if len(chosen) else np.zeros(0, int)
-            centre = np.stack([unit[own == k].mean(axis=0) if (own == k).any() else centre[k] for k in range(len(chosen))]) if len(chosen) else centre
-            centre = centre / np.maximum(1e-6, np.linalg.norm(centre, axis=1, keepdims=True)) if len(chosen) else centre
-        self.told = np.zeros((len(top) + 1, kinds))
+def _clustered(x: np.ndarray, weight: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
+    """Rows of word counts added up to at most ``kinds`` clusters (k-means on the unit sphere, of root counts)."""
+    unit = np.sqrt(x)
+    unit /= np.maximum(1e-6, np.sqrt((unit * unit).sum(axis=1, keepdims=True)))
+    chosen = [int(weight.argmax())] if len(x) else []
+    while chosen and len(chosen) < min(kinds, len(x)):
+        chosen.append(int((unit @ unit[chosen].T).max(axis=1).argmin()))
+    centre = unit[chosen]
+    own = np.zeros(len(x), np.int64)
+    for _ in range(12):
+        own = (unit @ centre.T).argmax(axis=1) if chosen else own
         for k in range(len(chosen)):
-            c = tf[own == k].sum(axis=0)
-            self.told[: len(top), k] = np.log((c + 0.5) / (c.sum() + 0.5 * len(top)))
-        self.told[: len(top), len(chosen) :] = -50
-        order = np.argsort(batch.hash[top])
-        self.hash, self.told[: len(top)] = batch.hash[top][order], self.told[: len(top)][order]
-        self.told[: len(top)] -= self.told[: len(top)].max(axis=1, keepdims=True)
+            if (own == k).any():
+                centre[k] = (unit[own == k] * weight[own == k, None]).sum(axis=0)
+        centre = centre / np.maximum(1e-6, np.sqrt((centre * centre).sum(axis=1, keepdims=True)))
+    return np.stack([x[own == k].sum(axis=0) for k in range(len(chosen))]) if chosen else np.zeros((0, x.shape[1]), np.float32)
+
+
+def _kind_words(batch: Batch) -> np.ndarray:
+    """Of each word, the column that it counts in, or -1."""
+    short = np.array([len(w) <= KIND_LENGTH for w in batch.words])
+    return np.where(short & (np.arange(len(short)) > 0), (batch.hash >> np.uint64(64 - KIND_BITS)).astype(np.int64), -1)
+
+
+class Topics:
+    """What short words tell of a text's kind (in effect, its language): log probabilities by kind, and a last row for others."""
+
+    def __init__(self, counts: np.ndarray | None = None):
+        counts = np.zeros((0, 1 << KIND_BITS), np.float32) if counts is None else counts
+        # in the order of their size, so that the same texts give the same kinds however they were dealt out
+        counts = counts[np.lexsort((counts.argmax(axis=1), -counts.sum(axis=1)))]
+        total = counts.sum(axis=1, keepdims=True)
+        self.told = np.zeros(((1 << KIND_BITS) + 1, len(counts)))
+        if len(counts):
+            self.told[:-1] = np.log((counts + 0.5) / (total + 0.5 * counts.shape[1])).T
+            self.told[:-1] -= self.told[:-1].max(axis=1, keepdims=True)
+            self.told[:-1][counts.sum(axis=0) == 0] = 0
 
     def states(self, batch: Batch) -> np.ndarray:
         """Of each token: 0, or 1 + the kind that the words before it in its text tell."""
         n = len(batch.token)
-        if not n or not len(self.hash):
+        if not n or not self.told.shape[1]:
             return np.zeros(n, np.int64)
-        i = np.minimum(np.searchsorted(self.hash, batch.hash), len(self.hash) - 1)
-        row = np.where(self.hash[i] == batch.hash, i, len(self.hash))[batch.token]
+        column = _kind_words(batch)
+        row = np.where(column >= 0, column, len(self.told) - 1)[batch.token]
         first = np.repeat(batch.start, batch.size)
         best, state = np.full(n, -np.inf), np.zeros(n, np.int64)
         for k in range(self.told.shape[1]):
@@ -120,13 +139,14 @@ class Topics:
             so_far -= so_far[first]
             more = so_far > best + 1e-6
             best[more], state[more] = so_far[more], k + 1
-        known = np.concatenate([[0], np.cumsum(row < len(self.hash))[:-1]])
+        known = np.concatenate([[0], np.cumsum(row < len(self.told) - 1)[:-1]])
         state[known == known[first]] = 0
         return state
 
 
 class Batch:
-    """Texts as pairs of a state and a word: words, hashes; of each token its pair; of each text its first token."""
+    """Texts as tokens, and as units: a word, its text's kind there, and the last two bytes of the word before it. What a
+    token's decisions depend on is its unit, so they are made once for all tokens of one unit."""
 
     def __init__(self, texts, topics: Topics | None):
         """texts: strings or nulls, as a list or an Arrow array."""
@@ -137,54 +157,61 @@ class Batch:
         self.token = np.zeros(int(self.size.sum()), np.int32)  # the end is word 0
         self.token[np.arange(len(index)) + np.repeat(np.arange(len(sizes)), sizes)] = index + 1
         self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        now = topics.states(self) if topics else np.zeros(len(self.token), np.int64)
-        code = self.token.astype(np.int64) * STATES + now
-        seen = np.bincount(code, minlength=len(self.words) * STATES)
-        self.pairs = np.flatnonzero(seen)
-        self.times = seen[self.pairs]
-        place = np.zeros(len(seen), np.int32)
-        place[self.pairs] = np.arange(len(self.pairs))
-        self.pair = place[code]
+        if topics is None:
+            return
+        tail = np.array([int.from_bytes((b" " + w)[-2:], "big") for w in self.words], np.int64)[self.token]
+        before = np.concatenate([[0], tail[:-1]])
+        before[self.start] = LINE << 8 | LINE
+        code = (self.token.astype(np.int64) << 20) | (topics.states(self) << 16) | before
+        # units in the order in which they come along the texts
+        self.unit, self.units = pd.factorize(code)
+        self.times = np.bincount(self.unit, minlength=len(self.units))
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, minlength=len(self.words))
 
     def chunks(self, most: int = 8_000) -> Iterator[tuple[int, int]]:
-        for a in range(0, len(self.pairs), most):
-            yield a, min(a + most, len(self.pairs))
-
-
-def spelled(batch: Batch, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of pairs a to b with their spaces, their place in the word, and the pair of each byte (from 0)."""
-    pairs = batch.pairs[a:b]
-    ws = [batch.words[i] for i in (pairs // STATES).tolist()]
-    raw = b"".join([w if w == END else w + b" " for w in ws])
-    length = np.array([len(w) + (w != END) for w in ws], np.int64)
+        for a in range(0, len(self.units), most):
+            yield a, min(a + most, len(self.units))
+
+
+def spelled(batch: Batch, a: int, b: int):
+    """Of units a to b: the bytes (as numbers from 1) with three bytes before each unit, which of them are to be spelled,
+    their place in the word, and the unit of each byte to be spelled (from 0)."""
+    units = batch.units[a:b]
+    ws = [batch.words[i] for i in (units >> 20).tolist()]
+    tails = (units & 0xFFFF).tolist()
+    raw = b"".join([t.to_bytes(2, "big") + (b"\n" if t == (LINE << 8 | LINE) else b" ") + (w if w == END else w + b" ") for t, w in zip(tails, ws)])
+    length = np.array([len(w) + (w != END) for w in ws], np.int64) + 3
     owner = np.repeat(np.arange(len(ws)), length)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length) - 3
     return np.frombuffer(raw, np.uint8), place, owner
 
 
 class Coder:
-    """Decisions of pairs of a batch, and their slots."""
+    """Decisions of a batch's units, and the hashes of their contexts."""
 
-    def __init__(self, weights: np.ndarray, topics: Topics):
+    def __init__(self, weights: np.ndarray, topics: Topics, bits: tuple[int, ...] = TABLE_BITS):
         self.length, self.node, self.side = prefix_code(weights)
-        self.topics = topics
+        self.topics, self.bits = topics, bits
 
     def decisions(self, batch: Batch, a: int, b: int):
-        """side, slots (contexts x decisions), gate place, last byte, pair of each decision."""
-        byte, place, owner = spelled(batch, a, b)
-        wide = byte.astype(np.uint64) + np.uint64(1)
+        """side, slots (contexts x decisions), gate place, last byte, unit of each decision (from 0)."""
+        raw, place, owner = spelled(batch, a, b)
+        wide, n = raw.astype(np.uint64) + np.uint64(1), len(raw)
+        prev = [np.concatenate([np.zeros(min(k, n), np.uint64), wide[: n - k]]) for k in range(1, 6)]
+        own = np.flatnonzero(place >= 0)
+        byte, place, owner, wide = raw[own], place[own], owner[own], wide[own]
+        # three bytes before the word's first one are known
+        prev = [np.where(place + 3 >= k, p[own], np.uint64(0)) for k, p in enumerate(prev, 1)]
         n = len(byte)
-        prev = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), np.uint64), wide[: n - k]]), np.uint64(0)) for k in range(1, 6)]
         # hash of the word so far: a running sum of its bytes times powers, less what came before the word
         power = np.cumprod(np.full(max(1, int(place.max(initial=0)) + 1), _mult[0], np.uint64), dtype=np.uint64)
         total = np.cumsum((wide * _mult[1] ^ (wide << np.uint64(17))) * power[place], dtype=np.uint64)
-        head = np.concatenate([[np.uint64(0)], total[:-1]])
+        head = np.concatenate([np.zeros(min(1, n), np.uint64), total[:-1]])
         head = head - head[np.flatnonzero(place == 0)][owner] + place.astype(np.uint64)
         head = (head ^ (head >> np.uint64(29))) * _mult[2]
-        state = (batch.pairs[a:b] % STATES).astype(np.uint64)[owner]
+        state = (batch.units[a:b] >> 16 & 15).astype(np.uint64)[owner]
         nine = np.uint64(9)
         two = prev[0] << nine | prev[1]
         three = two << nine | prev[2]
@@ -196,13 +223,13 @@ class Coder:
         b_at = byte[at]
         salt = (self.node[b_at, j] + np.uint64(1)) * _mult[6]
         slots = []
-        for c, bits in zip(contexts, TABLE_BITS):
+        for c, bits in zip(contexts, self.bits):
             h = c[at]
             h ^= salt
             h *= _mult[7]
             h >>= np.uint64(64 - bits)
             slots.append(h.view(np.int64))
-        return self.side[b_at, j], slots, np.minimum(place, 2)[at], np.maximum(prev[0], np.uint64(1)).astype(np.int64)[at] - 1, owner[at]
+        return self.side[b_at, j], slots, np.minimum(place, 2)[at], prev[0].astype(np.int64)[at] - 1, owner[at]
 
 
 def history(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -229,16 +256,17 @@ def _typical() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Histories by slot, what each tells (learned), gated weights and the adaptive map."""
+    """Histories by slot, what each tells, gated weights and the adaptive map."""
 
-    def __init__(self, coder: Coder, slots: list[np.ndarray]):
+    def __init__(self, coder: Coder, slots: list[np.ndarray], told: np.ndarray | None = None):
         self.coder, self.slots = coder, slots
         odds, self.kind = _typical()
-        self.told = np.repeat(odds[None, :], CONTEXTS, axis=0).astype(np.float32)
+        self.told = np.repeat(odds[None, :], CONTEXTS, axis=0).astype(np.float32) if told is None else told
         self.weights = np.full((GATES, CONTEXTS + 1), 0.35, np.float32)
         self.weights[:, CONTEXTS] = 0
         self.hits = np.repeat(1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))[None, :], 256, axis=0) * 6
         self.tries = np.full((256, BUCKETS), 6.0)
+        self.square, self.done = np.zeros((GATES, CONTEXTS + 1)), 0
         self.settle()
 
     def settle(self) -> None:
@@ -250,36 +278,26 @@ class Model:
         p = np.clip(0.5 / (1 + np.exp(-t)) + 0.5 * refined, 1e-5, 1 - 1e-5)
         self.cost = np.log10(np.stack([1 - p, p])).astype(np.float32).ravel()
 
-    def histories(self, slots) -> list[np.ndarray]:
-        return [self.slots[k][slots[k]] for k in range(CONTEXTS)]
-
-    def inputs(self, seen, place):
+    def inputs(self, slots, place):
+        """Histories, what they tell (a row each, and a constant), and the gate."""
+        seen = [np.take(self.slots[k], slots[k], mode="clip").astype(np.intp) for k in range(CONTEXTS)]
         x = np.empty((CONTEXTS + 1, len(place)), np.float32)
         for k in range(CONTEXTS):
-            x[k] = self.told[k][seen[k]]
+            np.take(self.told[k], seen[k], out=x[k], mode="clip")
         x[CONTEXTS] = 0.3
         # where the word so far is new, how often its last five bytes were seen
-        gate = np.where(seen[0] == 0, 16 + (self.kind[seen[3]] & 7), self.kind[seen[0]])
-        return x, gate * 3 + place
-
-    def mixed(self, x, gate):
-        t = np.zeros(x.shape[1], np.float32)
-        for k in range(CONTEXTS + 1):
-            t += x[k] * self.weights[gate, k]
-        return np.clip(t, -12, 12)
-
-    def mixed_at(self, slots, place):
-        """``mixed`` of ``inputs``, without making them."""
-        seen = [np.take(self.slots[k], slots[k], mode="clip").astype(np.intp) for k in range(CONTEXTS)]
         gate = np.take(self.kind * 3, seen[0], mode="clip")
         new = np.flatnonzero(seen[0] == 0)
         gate[new] = (16 + (self.kind[seen[3][new]] & 7)) * 3
         gate += place
+        return x, gate
+
+    def mixed(self, x, gate):
         columns = np.ascontiguousarray(self.weights.T)
-        t = np.take(columns[CONTEXTS] * np.float32(0.3), gate, mode="clip")
-        for k in range(CONTEXTS):
-            part = np.take(self.told[k], seen[k], mode="clip")
-            part *= np.take(columns[k], gate, mode="clip")
+        t = np.zeros(x.shape[1], np.float32)
+        for k in range(CONTEXTS + 1):
+            part = np.take(columns[k], gate, mode="clip")
+            part *= x[k]
             t += part
         return np.clip(t, -12, 12, out=t)
 
@@ -289,50 +307,36 @@ class Model:
         low = s.astype(np.int64)
         return low, s - low
 
-    def learn(self, batch: Batch, step: int = 4096, rate: float = 0.03, rounds: int = 3) -> None:
-        """Online: each step of decisions is predicted first, then learned from. The first round learns what histories tell."""
-        hits, tries = 2 / (1 + np.exp(-self.told.astype(np.float64))), np.full(self.told.shape, 2.0)
-        square, done = np.zeros((GATES, CONTEXTS + 1)), 0
-        order = np.random.default_rng(2).permutation(len(batch.pairs))
-        batch.pairs, batch.times = batch.pairs[order], batch.times[order]
-        for turn in range(rounds):
-            for a, b in batch.chunks(20_000):
-                side, slots, place, last, owner = self.coder.decisions(batch, a, b)
-                times = batch.times[a:b][owner].astype(np.float32)
-                seen = self.histories(slots)
-                if turn == 0:
-                    for k in range(CONTEXTS):
-                        hits[k] += np.bincount(seen[k], times * side, HISTORIES)
-                        tries[k] += np.bincount(seen[k], times, HISTORIES)
-                    continue
-                x, gate = self.inputs(seen, place)
-                for s in range(0, len(side), step):
-                    e = slice(s, s + step)
-                    t = self.mixed(x[:, e], gate[e])
-                    error = (side[e] - 1 / (1 + np.exp(-t))) * times[e]
-                    norm = np.bincount(gate[e], times[e], GATES) + 16
-                    done += 1
-                    for k in range(CONTEXTS + 1):
-                        # steps scaled by the root of the mean square of the gradient, and growing shorter
-                        g = np.bincount(gate[e], error * x[k, e], GATES) / norm
-                        square[:, k] = 0.97 * square[:, k] + 0.03 * g * g
-                        self.weights[:, k] += (rate / np.sqrt(1 + done / 200) * g / (np.sqrt(square[:, k]) + 1e-4)).astype(np.float32)
-                    if turn == rounds - 1:
-                        low, part = self.bucket(t)
-                        cell = last[e] * BUCKETS + low + (part > 0.5)
-                        self.tries += np.bincount(cell, times[e], 256 * BUCKETS).reshape(256, BUCKETS)
-                        self.hits += np.bincount(cell, times[e] * side[e], 256 * BUCKETS).reshape(256, BUCKETS)
-            if turn == 0:
-                p = np.clip(hits / tries, 1e-5, 1 - 1e-5)
-                self.told = np.log(p / (1 - p)).astype(np.float32)
-        self.settle()
-
-    def pair_scores(self, batch: Batch) -> np.ndarray:
-        """log10 probability of each pair's word."""
-        out = np.zeros(len(batch.pairs))
+    def learn(self, batch: Batch, step: int = 16384, rate: float = 0.03) -> None:
+        """Online, in the order of the texts: each step of decisions is predicted first, then learned from. The map follows
+        the mixer once that has settled."""
+        for a, b in batch.chunks(20_000):
+            side, slots, place, last, owner = self.coder.decisions(batch, a, b)
+            times = batch.times[a:b][owner].astype(np.float32)
+            x, gate = self.inputs(slots, place)
+            for s in range(0, len(side), step):
+                e = slice(s, s + step)
+                t = self.mixed(x[:, e], gate[e])
+                error = (side[e] - 1 / (1 + np.exp(-t))) * times[e]
+                norm = np.bincount(gate[e], times[e], GATES) + 16
+                self.done += 1
+                for k in range(CONTEXTS + 1):
+                    # steps scaled by the root of the mean square of the gradient, and growing shorter
+                    g = np.bincount(gate[e], error * x[k, e], GATES) / norm
+                    self.square[:, k] = 0.97 * self.square[:, k] + 0.03 * g * g
+                    self.weights[:, k] += (rate / np.sqrt(1 + self.done / 100) * g / (np.sqrt(self.square[:, k]) + 1e-4)).astype(np.float32)
+                if self.done > 30:
+                    low, part = self.bucket(t)
+                    cell = last[e] * BUCKETS + low + (part > 0.5)
+                    self.tries += np.bincount(cell, times[e], 256 * BUCKETS).reshape(256, BUCKETS)
+                    self.hits += np.bincount(cell, times[e] * side[e], 256 * BUCKETS).reshape(256, BUCKETS)
+
+    def unit_scores(self, batch: Batch) -> np.ndarray:
+        """log10 probability of each unit's word."""
+        out = np.zeros(len(batch.units))
         for a, b in batch.chunks():
             side, slots, place, last, owner = self.coder.decisions(batch, a, b)
-            t = self.mixed_at(slots, place)
+            t = self.mixed(*self.inputs(slots, place))
             t += np.float32(12)
             t *= np.float32(FINE)
             cell = t.astype(np.int32)
@@ -343,184 +347,389 @@ class Model:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def gathered(train: DataFrame, coder: Coder, text: str) -> DataFrame:
-    """What tasks gather from the training texts: rows (word's hash, count), and rows (context and slab, packed counts).
-    learns: whether a text's decisions count, or its words only."""
+def added(blocks: DataFrame, add: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """One row for each n of blocks (n, part, block): its blocks added up, FAN at a time."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table({"n": t["n"][:1], "part": pa.array([t["part"][0].as_py() // FAN], pa.int64()), "block": pa.array([add(t["block"].to_pylist())], pa.binary())})
+
+    most = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        blocks = blocks.groupBy("n", F.floor(F.col("part") / FAN).alias("_to")).applyInArrow(merge, "n bigint, part bigint, block binary")
+        most = -(-most // FAN)
+        if most <= 1:
+            return blocks.select("n", "block")
+
+
+def _row(n: int, block: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([block], pa.binary())], names=["n", "block"])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return stored(rows.withColumn("part", F.spark_partition_id().cast("long")))
+
+
+def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
+    """How often each byte stands in the training texts, and their kinds: clusters of each slice of texts, clustered again."""
 
     def run(batches):
-        held = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
-        any_rows = False
-        known_h, known_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total, held = np.zeros(256, np.int64), np.zeros((0, 1 << KIND_BITS), np.float32)
         for b in batches:
-            learns = np.array(b.column(1).to_pylist(), bool)
-            for at, texts in text_slices(b.column(0)):
-                any_rows = True
-                use = learns[at : at + len(texts)]
+            for _, texts in text_slices(b.column(0)):
+                one = Batch(texts, None)
+                raw, times = b" ".join([*one.words, b""]), one.counts()
+                # the end's own byte, and of each word its bytes and a space
+                total += np.bincount(np.frombuffer(raw, np.uint8), np.repeat(times, [len(w) + 1 for w in one.words]), 256).astype(np.int64)
+                total[SPACE] -= times[0]
+                column = _kind_words(one)[one.token]
+                row = np.repeat(np.arange(len(texts)), one.size)
+                for at in range(0, len(texts), 1000):
+                    use = (column >= 0) & (row >= at) & (row < at + 1000)
+                    n = min(1000, len(texts) - at)
+                    tf = np.bincount((row[use] - at) * (1 << KIND_BITS) + column[use], minlength=n << KIND_BITS).reshape(n, -1).astype(np.float32)
+                    held = _clustered(np.vstack([held, tf[tf.any(axis=1)]]), np.ones(len(held) + int(tf.any(axis=1).sum()), np.float32))
+        if total.any():
+            yield _row(0, pickle.dumps((total, held)))
+
+    def add(blocks):
+        each = [pickle.loads(x) for x in blocks]
+        x = np.vstack([h for _, h in each])
+        return pickle.dumps((sum(t for t, _ in each), _clustered(x, x.sum(axis=1))))
+
+    found = added(_numbered(train.select("_text").mapInArrow(tidied(run), "n bigint, block binary")), add).first()
+    if found is None:
+        return np.zeros(256, np.int64), Topics()
+    weights, counts = pickle.loads(found["block"])
+    return weights, Topics(counts)
+
+
+def gathered(train: DataFrame, coder: Coder, fold: int) -> DataFrame:
+    """Tables of the texts of one fold: rows (fold, context and slab; packed counts)."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            for _, texts in text_slices(b.column(0)):
+                held = held or [np.zeros(2 << bits, np.uint32) for bits in coder.bits]
                 one = Batch(texts, coder.topics)
-                known_h, inverse = np.unique(np.concatenate([known_h, one.hash]), return_inverse=True)
-                known_c = np.bincount(inverse, np.concatenate([known_c, one.counts()]), len(known_h)).astype(np.int64)
-                # texts that don't learn lend their words only
-                learned = np.bincount(one.pair[np.repeat(use, one.size)], minlength=len(one.pairs)).astype(np.uint32)
                 for x, y in one.chunks():
                     side, slots, _, _, owner = coder.decisions(one, x, y)
-                    times = learned[x:y][owner]
+                    times = one.times[x:y].astype(np.uint32)[owner]
                     for k in range(CONTEXTS):
                         np.add.at(held[k], slots[k] * 2 + side, times)
-                if len(known_h) > 1_000_000:
-                    yield from words_out(known_h, known_c)
-                    known_h, known_c = known_h[:0], known_c[:0]
-        yield from words_out(known_h, known_c)
-        if any_rows:
-            for k in range(CONTEXTS):
-                for s in range(1 << TABLE_BITS[k] - SLAB_BITS):
-                    part = held[k][s << SLAB_BITS + 1 : (s + 1) << SLAB_BITS + 1]
-                    if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([k << 16 | s], pa.int64()), pa.array([_pack(part)], pa.binary())], names=["word", "n", "block"])
-
-    def words_out(h, c):
-        for at in range(0, len(h), 100_000):
-            x, y = h[at : at + 100_000], c[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y), pa.nulls(len(x), pa.binary())], names=["word", "n", "block"])
-
-    return train.select(text, "_learns").mapInArrow(tidied(run), "word bigint, n bigint, block binary")
-
-
-def summed(blocks: DataFrame) -> DataFrame:
-    """One row for each context and slab (n): its counts. Tables are added FAN at a time."""
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(2 << SLAB_BITS, np.uint64)
-        for x in t["block"]:
-            total += _unpack(x.as_py(), np.uint32)
-        return pa.table({"n": t["n"][:1], "part": pa.array([t["part"][0].as_py() // FAN], pa.int64()), "block": pa.array([_pack(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())})
-
-    n = blocks.select("part").distinct().agg(F.max("part")).first()[0]
-    most = (n or 0) + 1
-    while True:
-        blocks = blocks.groupBy("n", F.floor(F.col("part") / FAN).alias("_to")).applyInArrow(add, "n bigint, part bigint, block binary")
-        most = -(-most // FAN)
-        if most <= 1:
-            return blocks
+        for k in range(CONTEXTS if held else 0):
+            for s in range(1 << coder.bits[k] - SLAB_BITS):
+                part = held[k][s << SLAB_BITS + 1 : (s + 1) << SLAB_BITS + 1]
+                if part.any():
+                    yield _row(fold << 24 | k << 16 | s, _pack(part))
+
+    return train.select("_text").mapInArrow(tidied(run), "n bigint, block binary")
+
+
+def _sum_slabs(blocks: list[bytes]) -> bytes:
+    total = np.zeros(2 << SLAB_BITS, np.uint64)
+    for x in blocks:
+        total += _unpack(x, np.uint32)
+    return _pack(np.minimum(total, 2**32 - 1).astype(np.uint32))
+
+
+def tables(rows: DataFrame, bits) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Of the summed counts: the history of each slot by context, of either fold and of both; and the log odds that a history
+    in one fold has in the other."""
+    slots = [[np.zeros(1 << b, np.uint16) for b in bits] for _ in range(3)]
+    odds, _ = _typical()
+    hits, tries = np.repeat(2 / (1 + np.exp(-odds))[None, :], CONTEXTS, axis=0), np.full((CONTEXTS, HISTORIES), 2.0)
+
+    def digest(t: pa.Table) -> pa.Table:
+        key = t["key"][0].as_py()
+        c = np.zeros((2, 1 << SLAB_BITS, 2), np.int64)
+        for n, x in zip(t["n"].to_pylist(), t["block"].to_pylist()):
+            c[n >> 24] += _unpack(x, np.uint32).reshape(-1, 2)
+        h = [history(c[0, :, 0], c[0, :, 1]), history(c[1, :, 0], c[1, :, 1]), history(*c.sum(axis=0).T)]
+        met = np.zeros((2, HISTORIES))
+        for f in (0, 1):
+            met[0] += np.bincount(h[f], c[1 - f, :, 1], HISTORIES)
+            met[1] += np.bincount(h[f], c[1 - f].sum(axis=1), HISTORIES)
+        return pa.table({"n": [key], "h": pa.array([pickle.dumps((_pack(np.stack(h)), _pack(met)))], pa.binary())})
+
+    for r in rows.withColumn("key", F.col("n") % (1 << 24)).groupBy("key").applyInArrow(digest, "n bigint, h binary").toLocalIterator():
+        k, s = r.n >> 16, r.n & 0xFFFF
+        h, met = pickle.loads(r.h)
+        for own, one in zip(slots, _unpack(h, np.uint16).reshape(3, -1)):
+            own[k][s << SLAB_BITS : (s + 1) << SLAB_BITS] = one
+        met = _unpack(met, np.float64).reshape(2, -1)
+        hits[k] += met[0]
+        tries[k] += met[1]
+    p = np.clip(hits / tries, 1e-5, 1 - 1e-5)
+    return slots, np.log(p / (1 - p)).astype(np.float32)
 
 
-def tables(rows: DataFrame) -> list[np.ndarray]:
-    """Of the summed counts: the history of each slot, by context."""
-    slots = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
+def learned(train: DataFrame, model, slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, hits and tries of the map, from all training texts: each task learns online along its texts, fold by fold with the
+    other fold's counts; weights are averaged by the number of steps, the map's counts are added up. model, slots: broadcast."""
 
-    def digest(batches):
+    def run(batches):
+        m = None
         for b in batches:
-            for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = _unpack(x, np.uint32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_pack(history(c[:, 0], c[:, 1]))], pa.binary())], names=["n", "h"])
+            fold = b.column(1).to_numpy(zero_copy_only=False)
+            for at, texts in text_slices(b.column(0)):
+                m = m or Model(model.value.coder, slots.value[0], model.value.told)
+                for f in (0, 1):
+                    own = np.flatnonzero(fold[at : at + len(texts)] == f)
+                    if len(own):
+                        m.slots = slots.value[1 - f]
+                        m.learn(Batch(texts.take(pa.array(own)), m.coder.topics))
+        if m and m.done:
+            yield _row(0, pickle.dumps((m.weights * float(m.done), float(m.done), m.hits - first.hits, m.tries - first.tries)))
 
-    for r in rows.select("n", "block").mapInArrow(digest, "n bigint, h binary").toLocalIterator():
-        k, s = r.n >> 16, r.n & 0xFFFF
-        slots[k][s << SLAB_BITS : (s + 1) << SLAB_BITS] = _unpack(r.h, np.uint16)
-    return slots
+    def add(blocks):
+        return pickle.dumps(tuple(sum(x) for x in zip(*map(pickle.loads, blocks))))
 
+    first = Model(Coder(np.zeros(256, np.int64), Topics()), [])
+    found = added(_numbered(train.select("_text", "_fold").mapInArrow(tidied(run), "n bigint, block binary")), add).first()
+    if found is None:
+        return first.weights, first.hits, first.tries
+    weights, steps, hits, tries = pickle.loads(found["block"])
+    return (weights / steps).astype(np.float32), first.hits + hits, first.tries + tries
 
-def _score(batch: Batch, model: Model, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score, score of each text."""
-    base = np.log10((counts + 1) / (n + v + 1))[batch.token]
-    own = model.pair_scores(batch)[batch.pair]
-    return batch.size, np.add.reduceat((counts > 0)[batch.token].astype(np.int64), batch.start), np.add.reduceat(base, batch.start), np.add.reduceat(own, batch.start)
 
+# -- words and stretches: counted in slabs, scored by block -------------------------------------------------------------
 
-def _lookup(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[i] == h, counts[i], 0)
 
+def stretches(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each stretch: first token, one past its last, hash of the two words before it, hash of itself."""
+    h, n = batch.hash[batch.token], len(batch.token)
+    first = np.repeat(batch.start, batch.size)
+    place = np.arange(n) - first
+    context = np.zeros(n, np.uint64)
+    context[2:] = (h[:-2] * _mult[9] ^ (h[1:-1] >> np.uint64(7))) * _mult[10] + h[1:-1] * _mult[11]
+    context ^= context >> np.uint64(31)
+    context *= _mult[12]
+    begin = np.flatnonzero((place >= 2) & ((context >> np.uint64(40)) % np.uint64(STRIDE) == 0))
+    end = np.minimum(np.append(begin[1:], n)[: len(begin)], (batch.start + batch.size)[np.searchsorted(batch.start, begin, "right") - 1]) if len(begin) else begin
+    # a running sum of tokens' hashes times powers of an odd number; taken from the stretch's start by a division by its power
+    power = np.cumprod(np.full(max(1, n), _mult[13], np.uint64), dtype=np.uint64)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((h ^ (h >> np.uint64(29))) * _mult[14] * power, dtype=np.uint64)])
+    inverse = np.uint64(pow(int(_mult[13]), -1, 1 << 64))
+    back = np.cumprod(np.full(max(1, n), inverse, np.uint64), dtype=np.uint64)
+    own = (total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * _mult[15]
+    own ^= own >> np.uint64(30)
+    return begin, end, context[begin], own * _mult[16]
 
-def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words' hashes in order, and their counts."""
-    c = counts.toArrow()
-    h, n = c["word"].to_numpy().view(np.uint64), c["c"].to_numpy()
-    del c
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    return h, n.astype(np.int32) if not len(n) or n.max() < 2**31 else n
 
+def _slab_cuts(h: np.ndarray, slabs: int) -> np.ndarray:
+    """Where sorted hashes pass from one slab to the next: slab s is from cuts[s] to cuts[s + 1]."""
+    return np.concatenate([[0], np.searchsorted(h >> np.uint64(32), np.arange(1, slabs).astype(np.uint64) * np.uint64(2**32 // slabs)), [len(h)]])
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, words_at_most: int = WORDS_AT_MOST) -> DataFrame:
-    """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
-    held_out: a condition; what it holds for is scored but not learned from."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    d = docs.select(F.col(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
-    train = d.filter(~F.col("held_out"))
-    n_train = train.count()
-    # texts for weights and map: left out of the tables
-    share = min(0.1, sample / max(1, n_train))
-    point = F.pmod(F.xxhash64(F.lit("mixer"), F.col(id_col)), F.lit(1 << 20)) / (1 << 20)
-    picked = (point < share) & (F.octet_length("_text") <= LONGEST_SAMPLE)
-    texts = sorted(r[0] for r in train.filter(picked & F.col("_text").isNotNull()).select("_text").collect())
-    np.random.default_rng(1).shuffle(texts)
-    byte_weights = np.bincount(np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass").lower(), np.uint8), minlength=256).astype(np.int64)
-    coder = Coder(byte_weights, Topics(texts))
-    rows = stored(gathered(train.withColumn("_learns", ~F.coalesce(picked, F.lit(False))).select("_text", "_learns"), coder, "_text").withColumn("part", F.spark_partition_id().cast("long")))
-    counts = rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
-    model = Model(coder, tables(summed(rows.filter("block IS NOT NULL").select("n", "part", "block"))))
-    model.learn(Batch(texts, coder.topics))
-    give_back()
-    counts = stored(counts)
-    v, n = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    shared = spark.sparkContext.broadcast(model)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
-    def out(ids, held, texts, lookup) -> pa.RecordBatch:
-        batch = Batch(texts, coder.topics)
-        size, known, base, own = _score(batch, shared.value, lookup(batch.hash), n, v)
-        n_bytes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        per = -own * np.log2(10) / np.maximum(1, n_bytes)
-        return pa.RecordBatch.from_arrays(
-            [ids, held, pa.array(size), pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(own), pa.array(n_bytes), pa.array(per)],
-            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
-        )
+BLOCKS = "block bigint, kind int, slab int, payload binary"
+WORDS, STRETCHES, TEXTS, STATISTICS = 0, 1, 2, 3
 
-    if v <= words_at_most:
-        known = spark.sparkContext.broadcast(_sorted_counts(counts))
-        give_back()
 
-        def run(batches):
-            for b in batches:
-                for at, texts in text_slices(b.column(2)):
-                    yield out(b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), texts, lambda h: _lookup(h, *known.value))
+def _blocks(block: int, kind: int, slabs: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    n = len(slabs)
+    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(slabs, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "kind", "slab", "payload"])
 
-        return d.mapInArrow(tidied(run), schema)
 
-    size = d.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    d = stored(d.withColumn("_block", F.pmod(F.xxhash64(F.col(id_col), F.col("_text")), F.lit(blocks)).cast("int")))
+def spelling(d: DataFrame, model, slabs: int) -> DataFrame:
+    """BLOCKS of texts (id, held_out, _text): their words and stretches by slab, and what is needed to put the answers together."""
 
-    def held_words(batches):
+    def run(batches):
+        number = TaskContext.get().partitionId() << 24
         for b in batches:
-            block = np.array(b.column(1).to_pylist())
-            for at, texts in text_slices(b.column(0)):
-                own = block[at : at + len(texts)]
-                for k in np.unique(own):
-                    h = Batch(texts.filter(pa.array(own == k)), None).hash
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64))], names=["_block", "word"])
-
-    needed = d.select("_text", "_block").mapInArrow(held_words, "_block int, word bigint").distinct().join(counts, "word")
-
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        h = b["word"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], b["c"].to_numpy()[order]
-        a = a.combine_chunks()
-        done = [out(x.column(0).slice(at, len(t)), x.column(1).slice(at, len(t)), t, lambda q: _lookup(q, h, c)) for x in a.to_batches() for at, t in text_slices(x.column(2))]
-        return pa.Table.from_batches(done) if done else pa.table({f: [] for f in ()})
-
-    return d.groupBy("_block").cogroup(needed.groupBy("_block")).applyInArrow(block, schema)
+            for at, texts in text_slices(b.column(2)):
+                n = len(texts)
+                held = b.column(1).slice(at, n)
+                train = ~held.to_numpy(zero_copy_only=False).astype(bool)
+                one = Batch(texts, model.value.coder.topics)
+                cost = model.value.unit_scores(one)[one.unit]
+                learns = np.repeat(train, one.size)
+                # words: sorted by hash
+                order = np.argsort(one.hash)
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                h, times = one.hash[order], np.bincount(one.token[learns], minlength=len(one.words))[order].astype(np.uint32)
+                cuts = _slab_cuts(h, slabs)
+                some = np.flatnonzero(np.diff(cuts))
+                yield _blocks(number, WORDS, some.tolist(), [pickle.dumps((_pack(h[cuts[s] : cuts[s + 1]]), _pack(times[cuts[s] : cuts[s + 1]]))) for s in some])
+                # stretches: sorted by context and hash
+                begin, end, context, own = stretches(one)
+                text = np.searchsorted(one.start, begin, "right") - 1
+                order = np.lexsort((own, context))
+                context, own = context[order], own[order]
+                fresh = np.append(True, (context[1:] != context[:-1]) | (own[1:] != own[:-1]))[: len(order)]
+                record = np.empty(len(order), np.int64)
+                record[order] = np.cumsum(fresh) - 1
+                context, own = context[fresh], own[fresh]
+                times = np.bincount(record[train[text]], minlength=len(own)).astype(np.uint32)
+                cuts = _slab_cuts(context, slabs)
+                some = np.flatnonzero(np.diff(cuts))
+                yield _blocks(number, STRETCHES, some.tolist(), [pickle.dumps(tuple(_pack(x[cuts[s] : cuts[s + 1]]) for x in (context, own, times))) for s in some])
+                group = (np.cumsum(np.append(True, context[1:] != context[:-1])[: len(context)]) - 1)[record] if len(record) else record
+                spelled_ = np.add.reduceat(cost, one.start) if n else np.zeros(0)
+                upto = np.concatenate([[0.0], np.cumsum(cost)])
+                rows = pa.RecordBatch.from_arrays([b.column(0).slice(at, n), held, pa.array(one.size), pa.array(spelled_), pa.array(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))], names=["id", "held_out", "n_tokens", "spelled", "n_bytes"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows)
+                parts = [sink.getvalue().to_pybytes(), *(_pack(x) for x in (rank[one.token], text.astype(np.uint32), record.astype(np.uint32), group.astype(np.uint32), (upto[end] - upto[begin]).astype(np.float32)))]
+                yield _blocks(number, TEXTS, [0], [pickle.dumps(parts)])
+                number += 1
+
+    return d.mapInArrow(tidied(run), BLOCKS)
+
+
+def seen_class(n: np.ndarray) -> np.ndarray:
+    """The class of a context seen n times: 0 for none, then by powers of the root of two."""
+    return np.minimum(CLASSES - 1, np.ceil(2 * np.log2(np.maximum(n, 1))).astype(np.int64) + 1) * (n > 0)
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """BLOCKS of answers, in the order asked, and of statistics by slab."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        block, kind, slab = t["block"].to_pylist(), t["kind"][0].as_py(), t["slab"][0].as_py()
+        asked = [pickle.loads(x) for x in t["payload"].to_pylist()]
+        sizes = np.cumsum([0, *(len(_unpack(x[-1], np.uint32)) for x in asked)])
+        times = np.concatenate([_unpack(x[-1], np.uint32) for x in asked]).astype(np.int64)
+        first = np.concatenate([_unpack(x[0], np.uint64) for x in asked])
+        if kind == WORDS:
+            _, inverse = np.unique(first, return_inverse=True)
+            c = np.bincount(inverse, times).astype(np.int64)
+            told, out = [int((c > 0).sum()), int(c.sum())], (c[inverse],)
+        else:
+            key = (first ^ (first >> np.uint64(33))) * _mult[17] ^ np.concatenate([_unpack(x[1], np.uint64) for x in asked])
+            _, inverse = np.unique(key, return_inverse=True)
+            _, context = np.unique(first, return_inverse=True)
+            c, every = np.bincount(inverse, times).astype(np.int64)[inverse], np.bincount(context, times).astype(np.int64)[context]
+            # what training tells of contexts seen so often, from each block's stretches and the other blocks' counts
+            owner = np.repeat(np.arange(len(asked)), np.diff(sizes))
+            _, own = np.unique(context * len(asked) + owner, return_inverse=True)
+            others = every - np.bincount(own, times).astype(np.int64)[own]
+            k = seen_class(others)
+            hits = np.bincount(k, times * ((c - times) > 0), CLASSES)
+            told, out = [*hits.astype(np.int64).tolist(), *np.bincount(k, times, CLASSES).astype(np.int64).tolist()], (c, every)
+        payload = [pickle.dumps(tuple(_pack(x[a:b]) for x in out)) for a, b in zip(sizes, sizes[1:])]
+        n = len(block)
+        return pa.table({"block": pa.array([*block, kind], pa.int64()), "kind": pa.array([kind] * n + [STATISTICS], pa.int32()), "slab": pa.array([slab] * (n + 1), pa.int32()), "payload": pa.array([*payload, None], pa.binary()), "told": pa.array([None] * n + [told], pa.list_(pa.int64()))})
+
+    return blocks.groupBy("kind", "slab").applyInArrow(answer, BLOCKS + ", told array<bigint>")
+
+
+def known_odds(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
+    """Of each class of contexts, the log odds that the stretch is a known one."""
+    p = np.clip((hits + 0.2) / (tries + 1.0), 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def gains(odds, train, text, record, group, cost, c, every) -> np.ndarray:
+    """Of each stretch, in order: log10 of its probability over that of its spelling. train: of each text. c, every: how often it and
+    its context were seen, by record and stretch."""
+    n = len(text)
+    if not n:
+        return np.zeros(0)
+    learns = train[text]
+    # a training text's own stretches don't count
+    _, own = np.unique(text.astype(np.int64) << 32 | record, return_inverse=True)
+    _, around = np.unique(text.astype(np.int64) << 32 | group, return_inverse=True)
+    c = c[record] - np.bincount(own, learns)[own].astype(np.int64)
+    every = every[record] - np.bincount(around, learns)[around].astype(np.int64)
+    tried, hit = every > 0, c > 0
+    # the text's last tried stretches before this one
+    before_tried, before_hit = np.concatenate([[0], np.cumsum(tried)[:-1]]), np.concatenate([[0], np.cumsum(tried & hit)[:-1]])
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    first = first[np.cumsum(np.append(True, text[1:] != text[:-1])) - 1]
+    at = np.concatenate([[0], np.cumsum(tried & hit)])
+    places = np.flatnonzero(tried)
+    # from the tried stretch LOOK_BACK places back, but within the text
+    low = np.maximum(before_tried - LOOK_BACK, before_tried[first])
+    start = np.where(low < len(places), places[np.minimum(low, max(0, len(places) - 1))] if len(places) else 0, 0)
+    h = np.where(before_tried > low, before_hit - at[start], 0)
+    m = before_tried - low - h
+    t = odds[seen_class(every)] + np.where(before_tried > low, np.log((h + 0.5) / (m + 0.5)), 0)
+    p = np.clip(1 / (1 + np.exp(-t)), 1e-5, 1 - 1e-5)
+    share = p * c / np.maximum(1, every)
+    spelled_ = np.power(10.0, np.maximum(cost.astype(np.float64), -300))
+    with_hit = np.log10(np.maximum(share, 1e-300) + (1 - p) * spelled_) - np.maximum(cost.astype(np.float64), -300)
+    return np.where(tried, np.where(hit, with_hit, np.log10(1 - p)), 0.0)
+
+
+def folds(texts: DataFrame) -> DataFrame:
+    """Texts with their fold; equal texts are of one."""
+    return texts.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), F.coalesce("_text", F.lit(""))), F.lit(2)).cast("int"))
+
+
+def fitted(train: DataFrame) -> tuple[Model, int]:
+    """The model of training texts (_text, _fold), and how many bytes they spell."""
+    spark = train.sparkSession
+    weights, topics = kinds(train)
+    n_bytes = int(weights.sum())
+    bits = tuple(int(min(most, max(LEAST_BITS, np.ceil(np.log2(max(1, n_bytes / 4)))))) for most in TABLE_BITS)
+    coder = Coder(weights, topics, bits)
+    halves = [gathered(train.filter(F.col("_fold") == f).coalesce(max(1, train.rdd.getNumPartitions() // 2)), coder, f) for f in (0, 1)]
+    rows = _numbered(halves[0].union(halves[1]))
+    slots, told = tables(added(rows, _sum_slabs), bits)
+    removed(rows)
+    model = Model(coder, [], told)
+    sent, sides = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(slots[:2])
+    w, hits, tries = learned(train, sent, sides)
+    sides.unpersist()
+    sent.unpersist()
+    model = Model(coder, slots[2], told)
+    model.weights, model.hits, model.tries = w, hits, tries
+    model.settle()
+    return model, n_bytes
+
+
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
+    held_out: a condition; what it holds for is scored but not learned from."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
+    train = folds(docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(text).alias("_text")))
+    model, n_bytes = fitted(train)
+    shared = spark.sparkContext.broadcast(model)
+    slabs = max(1, -(-n_bytes // SLAB_BYTES))
+    blocks = stored(spelling(d, shared, slabs))
+    answers = stored(counted(blocks.filter(F.col("kind") < TEXTS)))
+    sums = {(r.kind, r.pos): r.n for r in answers.filter(F.col("kind") == STATISTICS).select(F.col("block").alias("kind"), F.posexplode("told")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect()}
+    v, n = sums.get((WORDS, 0), 0), sums.get((WORDS, 1), 0)
+    odds = known_odds(*(np.array([sums.get((STRETCHES, i + at), 0) for i in range(CLASSES)], float) for at in (0, CLASSES)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+
+    def together(t: pa.Table) -> pa.Table:
+        found: dict[int, list] = {WORDS: [], STRETCHES: [], TEXTS: []}
+        for k, slab, x in zip(t["kind"].to_pylist(), t["slab"].to_pylist(), t["payload"].to_pylist()):
+            found[k].append((slab, x))
+        ipc, *packed = pickle.loads(found[TEXTS][0][1])
+        rows = pa.ipc.open_stream(ipc).read_all().combine_chunks()
+        token, text, record, group = (_unpack(x, np.uint32) for x in packed[:4])
+        cost = _unpack(packed[4], np.float32)
+        joined = lambda k, i: np.concatenate([np.zeros(0, np.int64), *(_unpack(pickle.loads(x)[i], np.int64) for _, x in sorted(found[k]))])
+        counts = joined(WORDS, 0)
+        size = rows["n_tokens"].to_numpy()
+        start = np.cumsum(size) - size
+        base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1))[token], start)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[token], start)
+        train = ~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        more = gains(odds, train, text, record, group, cost, joined(STRETCHES, 0), joined(STRETCHES, 1))
+        own = rows["spelled"].to_numpy() + np.bincount(text, more, len(size))
+        n_bytes = rows["n_bytes"].to_numpy()
+        per = -own * np.log2(10) / np.maximum(1, n_bytes)
+        columns = [rows["id"], rows["held_out"], pa.array(size), pa.array(known), pa.array(np.full(len(size), n, np.int64)), pa.array(base), pa.array(own), pa.array(n_bytes), pa.array(per)]
+        return pa.table(columns, names=[id_col, *names])
+
+    put = blocks.filter(F.col("kind") == TEXTS).unionByName(answers.filter(F.col("kind") < TEXTS).drop("told"))
+    return put.groupBy("block").applyInArrow(together, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
 
 
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

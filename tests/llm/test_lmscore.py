@@ -1,10 +1,10 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seqloom.llm import lmscore
@@ -18,53 +18,188 @@ def rows(n=300, seed=1):
     for i in range(n):
         s = langs[i % 2]
         out.append((i, " ".join("".join(rnd.choice(s) for _ in range(rnd.randrange(1, 4))).upper() for _ in range(rnd.randrange(5, 60))), "x"))
+    # texts that occur twice, and one that shares a passage
+    out += [(2000 + k, out[k][1], "x") for k in (10, 11, 12, 13)]
     return [*out, (1000, None, "x"), (1001, "", "x"), (1002, " a\x0b\x0c b\xa0c ", "x"), (1003, "é" * 3000, "x"), (None, "ba da", "x"), (5, "ba", "x"), (5, "ba", "x")]
 
 
+def words_of(t):
+    return [*(t or "").encode().lower().split(), lmscore.END]
+
+
+def is_held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
 def brute_base(rs):
-    tok = lambda t: (t or "").encode().lower().split() + [None]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, t, _ in rs if not held(i) for w in tok(t))
+    c = Counter(w for i, t, _ in rs if not is_held(i) for w in words_of(t))
     n, v = sum(c.values()), len(c)
-    return sorted((str(i), held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), 6)) for i, t, _ in rs)
+    return sorted((str(i), is_held(i), len(words_of(t)), sum(c[w] > 0 for w in words_of(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words_of(t)), 6)) for i, t, _ in rs)
+
+
+def frame(spark, rs):
+    return spark.createDataFrame(rs, "doc_id long, text string, score string").coalesce(1)
 
 
-def scored(spark, rs, **how):
-    d = spark.createDataFrame(rs, "doc_id long, text string, score string")
-    return lmscore.score(d, crc_mod(F.col("doc_id"), 7) == 2, **how).toPandas()
+def scored(spark, rs):
+    return lmscore.score(frame(spark, rs), crc_mod(F.col("doc_id"), 7) == 2).toPandas()
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_base_against_brute_force_and_score(spark, most):
+def contexts(word, place, state, before):
+    """The four contexts of a byte of a word: exact, in place of their hashes."""
+    so_far = (before + word)[: 3 + place]
+    last = lambda k: so_far[max(0, len(so_far) - k) :]
+    return (state, word[:place]), (state, last(2)), last(3), last(5)
+
+
+def spelled_slowly(words, states, coder):
+    """Byte by byte: (contexts, node, side, place, last byte) of every decision, by word."""
+    for i, (w, state) in enumerate(zip(words, states)):
+        before = (b" " + words[i - 1])[-2:] + b" " if i else b"\n\n\n"
+        spelled = w if w == lmscore.END else w + b" "
+        for place, byte in enumerate(spelled):
+            c = contexts(spelled, place, state, before)
+            for j in range(coder.length[byte]):
+                yield i, c, int(coder.node[byte, j]), int(coder.side[byte, j]), min(place, 2), (before + spelled)[2 + place]
+
+
+def test_base_and_score_against_a_slow_model(spark):
     rs = rows()
-    p = scored(spark, rs, words_at_most=most)
+    p = scored(spark, rs)
     got = sorted((str(None if np.isnan(r.doc_id) else int(r.doc_id)), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in p.itertuples())
     assert got == brute_base(rs)
-    assert (p.score < 0).all()
     h = p[p.held_out & (p.doc_id < 300)]
-    assert h.score.sum() > h.base_score.sum()
-
-
-def test_decisions_make_a_distribution():
-    """Over all texts of a small alphabet, probabilities sum to at most one, and nearly to it for one byte words."""
-    texts = ["a b a", "b a", "a a a b"] * 20
-    coder = lmscore.Coder(np.bincount(np.frombuffer(b"a b\n" * 9, np.uint8), minlength=256), lmscore.Topics(texts))
-    model = lmscore.Model(coder, [np.zeros(1 << b, np.uint16) for b in lmscore.TABLE_BITS])
-    model.learn(lmscore.Batch(texts, coder.topics))
-    firsts = [bytes([b]) for b in range(1, 256) if b not in (9, 10, 11, 12, 13, 32)]
-    one = lmscore.Batch([], coder.topics)
-    one.words, one.pairs = [lmscore.END, *firsts], np.arange(len(firsts) + 1) * lmscore.STATES
-    one.times = np.ones(len(one.pairs), np.int64)
-    # the end, and all words that start with a byte: what follows the first byte sums to one
-    total = 0.0
-    side, slots, place, last, owner = coder.decisions(one, 0, len(one.pairs))
-    x, gate = model.inputs(model.histories(slots), place)
-    t = model.mixed(x, gate)
-    p = 1 / (1 + np.exp(-t))
-    first = place == 0
-    for k in range(len(one.pairs)):
-        total += np.prod(np.where(side, p, 1 - p)[first & (owner == k)])
-    assert 0.2 < total <= 1 + 1e-6
+    # better than counting words by far: all words are made of few syllables
+    assert h.score.sum() / h.n_tokens.sum() > h.base_score.sum() / h.n_tokens.sum() + 0.2
+
+    train = [t for i, t, _ in rs if not is_held(i)]
+    model, _ = lmscore.fitted(lmscore.folds(frame(spark, rs).filter(~F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))).select(F.col("text").alias("_text"))))
+    states = {t: model.coder.topics.states(lmscore.Batch([t], None)).tolist() for _, t, _ in rs}
+    # counts by exact context
+    seen = defaultdict(lambda: [0, 0])
+    for t in train:
+        for _, c, node, side, _, _ in spelled_slowly(words_of(t), states[t], model.coder):
+            for k in range(4):
+                seen[k, c[k], node][side] += 1
+    # known stretches, each text's own left out
+    def cut(words):
+        b = lmscore.Batch([b" ".join(words[:-1]).decode()], None)
+        return [(tuple(words[s - 2 : s]), tuple(words[s:e]), s, e) for s, e in zip(*lmscore.stretches(b)[:2])]
+
+    every, whole = Counter(), Counter()
+    for t in train:
+        for a, s, *_ in cut(words_of(t)):
+            every[a] += 1
+            whole[a, s] += 1
+    # all stand in one slab and one block: the odds of classes are those without any other block
+    odds = lmscore.known_odds(*(np.array(x, float) for x in zip(*[(0, 0 if k else sum(every.values())) for k in range(lmscore.CLASSES)])))
+    _, kind = lmscore._typical()
+    for i, t, _ in [r for r in rs if r[0] is not None and r[0] != 5][::17] + [r for r in rs if r[0] in (1000, 1001, 1002, 2000, 10)]:
+        words = words_of(t)
+        cost = [0.0] * len(words)
+        for w, c, node, side, place, last in spelled_slowly(words, states[t], model.coder):
+            h = [int(lmscore.history(*(np.array([x]) for x in seen[k, c[k], node]))[0]) for k in range(4)]
+            gate = 3 * (int(kind[h[0]]) if h[0] else 16 + (int(kind[h[3]]) & 7)) + place
+            x = sum(model.weights[gate, k] * model.told[k, h[k]] for k in range(4)) + 0.3 * model.weights[gate, 4]
+            # the middle of a step
+            x = (min(int((max(-12, min(12, x)) + 12) * lmscore.FINE), 24 * lmscore.FINE - 1) + 0.5) / lmscore.FINE - 12
+            mixed = 1 / (1 + math.exp(-x))
+            at = min(max(2 * x + lmscore.BUCKETS // 2, 0), lmscore.BUCKETS - 1.001)
+            low = int(at)
+            refined = model.map[last, low] * (1 - at + low) + model.map[last, low + 1] * (at - low)
+            q = min(max(0.5 * mixed + 0.5 * refined, 1e-5), 1 - 1e-5)
+            cost[w] += math.log10(q if side else 1 - q)
+        want = sum(cost)
+        own_every, own_whole = Counter(a for a, *_ in cut(words)), Counter((a, s) for a, s, *_ in cut(words))
+        tried = []
+        for a, s, b, e in cut(words):
+            n = every[a] - (0 if is_held(i) else own_every[a])
+            c = whole[a, s] - (0 if is_held(i) else own_whole[a, s])
+            if n:
+                last = tried[-lmscore.LOOK_BACK :]
+                x = odds[lmscore.seen_class(np.array([n]))[0]] + (math.log((sum(last) + 0.5) / (len(last) - sum(last) + 0.5)) if last else 0)
+                q = min(max(1 / (1 + math.exp(-x)), 1e-5), 1 - 1e-5)
+                spelling = sum(cost[b:e])
+                want += math.log10(q * c / n + (1 - q) * 10**spelling) - spelling
+                tried.append(c > 0)
+        got = float(p[p.doc_id == i].score.iloc[0])
+        assert math.isclose(got, want, rel_tol=0.002, abs_tol=0.02), (i, got, want)
+
+
+def test_stretches_against_a_slow_model():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 90))) for _ in range(40)]
+    texts += texts[:5]
+    b = lmscore.Batch(texts, None)
+    begin, end, context, own = lmscore.stretches(b)
+    token = [b.words[i] for i in b.token]
+    by_context, by_own = defaultdict(set), defaultdict(set)
+    for x, y, c, h in zip(begin, end, context, own):
+        by_context[int(c)].add(tuple(token[x - 2 : x]))
+        by_own[int(h)].add(tuple(token[x:y]))
+    # equal hashes stand for equal words only, and the other way round
+    assert all(len(v) == 1 for v in by_context.values()) and all(len(v) == 1 for v in by_own.values())
+    assert len(by_own) == len({t for v in by_own.values() for t in v})
+    text = np.searchsorted(b.start, begin, "right") - 1
+    _, record = np.unique(context * np.uint64(3) ^ own, return_inverse=True)
+    _, group = np.unique(context, return_inverse=True)
+    cost = np.array([-2.0 * (y - x) for x, y in zip(begin, end)], np.float32)
+    train = np.arange(len(texts)) % 3 > 0
+    c, every = np.bincount(record, train[text]).astype(int)[record], np.bincount(group, train[text]).astype(int)[group]
+    per_record, per_group = np.zeros(record.max() + 1, np.int64), np.zeros(group.max() + 1, np.int64)
+    per_record[record], per_group[group] = c, every
+    odds = lmscore.known_odds(np.arange(lmscore.CLASSES) * 3.0, np.full(lmscore.CLASSES, 100.0))
+    of_group = np.zeros(len(per_record), np.int64)
+    of_group[record] = every
+    got = lmscore.gains(odds, train, text, record, group, cost, per_record, of_group)
+    tried = defaultdict(list)
+    for i in range(len(begin)):
+        mine = [j for j in range(len(begin)) if text[j] == text[i]] if train[text[i]] else []
+        n = every[i] - sum(group[j] == group[i] for j in mine)
+        k = c[i] - sum(record[j] == record[i] for j in mine)
+        want = 0.0
+        if n:
+            last = tried[text[i]][-lmscore.LOOK_BACK :]
+            x = odds[lmscore.seen_class(np.array([n]))[0]] + (math.log((sum(last) + 0.5) / (len(last) - sum(last) + 0.5)) if last else 0)
+            q = 1 / (1 + math.exp(-x))
+            want = math.log10(q * k / n + (1 - q) * 10 ** float(cost[i])) - float(cost[i])
+            tried[text[i]].append(k > 0)
+        assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_order_of_words_and_copies_count(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [[rnd.choice(words) for _ in range(200)] for _ in range(60)]
+    held = [i for i in range(2000) if is_held(i)]
+    train = [i for i in range(2000) if not is_held(i)]
+    rs = [(i, " ".join(t), "x") for i, t in zip(train, texts)]
+    shuffled = texts[7][:]
+    rnd.shuffle(shuffled)
+    rs += [(held[0], " ".join(texts[7]), "x"), (held[1], " ".join(shuffled), "x"), (train[100], " ".join(texts[8]), "x")]
+    p = scored(spark, rs).set_index("doc_id").score
+    # a copy of a training text, its words in another order, and a training text that occurs twice
+    assert p[held[0]] > 0.6 * p[held[1]]
+    assert p[train[8]] > 0.6 * p[train[9]]
+
+
+def test_decisions_make_a_distribution(spark):
+    """The probabilities of all bytes that may begin a word sum to one."""
+    texts = ["a b a", "b a", "a a a b", "c\x01 b"] * 20
+    train = spark.createDataFrame([(t,) for t in texts], "_text string")
+    model, _ = lmscore.fitted(lmscore.folds(train))
+    one = lmscore.Batch([], model.coder.topics)
+    # every byte as a word of one letter; the second byte, a space, is left out below
+    one.words, one.units = [bytes([b]) for b in range(256)], (np.arange(256) << 20) | (1 << 16) | (ord("a") << 8) | ord("b")
+    one.words[10] = b"\n!"  # not the end
+    side, slots, place, last, owner = model.coder.decisions(one, 0, 256)
+    t = model.mixed(*model.inputs(slots, place))
+    cell = np.minimum(((t + 12) * lmscore.FINE).astype(int), 24 * lmscore.FINE - 1)
+    cost = model.cost.reshape(2, 256, -1)[side.astype(int), last, cell]
+    length = model.coder.length[np.array([w[0] for w in one.words])]
+    j = np.concatenate([np.arange(n) for n in np.bincount(owner)])
+    per = np.bincount(owner, np.where(j < length[owner], cost, 0))
+    assert math.isclose((10**per).sum(), 1, rel_tol=1e-3)
 
 
 def test_prefix_code_is_complete():
@@ -74,16 +209,14 @@ def test_prefix_code_is_complete():
 
 def test_empty_and_untrained(spark):
     assert len(scored(spark, [])) == 0
-    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
+    held = [i for i in range(50) if is_held(i)]
     p = scored(spark, [(i, "a b", "x") for i in held])
     assert (p.train_tokens == 0).all() and (p.n_known == 0).all() and (p.base_score == 0).all() and np.isfinite(p.score).all()
 
 
 def test_words_of_slices():
-    import pyarrow as pa
-
     texts = ["a  b\tC", None, "", " x\x0by ", "é\xa0z", "longer text with words"] * 5
     for at in (0, 3, 7):
         one = lmscore.Batch(pa.array(texts).slice(at), None)
-        want = [w for t in texts[at:] for w in [*(t or "").encode().lower().split(), lmscore.END]]
+        want = [w for t in texts[at:] for w in words_of(t)]
         assert [one.words[i] for i in one.token.tolist()] == want
