@@ -24,13 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Without one, a temporary folder will do where both are one process;
+    elsewhere that would lose data, and is refused."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if d is None:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="seqloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)

@@ -1,13 +1,13 @@
 """LM scoring by logistic context mixing.
 
 A text is its words, A-Z in lower case, and an end. A word is spelled as its bytes and a space, the end as a line feed;
-a byte is a path of binary decisions in a prefix code. Each decision is predicted in hashed contexts that go on across
-the space before the word: the word so far with the text's kind, and the last two (with the kind), three and five bytes,
-of which at most two letters and the space stand before the word. The kind is what the words before tell (clusters of
+a byte is a path of binary decisions in a prefix code. Each decision is predicted in hashed contexts: the word so far with the
+text's kind, and the last two (with the kind), three and five bytes. These go on across the space: the first byte of a word
+sees the last two letters of the word before, the second byte the last one. The kind is what the words before tell (clusters of
 texts, in effect languages), so it adapts along the text. A context's slot holds how often either side was taken in the
 corpus; what such a history tells is learned too. The predictions are combined by a logistic mixer, whose weight set is
-gated by how often the word so far was seen and by the place in the word, and the result is refined by an adaptive map
-from (mixed prediction, last byte) to what came true.
+gated by how often the word so far was seen and by the place in the word, and the result is refined by an adaptive map from
+(mixed prediction, last byte) to what came true.
 
 Beyond the word, a text is cut in stretches: one begins wherever the hash of the two words before is 0 modulo STRIDE. One
 more decision, made at its start, is whether the stretch is one that training saw after the same two words, in another
@@ -15,11 +15,11 @@ text: its odds are those that training gives contexts seen so often, moved by ho
 known. With chance l for known, a stretch seen c of T times after its context has l * c / T + (1 - l) * (its spelling).
 So word order, phrases and copies count. A training text's own stretches are taken off the counts before it is scored.
 
-Passes, each where the rows are: bytes and kinds; counts of contexts, gathered from all training texts in tables of slots;
-weights and map, learned online along all training texts; spelling of all texts, whose words and stretches go
-to slabs by hash, are counted there, and come back by block of texts. Texts are dealt to two folds by hash: what is learned
-on a fold sees the counts of the other, as a new text does. No text is left out and nothing but tables of fixed size
-passes the driver. Tables have one slot for every 4 bytes of training text, up to 2^TABLE_BITS; beyond that contexts share slots.
+Passes, each where the rows are: bytes and kinds; learning, online along all training texts: a task's texts are predicted
+with what it has counted so far, weights, map and what histories tell are moved, and then the texts are counted; spelling of
+all texts, whose words and stretches go to slabs by hash, are counted there, and come back by block of texts. No text is left
+out. Tasks' tables are added up, their weights averaged over all steps; nothing but such tables of fixed size passes the
+driver. Tables have one slot for every 4 bytes of training text, up to 2^TABLE_BITS; beyond that contexts share slots.
 
 Defined results: a null or empty text is the end alone; without training texts N and V are 0, and all decisions are even;
 whole texts are scored at any length; repeated rows are scored alike; a row without id counts as training; an empty
@@ -48,14 +48,18 @@ from seqloom.llm.common import bounded_batches, coded_words, crc_mod, removed, s
 TABLE_BITS, LEAST_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 18, 32
 CONTEXTS, STATES, GATES = 4, 8, 72
 #: Words of the text's kind are told apart by a hash of so many bits, and are at most so long.
-KIND_BITS, KIND_LENGTH = 12, 5
+KIND_BITS, KIND_LENGTH = 10, 4
 #: One place in so many begins a stretch; stretches of the text that its odds look back on.
 STRIDE, LOOK_BACK = 16, 16
 #: Classes of how often a stretch's context was seen.
 CLASSES = 24
 SLAB_BYTES = 32 << 20
+#: Bytes of text in a batch; a task learns from batches that grow up to that.
+BATCH, FIRST_BATCH = 6 << 20, 8 << 10
 END, SPACE, LINE = b"\n", 32, 10
 BUCKETS, FINE = 33, 32
+#: Steps of a task after which its weights count in the average, and the map follows them.
+SETTLED = 30
 
 _mult = np.random.default_rng(4).integers(0, 2**63, 24, dtype=np.uint64) | np.uint64(1)
 
@@ -87,22 +91,26 @@ def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return length, node, side
 
 
-def _clustered(x: np.ndarray, weight: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
-    """Rows of word counts added up to at most ``kinds`` clusters (k-means on the unit sphere, of root counts)."""
+def _clustered(x: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
+    """Rows of word counts added up to at most ``kinds`` clusters (k-means on the unit sphere, of root counts; a row weighs as many
+    words as it has)."""
+    x = x[x.any(axis=1)]
+    weight = x.sum(axis=1)
     unit = np.sqrt(x)
-    unit /= np.maximum(1e-6, np.sqrt((unit * unit).sum(axis=1, keepdims=True)))
+    unit /= np.sqrt(weight)[:, None]
+    # each next centre is a heavy row far from those before
     chosen = [int(weight.argmax())] if len(x) else []
     while chosen and len(chosen) < min(kinds, len(x)):
-        chosen.append(int((unit @ unit[chosen].T).max(axis=1).argmin()))
+        chosen.append(int(((1 - (unit @ unit[chosen].T).max(axis=1)) ** 2 * weight).argmax()))
     centre = unit[chosen]
     own = np.zeros(len(x), np.int64)
-    for _ in range(12):
-        own = (unit @ centre.T).argmax(axis=1) if chosen else own
+    for _ in range(6 if chosen else 0):
+        own = (unit @ centre.T).argmax(axis=1)
         for k in range(len(chosen)):
             if (own == k).any():
-                centre[k] = (unit[own == k] * weight[own == k, None]).sum(axis=0)
+                centre[k] = weight[own == k] @ unit[own == k]
         centre = centre / np.maximum(1e-6, np.sqrt((centre * centre).sum(axis=1, keepdims=True)))
-    return np.stack([x[own == k].sum(axis=0) for k in range(len(chosen))]) if chosen else np.zeros((0, x.shape[1]), np.float32)
+    return np.stack([x[own == k].sum(axis=0) for k in range(len(chosen)) if (own == k).any()]) if chosen else np.zeros((0, x.shape[1]), np.float32)
 
 
 def _kind_words(batch: Batch) -> np.ndarray:
@@ -112,41 +120,45 @@ def _kind_words(batch: Batch) -> np.ndarray:
 
 
 class Topics:
-    """What short words tell of a text's kind (in effect, its language): log probabilities by kind, and a last row for others."""
+    """What short words tell of a text's kind (in effect, its language): log probabilities by kind."""
 
     def __init__(self, counts: np.ndarray | None = None):
         counts = np.zeros((0, 1 << KIND_BITS), np.float32) if counts is None else counts
         # in the order of their size, so that the same texts give the same kinds however they were dealt out
         counts = counts[np.lexsort((counts.argmax(axis=1), -counts.sum(axis=1)))]
         total = counts.sum(axis=1, keepdims=True)
-        self.told = np.zeros(((1 << KIND_BITS) + 1, len(counts)))
+        self.told = np.log((counts + 0.5) / (total + 0.5 * counts.shape[1])).T.astype(np.float64)
         if len(counts):
-            self.told[:-1] = np.log((counts + 0.5) / (total + 0.5 * counts.shape[1])).T
-            self.told[:-1] -= self.told[:-1].max(axis=1, keepdims=True)
-            self.told[:-1][counts.sum(axis=0) == 0] = 0
+            self.told -= self.told.max(axis=1, keepdims=True)
+            self.told[counts.sum(axis=0) == 0] = 0
 
     def states(self, batch: Batch) -> np.ndarray:
         """Of each token: 0, or 1 + the kind that the words before it in its text tell."""
-        n = len(batch.token)
-        if not n or not self.told.shape[1]:
-            return np.zeros(n, np.int64)
+        if not len(batch.token) or not self.told.shape[1]:
+            return np.zeros(len(batch.token), np.int64)
         column = _kind_words(batch)
-        row = np.where(column >= 0, column, len(self.told) - 1)[batch.token]
-        first = np.repeat(batch.start, batch.size)
-        best, state = np.full(n, -np.inf), np.zeros(n, np.int64)
-        for k in range(self.told.shape[1]):
-            so_far = np.concatenate([[0.0], np.cumsum(self.told[row, k])[:-1]])
-            so_far -= so_far[first]
-            more = so_far > best + 1e-6
-            best[more], state[more] = so_far[more], k + 1
-        known = np.concatenate([[0], np.cumsum(row < len(self.told) - 1)[:-1]])
-        state[known == known[first]] = 0
+        known = (column >= 0)[batch.token]
+        at = np.flatnonzero(known)
+        # what each of the words that tell has told together with those before it in its text
+        upto = np.cumsum(self.told[column[batch.token[at]]], axis=0)
+        before = np.concatenate([[0], np.cumsum(known)])
+        first = before[batch.start]
+        text = np.searchsorted(batch.start, at, "right") - 1
+        upto -= np.vstack([np.zeros((1, upto.shape[1])), upto])[first[text]]
+        after = np.concatenate([[0], upto.argmax(axis=1) + 1])
+        # a token sees the last word that tells before it, if that is one of its text
+        state = after[before[:-1]]
+        state[before[:-1] == np.repeat(first, batch.size)] = 0
         return state
 
 
 class Batch:
-    """Texts as tokens, and as units: a word, its text's kind there, and the last two bytes of the word before it. What a
-    token's decisions depend on is its unit, so they are made once for all tokens of one unit."""
+    """Texts as tokens, and the edges that spell them.
+
+    An edge is a byte in the contexts that it is predicted in; all its decisions depend on that alone, so they are made once.
+    A word's first byte depends on the kind and the last two letters before (edges a), its second on the kind, the last
+    letter before and the first byte (edges b), and the others on the kind and the word so far (edges c): words of one kind share
+    the edges of a common beginning. A unit is a word in a kind."""
 
     def __init__(self, texts, topics: Topics | None):
         """texts: strings or nulls, as a list or an Arrow array."""
@@ -157,68 +169,115 @@ class Batch:
         self.token = np.zeros(int(self.size.sum()), np.int32)  # the end is word 0
         self.token[np.arange(len(index)) + np.repeat(np.arange(len(sizes)), sizes)] = index + 1
         self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        if topics is None:
-            return
-        tail = np.array([int.from_bytes((b" " + w)[-2:], "big") for w in self.words], np.int64)[self.token]
-        before = np.concatenate([[0], tail[:-1]])
+        if topics is not None:
+            self.spell(topics.states(self))
+
+    def spell(self, state: np.ndarray) -> None:
+        flat = np.frombuffer(b" ".join([*self.words, b""]), np.uint8)
+        length = np.array(list(map(len, self.words)), np.int64)
+        at = np.cumsum(length + 1) - length - 1
+        first, second = flat[at].astype(np.int64), flat[np.minimum(at + 1, len(flat) - 1)].astype(np.int64)
+        last, last2 = flat[at + length - 1].astype(np.int64), np.where(length > 1, flat[at + np.maximum(length, 2) - 2], SPACE).astype(np.int64)
+        token = self.token
+        tail = (last2 << 8 | last)[token]
+        before = np.empty(len(token), np.int64)
+        before[1:] = tail[:-1]
         before[self.start] = LINE << 8 | LINE
-        code = (self.token.astype(np.int64) << 20) | (topics.states(self) << 16) | before
-        # units in the order in which they come along the texts
-        self.unit, self.units = pd.factorize(code)
-        self.times = np.bincount(self.unit, minlength=len(self.units))
+        self.a, a = pd.factorize(state << 24 | before << 8 | first[token])
+        inner = np.flatnonzero(token)
+        self.b = np.full(len(token), -1)
+        self.b[inner], b = pd.factorize((state << 24 | (before & 255) << 16)[inner] | (first << 8 | second)[token[inner]])
+        self.unit, units = pd.factorize(token.astype(np.int64) << 4 | state)
+        times = np.bincount(self.unit, minlength=len(units))
+        # edges c: of the units' bytes from the third on, those of different beginnings
+        word, kind = units >> 4, (units & 15).astype(np.uint64)
+        n = np.maximum(0, length[word] - 1) * (word > 0)
+        self.owner = np.repeat(np.arange(len(units)), n)
+        place = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n) + 2
+        where = at[word][self.owner] + place
+        so_far = _beginnings(flat, at, length)
+        key = (so_far[where] + kind[self.owner] * _mult[18]) * _mult[19]
+        self.c, _, fresh = _first_of(key)
+        where, place, kind = where[fresh], place[fresh], kind[self.owner[fresh]]
+        wide = flat.astype(np.uint64) + np.uint64(1)
+        p = [wide[where - 1], wide[where - 2], *(np.where(place >= k, wide[np.maximum(0, where - k)], np.uint64(0)) for k in (3, 4, 5))]
+        # the space before the word, where a context reaches it
+        for k in (3, 4, 5):
+            p[k - 1][place == k - 1] = SPACE + 1
+        one = np.uint64(1)
+        ua, ub = a.astype(np.uint64), b.astype(np.uint64)
+        byte_of = lambda x, shift: (x >> np.uint64(shift)) & np.uint64(255)
+        begins = byte_of(ua, 8) == LINE
+        space_a, space_b = np.where(begins, np.uint64(LINE), np.uint64(SPACE)), np.where(byte_of(ub, 16) == LINE, np.uint64(LINE), np.uint64(SPACE))
+        none_a, none_b = np.zeros(len(a), np.uint64), np.zeros(len(b), np.uint64)
+        before_a = [space_a + one, byte_of(ua, 8) + one, byte_of(ua, 16) + one, none_a, none_a]
+        before_b = [byte_of(ub, 8) + one, space_b + one, byte_of(ub, 16) + one, none_b, none_b]
+        self.previous = [np.concatenate(x) for x in zip(before_a, before_b, p)]
+        self.head = np.concatenate([none_a + _mult[20], byte_of(ub, 8) * _mult[21] + _mult[22], so_far[where - 1]])
+        self.kind = np.concatenate([ua >> np.uint64(24), ub >> np.uint64(24), kind])
+        self.place = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64), np.full(len(where), 2)])
+        self.byte = np.concatenate([byte_of(ua, 0), byte_of(ub, 0), flat[where].astype(np.uint64)]).astype(np.uint8)
+        self.n_a, self.n_b = len(a), len(b)
+        self.times = np.concatenate([np.bincount(self.a, minlength=len(a)), np.bincount(self.b[inner], minlength=len(b)), np.bincount(self.c, times[self.owner], len(where))]).astype(np.uint32)
+
+    def of_tokens(self, edge: np.ndarray) -> np.ndarray:
+        """Of each token, the sum of what its edges have."""
+        rest = np.bincount(self.owner, edge[self.n_a + self.n_b :][self.c], int(self.unit.max(initial=-1)) + 1)
+        return edge[self.a] + np.append(edge[self.n_a : self.n_a + self.n_b], 0.0)[self.b] + rest[self.unit]
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, minlength=len(self.words))
 
-    def chunks(self, most: int = 8_000) -> Iterator[tuple[int, int]]:
-        for a in range(0, len(self.units), most):
-            yield a, min(a + most, len(self.units))
+    def chunks(self, most: int = 50_000) -> Iterator[slice]:
+        for a in range(0, len(self.byte), most):
+            yield slice(a, min(a + most, len(self.byte)))
+
+    def mixed(self, most: int = 50_000) -> Iterator[np.ndarray]:
+        """Chunks of edges in an order that has common and rare ones everywhere."""
+        order = np.random.default_rng(len(self.byte)).permutation(len(self.byte))
+        for a in range(0, len(order), most):
+            yield order[a : a + most]
+
 
+def _beginnings(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each byte of words that stand in flat, each with a space after it: a hash of its word up to and with it."""
+    place = np.arange(len(flat)) - np.repeat(at, length + 1)
+    wide = flat.astype(np.uint64) + np.uint64(1)
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _mult[0], np.uint64), dtype=np.uint64)
+    total = np.cumsum((wide * _mult[1] ^ (wide << np.uint64(17))) * power[place], dtype=np.uint64)
+    before = np.where(at > 0, total[at - 1], np.uint64(0))
+    head = total - np.repeat(before, length + 1) + place.astype(np.uint64)
+    head ^= head >> np.uint64(29)
+    head *= _mult[2]
+    return head
 
-def spelled(batch: Batch, a: int, b: int):
-    """Of units a to b: the bytes (as numbers from 1) with three bytes before each unit, which of them are to be spelled,
-    their place in the word, and the unit of each byte to be spelled (from 0)."""
-    units = batch.units[a:b]
-    ws = [batch.words[i] for i in (units >> 20).tolist()]
-    tails = (units & 0xFFFF).tolist()
-    raw = b"".join([t.to_bytes(2, "big") + (b"\n" if t == (LINE << 8 | LINE) else b" ") + (w if w == END else w + b" ") for t, w in zip(tails, ws)])
-    length = np.array([len(w) + (w != END) for w in ws], np.int64) + 3
-    owner = np.repeat(np.arange(len(ws)), length)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length) - 3
-    return np.frombuffer(raw, np.uint8), place, owner
+
+def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of keys in the order of their first places, the keys, and those places."""
+    code, keys = pd.factorize(key)
+    fresh = np.empty(len(keys), np.int64)
+    fresh[code[::-1]] = np.arange(len(key))[::-1]
+    return code, keys, fresh
 
 
 class Coder:
-    """Decisions of a batch's units, and the hashes of their contexts."""
+    """Decisions of a batch's edges, and the slots of their contexts."""
 
     def __init__(self, weights: np.ndarray, topics: Topics, bits: tuple[int, ...] = TABLE_BITS):
         self.length, self.node, self.side = prefix_code(weights)
         self.topics, self.bits = topics, bits
 
-    def decisions(self, batch: Batch, a: int, b: int):
-        """side, slots (contexts x decisions), gate place, last byte, unit of each decision (from 0)."""
-        raw, place, owner = spelled(batch, a, b)
-        wide, n = raw.astype(np.uint64) + np.uint64(1), len(raw)
-        prev = [np.concatenate([np.zeros(min(k, n), np.uint64), wide[: n - k]]) for k in range(1, 6)]
-        own = np.flatnonzero(place >= 0)
-        byte, place, owner, wide = raw[own], place[own], owner[own], wide[own]
-        # three bytes before the word's first one are known
-        prev = [np.where(place + 3 >= k, p[own], np.uint64(0)) for k, p in enumerate(prev, 1)]
-        n = len(byte)
-        # hash of the word so far: a running sum of its bytes times powers, less what came before the word
-        power = np.cumprod(np.full(max(1, int(place.max(initial=0)) + 1), _mult[0], np.uint64), dtype=np.uint64)
-        total = np.cumsum((wide * _mult[1] ^ (wide << np.uint64(17))) * power[place], dtype=np.uint64)
-        head = np.concatenate([np.zeros(min(1, n), np.uint64), total[:-1]])
-        head = head - head[np.flatnonzero(place == 0)][owner] + place.astype(np.uint64)
-        head = (head ^ (head >> np.uint64(29))) * _mult[2]
-        state = (batch.units[a:b] >> 16 & 15).astype(np.uint64)[owner]
+    def decisions(self, batch: Batch, some: slice | np.ndarray):
+        """Of some edges: side, slots (contexts x decisions), gate place, last byte, edge of each decision (its place in some)."""
+        prev = [x[some] for x in batch.previous]
+        kind, byte = batch.kind[some], batch.byte[some]
         nine = np.uint64(9)
         two = prev[0] << nine | prev[1]
         three = two << nine | prev[2]
         five = (three << nine | prev[3]) << nine | prev[4]
-        contexts = (head + (state << np.uint64(58)) * _mult[8], (two + (state << np.uint64(40))) * _mult[3], (three + np.uint64(1)) * _mult[4], (five + np.uint64(2)) * _mult[5])
+        contexts = (batch.head[some] + (kind << np.uint64(58)) * _mult[8], (two + (kind << np.uint64(40))) * _mult[3], (three + np.uint64(1)) * _mult[4], (five + np.uint64(2)) * _mult[5])
         reps = self.length[byte]
-        at = np.repeat(np.arange(n), reps)
+        at = np.repeat(np.arange(len(byte)), reps)
         j = np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
         b_at = byte[at]
         salt = (self.node[b_at, j] + np.uint64(1)) * _mult[6]
@@ -229,20 +288,42 @@ class Coder:
             h *= _mult[7]
             h >>= np.uint64(64 - bits)
             slots.append(h.view(np.int64))
-        return self.side[b_at, j], slots, np.minimum(place, 2)[at], prev[0].astype(np.int64)[at] - 1, owner[at]
+        return self.side[b_at, j], slots, batch.place[some][at], (prev[0].astype(np.int64) - 1)[at], at
 
 
-def history(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """A slot's history as a small number: both counts while they are few, else their odds in steps of 1/24 and three classes of size."""
-    n0, n1 = n0.astype(np.float64), n1.astype(np.float64)
+#: A count as a small number: exact below 32, then in sixteen steps an octave, as the head of a float.
+CODES = 16 * 33
+FEW, ODDS = 20, 280
+HISTORIES = FEW * FEW + 3 * (2 * ODDS + 1)
+
+
+def _coded(n: np.ndarray) -> np.ndarray:
+    x = (n.astype(np.float32).view(np.uint32) >> np.uint32(19)).astype(np.int32)
+    x -= (127 << 4) - 1
+    return np.maximum(x, 0, out=x)
+
+
+def _value(code: np.ndarray) -> np.ndarray:
+    """The least count of a code."""
+    bits = ((code.astype(np.int64) + (127 << 4) - 1) << 19).astype(np.uint32)
+    return np.where(code > 0, bits.view(np.float32).astype(np.float64), 0.0)
+
+
+def _history_table() -> np.ndarray:
+    """A slot's history as a small number, by the codes of its counts: both counts while they are few, else their odds in steps
+    of 1/24 and three classes of size."""
+    n0, n1 = (_value(x) for x in np.divmod(np.arange(CODES * CODES), CODES))
     odds = np.clip(np.round(24 * np.log((n1 + 0.4) / (n0 + 0.4))), -ODDS, ODDS)
     size = np.clip(np.floor(np.log10(n0 + n1 + 1)) - 1, 0, 2)
     few = (n0 < FEW) & (n1 < FEW)
-    return np.where(few, n0 * FEW + n1, FEW * FEW + size * (2 * ODDS + 1) + odds + ODDS).astype(np.uint16)
+    return np.where(few, np.floor(n0) * FEW + np.floor(n1), FEW * FEW + size * (2 * ODDS + 1) + odds + ODDS).astype(np.uint16)
 
 
-FEW, ODDS = 20, 280
-HISTORIES = FEW * FEW + 3 * (2 * ODDS + 1)
+_HISTORY = _history_table()
+
+
+def history(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.take(_HISTORY, _coded(n0) * np.int32(CODES) + _coded(n1))
 
 
 def _typical() -> tuple[np.ndarray, np.ndarray]:
@@ -256,21 +337,24 @@ def _typical() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Histories by slot, what each tells, gated weights and the adaptive map."""
+    """What histories tell, gated weights and the adaptive map; and the tables, counts while learning and histories when done."""
 
-    def __init__(self, coder: Coder, slots: list[np.ndarray], told: np.ndarray | None = None):
-        self.coder, self.slots = coder, slots
+    def __init__(self, coder: Coder):
+        self.coder = coder
         odds, self.kind = _typical()
-        self.told = np.repeat(odds[None, :], CONTEXTS, axis=0).astype(np.float32) if told is None else told
+        self.told_hits = np.repeat(2 / (1 + np.exp(-odds))[None, :], CONTEXTS, axis=0)
+        self.told_tries = np.full((CONTEXTS, HISTORIES), 2.0)
         self.weights = np.full((GATES, CONTEXTS + 1), 0.35, np.float32)
         self.weights[:, CONTEXTS] = 0
         self.hits = np.repeat(1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))[None, :], 256, axis=0) * 6
         self.tries = np.full((256, BUCKETS), 6.0)
-        self.square, self.done = np.zeros((GATES, CONTEXTS + 1)), 0
+        self.square, self.average, self.done = np.zeros((GATES, CONTEXTS + 1)), np.zeros((GATES, CONTEXTS + 1)), 0
+        self.slots: list[np.ndarray] = []
         self.settle()
 
     def settle(self) -> None:
-        """The map, and from it the cost of either side by last byte and mixed prediction (in steps of 1 / FINE)."""
+        """What histories tell; the map, and from it the cost of either side by last byte and mixed prediction (in steps of 1 / FINE)."""
+        self.tell()
         self.map = (self.hits / self.tries).astype(np.float32)
         t = (np.arange(24 * FINE) + 0.5) / FINE - 12
         low, part = self.bucket(t)
@@ -278,9 +362,12 @@ class Model:
         p = np.clip(0.5 / (1 + np.exp(-t)) + 0.5 * refined, 1e-5, 1 - 1e-5)
         self.cost = np.log10(np.stack([1 - p, p])).astype(np.float32).ravel()
 
-    def inputs(self, slots, place):
-        """Histories, what they tell (a row each, and a constant), and the gate."""
-        seen = [np.take(self.slots[k], slots[k], mode="clip").astype(np.intp) for k in range(CONTEXTS)]
+    def tell(self) -> None:
+        p = np.clip(self.told_hits / self.told_tries, 1e-5, 1 - 1e-5)
+        self.told = np.log(p / (1 - p)).astype(np.float32)
+
+    def inputs(self, seen, place):
+        """What histories tell (a row each, and a constant), and the gate."""
         x = np.empty((CONTEXTS + 1, len(place)), np.float32)
         for k in range(CONTEXTS):
             np.take(self.told[k], seen[k], out=x[k], mode="clip")
@@ -308,41 +395,58 @@ class Model:
         return low, s - low
 
     def learn(self, batch: Batch, step: int = 16384, rate: float = 0.03) -> None:
-        """Online, in the order of the texts: each step of decisions is predicted first, then learned from. The map follows
-        the mixer once that has settled."""
-        for a, b in batch.chunks(20_000):
-            side, slots, place, last, owner = self.coder.decisions(batch, a, b)
-            times = batch.times[a:b][owner].astype(np.float32)
-            x, gate = self.inputs(slots, place)
+        """Online: a batch is predicted from the counts of those before it; weights, map and what histories tell move with each step;
+        then it is counted. The map follows the mixer once that has settled."""
+        self.slots = self.slots or [np.zeros(2 << bits, np.uint32) for bits in self.coder.bits]
+        counted = []
+        for some in batch.mixed():
+            side, slots, place, last, at = self.coder.decisions(batch, some)
+            times = batch.times[some][at]
+            seen = []
+            for k in range(CONTEXTS):
+                # both counts in one look
+                pair = np.take(self.slots[k].view(np.uint64), slots[k], mode="clip").view(np.uint32).reshape(-1, 2)
+                seen.append(history(pair[:, 0], pair[:, 1]))
+            x, gate = self.inputs(seen, place)
+            weight = times.astype(np.float32)
+            for k in range(CONTEXTS):
+                self.told_tries[k] += np.bincount(seen[k], weight, HISTORIES)
+                self.told_hits[k] += np.bincount(seen[k], weight * side, HISTORIES)
             for s in range(0, len(side), step):
                 e = slice(s, s + step)
                 t = self.mixed(x[:, e], gate[e])
-                error = (side[e] - 1 / (1 + np.exp(-t))) * times[e]
-                norm = np.bincount(gate[e], times[e], GATES) + 16
+                error = (side[e] - 1 / (1 + np.exp(-t))) * weight[e]
+                norm = np.bincount(gate[e], weight[e], GATES) + 16
                 self.done += 1
                 for k in range(CONTEXTS + 1):
                     # steps scaled by the root of the mean square of the gradient, and growing shorter
                     g = np.bincount(gate[e], error * x[k, e], GATES) / norm
                     self.square[:, k] = 0.97 * self.square[:, k] + 0.03 * g * g
                     self.weights[:, k] += (rate / np.sqrt(1 + self.done / 100) * g / (np.sqrt(self.square[:, k]) + 1e-4)).astype(np.float32)
-                if self.done > 30:
+                if self.done > SETTLED:
+                    self.average += self.weights
                     low, part = self.bucket(t)
                     cell = last[e] * BUCKETS + low + (part > 0.5)
-                    self.tries += np.bincount(cell, times[e], 256 * BUCKETS).reshape(256, BUCKETS)
-                    self.hits += np.bincount(cell, times[e] * side[e], 256 * BUCKETS).reshape(256, BUCKETS)
-
-    def unit_scores(self, batch: Batch) -> np.ndarray:
-        """log10 probability of each unit's word."""
-        out = np.zeros(len(batch.units))
-        for a, b in batch.chunks():
-            side, slots, place, last, owner = self.coder.decisions(batch, a, b)
-            t = self.mixed(*self.inputs(slots, place))
+                    self.tries += np.bincount(cell, weight[e], 256 * BUCKETS).reshape(256, BUCKETS)
+                    self.hits += np.bincount(cell, weight[e] * side[e], 256 * BUCKETS).reshape(256, BUCKETS)
+            counted.append(([(x * 2 + side).astype(np.uint32) for x in slots], times))
+        for slots, times in counted:
+            for k in range(CONTEXTS):
+                np.add.at(self.slots[k], slots[k], times)
+        self.tell()
+
+    def edge_scores(self, batch: Batch) -> np.ndarray:
+        """log10 probability of each edge's byte."""
+        out = np.zeros(len(batch.byte))
+        for some in batch.chunks():
+            side, slots, place, last, at = self.coder.decisions(batch, some)
+            t = self.mixed(*self.inputs([np.take(self.slots[k], slots[k], mode="clip") for k in range(CONTEXTS)], place))
             t += np.float32(12)
             t *= np.float32(FINE)
             cell = t.astype(np.int32)
             np.minimum(cell, 24 * FINE - 1, out=cell)
             cell += (side.astype(np.int32) * 256 + last.astype(np.int32)) * (24 * FINE)
-            out[a:b] = np.bincount(owner, self.cost[cell], b - a)
+            out[some] = np.bincount(at, self.cost[cell], some.stop - some.start)
         return out
 
 
@@ -382,7 +486,7 @@ def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
     def run(batches):
         total, held = np.zeros(256, np.int64), np.zeros((0, 1 << KIND_BITS), np.float32)
         for b in batches:
-            for _, texts in text_slices(b.column(0)):
+            for _, texts in text_slices(b.column(0), BATCH):
                 one = Batch(texts, None)
                 raw, times = b" ".join([*one.words, b""]), one.counts()
                 # the end's own byte, and of each word its bytes and a space
@@ -394,14 +498,14 @@ def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
                     use = (column >= 0) & (row >= at) & (row < at + 1000)
                     n = min(1000, len(texts) - at)
                     tf = np.bincount((row[use] - at) * (1 << KIND_BITS) + column[use], minlength=n << KIND_BITS).reshape(n, -1).astype(np.float32)
-                    held = _clustered(np.vstack([held, tf[tf.any(axis=1)]]), np.ones(len(held) + int(tf.any(axis=1).sum()), np.float32))
+                    held = _clustered(np.vstack([held, tf]))
         if total.any():
             yield _row(0, pickle.dumps((total, held)))
 
     def add(blocks):
         each = [pickle.loads(x) for x in blocks]
         x = np.vstack([h for _, h in each])
-        return pickle.dumps((sum(t for t, _ in each), _clustered(x, x.sum(axis=1))))
+        return pickle.dumps((sum(t for t, _ in each), _clustered(x)))
 
     found = added(_numbered(train.select("_text").mapInArrow(tidied(run), "n bigint, block binary")), add).first()
     if found is None:
@@ -410,94 +514,73 @@ def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
     return weights, Topics(counts)
 
 
-def gathered(train: DataFrame, coder: Coder, fold: int) -> DataFrame:
-    """Tables of the texts of one fold: rows (fold, context and slab; packed counts)."""
+def growing(texts: pa.Array, first: int) -> Iterator[pa.Array]:
+    """Slices of texts, each of twice the bytes of the one before, from ``first`` up to BATCH."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) + 1)
+    at, most = 0, first
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, to - at)
+        at, most = to, min(BATCH, 2 * most)
+
+
+WHAT_IS_LEARNED = ("average", "told_hits", "told_tries", "hits", "tries")
+PARAMETERS = 1 << 30
+
+
+def learning(train: DataFrame, coder: Coder) -> DataFrame:
+    """Rows (context and slab; packed counts) of tasks' tables, and a row (PARAMETERS; what the task learned)."""
 
     def run(batches):
-        held = None
+        m, held = Model(coder), FIRST_BATCH
         for b in batches:
-            for _, texts in text_slices(b.column(0)):
-                held = held or [np.zeros(2 << bits, np.uint32) for bits in coder.bits]
-                one = Batch(texts, coder.topics)
-                for x, y in one.chunks():
-                    side, slots, _, _, owner = coder.decisions(one, x, y)
-                    times = one.times[x:y].astype(np.uint32)[owner]
-                    for k in range(CONTEXTS):
-                        np.add.at(held[k], slots[k] * 2 + side, times)
-        for k in range(CONTEXTS if held else 0):
-            for s in range(1 << coder.bits[k] - SLAB_BITS):
-                part = held[k][s << SLAB_BITS + 1 : (s + 1) << SLAB_BITS + 1]
-                if part.any():
-                    yield _row(fold << 24 | k << 16 | s, _pack(part))
+            for texts in growing(b.column(0), held):
+                m.learn(Batch(texts, coder.topics))
+                held = min(BATCH, 2 * held)
+        if m.done:
+            fresh = Model(coder)
+            yield _row(PARAMETERS, pickle.dumps((max(0, m.done - SETTLED), *(getattr(m, x) - getattr(fresh, x) for x in WHAT_IS_LEARNED))))
+            for k in range(CONTEXTS):
+                for s in range(1 << coder.bits[k] - SLAB_BITS):
+                    part = m.slots[k][s << SLAB_BITS + 1 : (s + 1) << SLAB_BITS + 1]
+                    if part.any():
+                        yield _row(k << 16 | s, _pack(part))
 
     return train.select("_text").mapInArrow(tidied(run), "n bigint, block binary")
 
 
-def _sum_slabs(blocks: list[bytes]) -> bytes:
+def _sum_learned(blocks: list[bytes]) -> bytes:
+    if len(blocks[0]) and blocks[0][:1] == b"\x80":
+        return pickle.dumps(tuple(sum(x) for x in zip(*map(pickle.loads, blocks))))
     total = np.zeros(2 << SLAB_BITS, np.uint64)
     for x in blocks:
         total += _unpack(x, np.uint32)
     return _pack(np.minimum(total, 2**32 - 1).astype(np.uint32))
 
 
-def tables(rows: DataFrame, bits) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """Of the summed counts: the history of each slot by context, of either fold and of both; and the log odds that a history
-    in one fold has in the other."""
-    slots = [[np.zeros(1 << b, np.uint16) for b in bits] for _ in range(3)]
-    odds, _ = _typical()
-    hits, tries = np.repeat(2 / (1 + np.exp(-odds))[None, :], CONTEXTS, axis=0), np.full((CONTEXTS, HISTORIES), 2.0)
-
-    def digest(t: pa.Table) -> pa.Table:
-        key = t["key"][0].as_py()
-        c = np.zeros((2, 1 << SLAB_BITS, 2), np.int64)
-        for n, x in zip(t["n"].to_pylist(), t["block"].to_pylist()):
-            c[n >> 24] += _unpack(x, np.uint32).reshape(-1, 2)
-        h = [history(c[0, :, 0], c[0, :, 1]), history(c[1, :, 0], c[1, :, 1]), history(*c.sum(axis=0).T)]
-        met = np.zeros((2, HISTORIES))
-        for f in (0, 1):
-            met[0] += np.bincount(h[f], c[1 - f, :, 1], HISTORIES)
-            met[1] += np.bincount(h[f], c[1 - f].sum(axis=1), HISTORIES)
-        return pa.table({"n": [key], "h": pa.array([pickle.dumps((_pack(np.stack(h)), _pack(met)))], pa.binary())})
-
-    for r in rows.withColumn("key", F.col("n") % (1 << 24)).groupBy("key").applyInArrow(digest, "n bigint, h binary").toLocalIterator():
-        k, s = r.n >> 16, r.n & 0xFFFF
-        h, met = pickle.loads(r.h)
-        for own, one in zip(slots, _unpack(h, np.uint16).reshape(3, -1)):
-            own[k][s << SLAB_BITS : (s + 1) << SLAB_BITS] = one
-        met = _unpack(met, np.float64).reshape(2, -1)
-        hits[k] += met[0]
-        tries[k] += met[1]
-    p = np.clip(hits / tries, 1e-5, 1 - 1e-5)
-    return slots, np.log(p / (1 - p)).astype(np.float32)
-
-
-def learned(train: DataFrame, model, slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, hits and tries of the map, from all training texts: each task learns online along its texts, fold by fold with the
-    other fold's counts; weights are averaged by the number of steps, the map's counts are added up. model, slots: broadcast."""
+def digested(rows: DataFrame, model: Model) -> None:
+    """Puts what all tasks learned, and the history of each slot, into the model."""
+    model.slots = [np.zeros(1 << b, np.uint16) for b in model.coder.bits]
 
-    def run(batches):
-        m = None
+    def digest(batches):
         for b in batches:
-            fold = b.column(1).to_numpy(zero_copy_only=False)
-            for at, texts in text_slices(b.column(0)):
-                m = m or Model(model.value.coder, slots.value[0], model.value.told)
-                for f in (0, 1):
-                    own = np.flatnonzero(fold[at : at + len(texts)] == f)
-                    if len(own):
-                        m.slots = slots.value[1 - f]
-                        m.learn(Batch(texts.take(pa.array(own)), m.coder.topics))
-        if m and m.done:
-            yield _row(0, pickle.dumps((m.weights * float(m.done), float(m.done), m.hits - first.hits, m.tries - first.tries)))
-
-    def add(blocks):
-        return pickle.dumps(tuple(sum(x) for x in zip(*map(pickle.loads, blocks))))
-
-    first = Model(Coder(np.zeros(256, np.int64), Topics()), [])
-    found = added(_numbered(train.select("_text", "_fold").mapInArrow(tidied(run), "n bigint, block binary")), add).first()
-    if found is None:
-        return first.weights, first.hits, first.tries
-    weights, steps, hits, tries = pickle.loads(found["block"])
-    return (weights / steps).astype(np.float32), first.hits + hits, first.tries + tries
+            for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if n != PARAMETERS:
+                    c = _unpack(x, np.uint32).reshape(-1, 2)
+                    x = _pack(history(c[:, 0], c[:, 1]))
+                yield _row(n, x)
+
+    for r in rows.mapInArrow(digest, "n bigint, block binary").toLocalIterator():
+        if r.n == PARAMETERS:
+            steps, *rest = pickle.loads(r.block)
+            for name, x in zip(WHAT_IS_LEARNED, rest):
+                setattr(model, name, getattr(model, name) + x)
+            if steps:
+                model.weights = (model.average / steps).astype(np.float32)
+        else:
+            k, s = r.n >> 16, r.n & 0xFFFF
+            model.slots[k][s << SLAB_BITS : (s + 1) << SLAB_BITS] = _unpack(r.block, np.uint16)
+    model.settle()
 
 
 # -- words and stretches: counted in slabs, scored by block -------------------------------------------------------------
@@ -544,12 +627,12 @@ def spelling(d: DataFrame, model, slabs: int) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 24
         for b in batches:
-            for at, texts in text_slices(b.column(2)):
+            for at, texts in text_slices(b.column(2), BATCH):
                 n = len(texts)
                 held = b.column(1).slice(at, n)
                 train = ~held.to_numpy(zero_copy_only=False).astype(bool)
                 one = Batch(texts, model.value.coder.topics)
-                cost = model.value.unit_scores(one)[one.unit]
+                cost = one.of_tokens(model.value.edge_scores(one))
                 learns = np.repeat(train, one.size)
                 # words: sorted by hash
                 order = np.argsort(one.hash)
@@ -661,30 +744,15 @@ def gains(odds, train, text, record, group, cost, c, every) -> np.ndarray:
     return np.where(tried, np.where(hit, with_hit, np.log10(1 - p)), 0.0)
 
 
-def folds(texts: DataFrame) -> DataFrame:
-    """Texts with their fold; equal texts are of one."""
-    return texts.withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), F.coalesce("_text", F.lit(""))), F.lit(2)).cast("int"))
-
-
 def fitted(train: DataFrame) -> tuple[Model, int]:
-    """The model of training texts (_text, _fold), and how many bytes they spell."""
-    spark = train.sparkSession
+    """The model of training texts (_text), and how many bytes they spell."""
     weights, topics = kinds(train)
     n_bytes = int(weights.sum())
     bits = tuple(int(min(most, max(LEAST_BITS, np.ceil(np.log2(max(1, n_bytes / 4)))))) for most in TABLE_BITS)
-    coder = Coder(weights, topics, bits)
-    halves = [gathered(train.filter(F.col("_fold") == f).coalesce(max(1, train.rdd.getNumPartitions() // 2)), coder, f) for f in (0, 1)]
-    rows = _numbered(halves[0].union(halves[1]))
-    slots, told = tables(added(rows, _sum_slabs), bits)
+    model = Model(Coder(weights, topics, bits))
+    rows = _numbered(learning(train, model.coder))
+    digested(added(rows, _sum_learned), model)
     removed(rows)
-    model = Model(coder, [], told)
-    sent, sides = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(slots[:2])
-    w, hits, tries = learned(train, sent, sides)
-    sides.unpersist()
-    sent.unpersist()
-    model = Model(coder, slots[2], told)
-    model.weights, model.hits, model.tries = w, hits, tries
-    model.settle()
     return model, n_bytes
 
 
@@ -694,7 +762,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     bounded_batches(spark)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
-    train = folds(docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(text).alias("_text")))
+    train = docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(text).alias("_text"))
     model, n_bytes = fitted(train)
     shared = spark.sparkContext.broadcast(model)
     slabs = max(1, -(-n_bytes // SLAB_BYTES))

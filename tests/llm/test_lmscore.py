@@ -46,14 +46,14 @@ def scored(spark, rs):
 
 
 def contexts(word, place, state, before):
-    """The four contexts of a byte of a word: exact, in place of their hashes."""
-    so_far = (before + word)[: 3 + place]
-    last = lambda k: so_far[max(0, len(so_far) - k) :]
+    """The four contexts of a byte of a word: exact, in place of their hashes. before: two letters and a space."""
+    seen = {0: before, 1: before[1:] + word[:1]}.get(place, b" " + word[:place])
+    last = lambda k: seen[max(0, len(seen) - k) :]
     return (state, word[:place]), (state, last(2)), last(3), last(5)
 
 
 def spelled_slowly(words, states, coder):
-    """Byte by byte: (contexts, node, side, place, last byte) of every decision, by word."""
+    """Byte by byte: (word, contexts, node, side, place, last byte) of every decision."""
     for i, (w, state) in enumerate(zip(words, states)):
         before = (b" " + words[i - 1])[-2:] + b" " if i else b"\n\n\n"
         spelled = w if w == lmscore.END else w + b" "
@@ -76,7 +76,7 @@ def test_base_and_score_against_a_slow_model(spark, monkeypatch):
     assert h.score.sum() / h.n_tokens.sum() > h.base_score.sum() / h.n_tokens.sum() + 0.2
 
     train = [t for i, t, _ in rs if not is_held(i)]
-    model, _ = lmscore.fitted(lmscore.folds(frame(spark, rs).filter(~F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))).select(F.col("text").alias("_text"))))
+    model, _ = lmscore.fitted(frame(spark, rs).filter(~F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))).select(F.col("text").alias("_text")))
     states = {t: model.coder.topics.states(lmscore.Batch([t], None)).tolist() for _, t, _ in rs}
     # counts by exact context
     seen = defaultdict(lambda: [0, 0])
@@ -97,7 +97,8 @@ def test_base_and_score_against_a_slow_model(spark, monkeypatch):
     # all stand in one slab and one block: the odds of classes are those without any other block
     odds = lmscore.known_odds(*(np.array(x, float) for x in zip(*[(0, 0 if k else sum(every.values())) for k in range(lmscore.CLASSES)])))
     _, kind = lmscore._typical()
-    for i, t, _ in [r for r in rs if r[0] is not None and r[0] != 5][::17] + [r for r in rs if r[0] in (1000, 1001, 1002, 2000, 10)]:
+    # but for the one of 12,000 contexts, of which one in a hundred shares a slot even so
+    for i, t, _ in [r for r in rs if r[0] not in (None, 5, 1003)][::17] + [r for r in rs if r[0] in (1000, 1001, 1002, 2000, 10)]:
         words = words_of(t)
         cost = [0.0] * len(words)
         for w, c, node, side, place, last in spelled_slowly(words, states[t], model.coder):
@@ -190,19 +191,13 @@ def test_decisions_make_a_distribution(spark):
     """The probabilities of all bytes that may begin a word sum to one."""
     texts = ["a b a", "b a", "a a a b", "c\x01 b"] * 20
     train = spark.createDataFrame([(t,) for t in texts], "_text string")
-    model, _ = lmscore.fitted(lmscore.folds(train))
+    model, _ = lmscore.fitted(train)
+    # every byte as the first one after "ab ", of the second kind
+    n = lambda x: np.full(256, x, np.uint64)
     one = lmscore.Batch([], model.coder.topics)
-    # every byte as a word of one letter; the second byte, a space, is left out below
-    one.words, one.units = [bytes([b]) for b in range(256)], (np.arange(256) << 20) | (1 << 16) | (ord("a") << 8) | ord("b")
-    one.words[10] = b"\n!"  # not the end
-    side, slots, place, last, owner = model.coder.decisions(one, 0, 256)
-    t = model.mixed(*model.inputs(slots, place))
-    cell = np.minimum(((t + 12) * lmscore.FINE).astype(int), 24 * lmscore.FINE - 1)
-    cost = model.cost.reshape(2, 256, -1)[side.astype(int), last, cell]
-    length = model.coder.length[np.array([w[0] for w in one.words])]
-    j = np.concatenate([np.arange(n) for n in np.bincount(owner)])
-    per = np.bincount(owner, np.where(j < length[owner], cost, 0))
-    assert math.isclose((10**per).sum(), 1, rel_tol=1e-3)
+    one.previous, one.head, one.kind = [n(33), n(ord("b") + 1), n(ord("a") + 1), n(0), n(0)], n(lmscore._mult[20]), n(1)
+    one.place, one.byte = np.zeros(256, np.int64), np.arange(256).astype(np.uint8)
+    assert math.isclose((10 ** model.edge_scores(one)).sum(), 1, rel_tol=1e-3)
 
 
 def test_prefix_code_is_complete():
