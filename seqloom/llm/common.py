@@ -79,11 +79,19 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     # a slice is copied first: the split below is wrong for arrays that don't start at their buffer's start
     texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))).fill_null("")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, n_parts = parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False)
-    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    sizes = np.bincount(np.repeat(np.arange(len(texts)), n_parts)[full], minlength=len(texts)).astype(np.int64)
-    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), sizes
+    coded = parts.flatten().dictionary_encode()
+    index, n_parts = coded.indices.to_numpy(zero_copy_only=False), parts.value_lengths().to_numpy(zero_copy_only=False)
+    known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    sizes = n_parts.astype(np.int64)
+    if b"" in known:
+        # what stands before the first and after the last white space may be empty
+        none = known.index(b"")
+        full = index != none
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), n_parts)[full], minlength=len(texts)).astype(np.int64)
+        index = index[full]
+        index = index - (index > none)
+        del known[none]
+    return known, index, sizes
 
 
 def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:

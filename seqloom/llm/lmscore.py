@@ -28,6 +28,7 @@ table gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import pickle
 from collections.abc import Callable, Iterator
@@ -55,7 +56,7 @@ STRIDE, LOOK_BACK = 16, 16
 CLASSES = 24
 SLAB_BYTES = 32 << 20
 #: Bytes of text in a batch; a task learns from batches that grow up to that.
-BATCH, FIRST_BATCH = 6 << 20, 8 << 10
+BATCH, FIRST_BATCH = 8 << 20, 8 << 10
 END, SPACE, LINE = b"\n", 32, 10
 BUCKETS, FINE = 33, 32
 #: Steps of a task after which its weights count in the average, and the map follows them.
@@ -115,8 +116,7 @@ def _clustered(x: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
 
 def _kind_words(batch: Batch) -> np.ndarray:
     """Of each word, the column that it counts in, or -1."""
-    short = np.array([len(w) <= KIND_LENGTH for w in batch.words])
-    return np.where(short & (np.arange(len(short)) > 0), (batch.hash >> np.uint64(64 - KIND_BITS)).astype(np.int64), -1)
+    return np.array([xxhash.xxh3_64_intdigest(w) >> 64 - KIND_BITS if len(w) <= KIND_LENGTH and w != END else -1 for w in batch.words], np.int64)
 
 
 class Topics:
@@ -168,10 +168,14 @@ class Batch:
         self.start = np.cumsum(self.size) - self.size
         self.token = np.zeros(int(self.size.sum()), np.int32)  # the end is word 0
         self.token[np.arange(len(index)) + np.repeat(np.arange(len(sizes)), sizes)] = index + 1
-        self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
         if topics is not None:
             self.spell(topics.states(self))
 
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """Of each word."""
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+
     def spell(self, state: np.ndarray) -> None:
         flat = np.frombuffer(b" ".join([*self.words, b""]), np.uint8)
         length = np.array(list(map(len, self.words)), np.int64)
@@ -215,7 +219,7 @@ class Batch:
         self.previous = [np.concatenate(x) for x in zip(before_a, before_b, p)]
         self.head = np.concatenate([none_a + _mult[20], byte_of(ub, 8) * _mult[21] + _mult[22], so_far[where - 1]])
         self.kind = np.concatenate([ua >> np.uint64(24), ub >> np.uint64(24), kind])
-        self.place = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64), np.full(len(where), 2)])
+        self.place = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(b), np.int32), np.full(len(where), 2, np.int32)])
         self.byte = np.concatenate([byte_of(ua, 0), byte_of(ub, 0), flat[where].astype(np.uint64)]).astype(np.uint8)
         self.n_a, self.n_b = len(a), len(b)
         self.times = np.concatenate([np.bincount(self.a, minlength=len(a)), np.bincount(self.b[inner], minlength=len(b)), np.bincount(self.c, times[self.owner], len(where))]).astype(np.uint32)
@@ -266,6 +270,7 @@ class Coder:
     def __init__(self, weights: np.ndarray, topics: Topics, bits: tuple[int, ...] = TABLE_BITS):
         self.length, self.node, self.side = prefix_code(weights)
         self.topics, self.bits = topics, bits
+        self.salt = ((self.node + np.uint64(1)) * _mult[6]).ravel()
 
     def decisions(self, batch: Batch, some: slice | np.ndarray):
         """Of some edges: side, slots (contexts x decisions), gate place, last byte, edge of each decision (its place in some)."""
@@ -277,18 +282,18 @@ class Coder:
         five = (three << nine | prev[3]) << nine | prev[4]
         contexts = (batch.head[some] + (kind << np.uint64(58)) * _mult[8], (two + (kind << np.uint64(40))) * _mult[3], (three + np.uint64(1)) * _mult[4], (five + np.uint64(2)) * _mult[5])
         reps = self.length[byte]
-        at = np.repeat(np.arange(len(byte)), reps)
-        j = np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
-        b_at = byte[at]
-        salt = (self.node[b_at, j] + np.uint64(1)) * _mult[6]
+        at = np.repeat(np.arange(len(byte), dtype=np.int32), reps)
+        # the place in the code's table: the byte's row, from its start on
+        cell = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(reps) - reps - byte.astype(np.int64) * self.node.shape[1]).astype(np.int32), reps)
+        salt = np.take(self.salt, cell, mode="clip")
         slots = []
         for c, bits in zip(contexts, self.bits):
-            h = c[at]
+            h = np.take(c, at, mode="clip")
             h ^= salt
             h *= _mult[7]
             h >>= np.uint64(64 - bits)
             slots.append(h.view(np.int64))
-        return self.side[b_at, j], slots, batch.place[some][at], (prev[0].astype(np.int64) - 1)[at], at
+        return np.take(self.side.ravel(), cell, mode="clip"), slots, np.take(batch.place[some], at, mode="clip"), np.take(prev[0].astype(np.int32) - 1, at, mode="clip"), at
 
 
 #: A count as a small number: exact below 32, then in sixteen steps an octave, as the head of a float.
@@ -373,7 +378,7 @@ class Model:
             np.take(self.told[k], seen[k], out=x[k], mode="clip")
         x[CONTEXTS] = 0.3
         # where the word so far is new, how often its last five bytes were seen
-        gate = np.take(self.kind * 3, seen[0], mode="clip")
+        gate = np.take((self.kind * 3).astype(np.int32), seen[0], mode="clip")
         new = np.flatnonzero(seen[0] == 0)
         gate[new] = (16 + (self.kind[seen[3][new]] & 7)) * 3
         gate += place
@@ -410,8 +415,9 @@ class Model:
             x, gate = self.inputs(seen, place)
             weight = times.astype(np.float32)
             for k in range(CONTEXTS):
-                self.told_tries[k] += np.bincount(seen[k], weight, HISTORIES)
-                self.told_hits[k] += np.bincount(seen[k], weight * side, HISTORIES)
+                both = np.bincount(seen[k].astype(np.int32) << 1 | side, weight, 2 * HISTORIES).reshape(-1, 2)
+                self.told_hits[k] += both[:, 1]
+                self.told_tries[k] += both.sum(axis=1)
             for s in range(0, len(side), step):
                 e = slice(s, s + step)
                 t = self.mixed(x[:, e], gate[e])
@@ -426,10 +432,11 @@ class Model:
                 if self.done > SETTLED:
                     self.average += self.weights
                     low, part = self.bucket(t)
-                    cell = last[e] * BUCKETS + low + (part > 0.5)
-                    self.tries += np.bincount(cell, weight[e], 256 * BUCKETS).reshape(256, BUCKETS)
-                    self.hits += np.bincount(cell, weight[e] * side[e], 256 * BUCKETS).reshape(256, BUCKETS)
-            counted.append(([(x * 2 + side).astype(np.uint32) for x in slots], times))
+                    cell = (last[e] * BUCKETS + low + (part > 0.5)) << 1 | side[e]
+                    both = np.bincount(cell, weight[e], 512 * BUCKETS).reshape(256, BUCKETS, 2)
+                    self.hits += both[:, :, 1]
+                    self.tries += both.sum(axis=2)
+            counted.append(([x << 1 | side for x in slots], times))
         for slots, times in counted:
             for k in range(CONTEXTS):
                 np.add.at(self.slots[k], slots[k], times)
@@ -445,8 +452,8 @@ class Model:
             t *= np.float32(FINE)
             cell = t.astype(np.int32)
             np.minimum(cell, 24 * FINE - 1, out=cell)
-            cell += (side.astype(np.int32) * 256 + last.astype(np.int32)) * (24 * FINE)
-            out[some] = np.bincount(at, self.cost[cell], some.stop - some.start)
+            cell += (side.astype(np.int32) * 256 + last) * (24 * FINE)
+            out[some] = np.bincount(at, np.take(self.cost, cell, mode="clip"), some.stop - some.start)
         return out
 
 
