@@ -3,11 +3,16 @@
 A page is read as blocks: runs of text between block-level tags. Blocks are grouped by their root-to-leaf path of
 block-level tags (with class names). Of each path: text length per block, punctuation per block, and the share of text
 outside links. A block's values are smoothed with its neighbours', fused as length * (1 + punctuation) * unlinked
-share, and averaged over its path; paths of at least SHARE of the best path's value are content paths. The article is
-the innermost article or main element that holds most of the content paths' text, or else their common ancestor. All
-its blocks are its text, and the headline before it, save those in menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag,
-or by the name of a class, id or role) and lists of links. Tags of other languages of mark-up, scripts and styles are
-never text.
+share, and averaged over its path; paths of at least SHARE of the best path's value are content paths.
+
+The article is the innermost article or main element that holds most of the content paths' text, or else the innermost
+element that holds MOST of it, with the elements of that element's own path, what stands before it on content paths, and
+a headline before it. Within the article, all blocks are text but those on paths of links (where no article or main element
+says that they are the article's own).
+
+Lists of names come after the ratios. What stands in menus, footers, sidebars, forms and the like by its tag is never text,
+nor are scripts and styles. What is named as such by the last or first part of a class, id or role isn't either, unless the
+element holds a headline, an article or most of the page's unlinked text, or the part is turned round (has-sidebar).
 
 Defined results: null and empty html, and pages without text, give an empty text; whole pages are read at any length;
 unclosed and wrongly nested tags are closed as browsers do for paragraphs, list items and cells; repeated rows give
@@ -24,9 +29,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm.common import table
+from seqloom.llm.common import bounded_batches, table
 
-SHARE = 0.12
+SHARE, MOST = 0.12, 0.7
 #: Names of elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -34,38 +39,64 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp",
     "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-NO_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "template", "svg", "math", "object", "canvas", "dialog", "audio", "video", "map", "menu", "fieldset", "frameset"}
+NO_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "template", "svg", "object", "canvas", "dialog", "audio", "video", "map", "menu", "fieldset", "frameset"}
 ROOTS = {"html", "body", "article", "main"}
 #: An open element of the key is closed by a start tag of the values, unless an element of its wall stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 WALL = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Names of classes, ids and roles of what isn't the article.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|complementary|contentinfo|widgets?|ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?"
-    r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|replies|respond|disqus|pager|pagination|search|skip|toolbar|tags)(?:$|[\s_-])",
-    re.I,
+#: Parts of classes, ids and roles of what isn't the article, and parts that turn the ones after them round.
+UNWANTED = set(
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead banner footer sidebar aside complementary contentinfo widget widgets ad ads advert adverts"
+    " advertisement advertisements advertising sponsor sponsored promo promos cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login"
+    " share sharing social related recommended recommendations comment comments commentlist replies disqus pager pagination".split()
 )
+TURNS = {"has", "with", "no", "without", "is", "not"}
+HEADER = {"header", "pageheader", "siteheader"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<(?P<odd_end>/?)(?P<odd>[a-zA-Z][^\s/>]*+)(?P<odd_rest>[^>]*+)>", re.S)
-ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class _Open:
-    __slots__ = ("name", "number", "unwanted", "label")
+    """An open element. unwanted: by its tag; named: by a class, id or role."""
+
+    __slots__ = ("name", "number", "unwanted", "named", "label", "path")
 
-    def __init__(self, name, number, unwanted, label):
-        self.name, self.number, self.unwanted, self.label = name, number, unwanted, label
+    def __init__(self, name, number, unwanted, named, label, path):
+        self.name, self.number, self.unwanted, self.named, self.label, self.path = name, number, unwanted, named, label, path
 
 
 class Block:
+    """A run of text. inside: (number, name, path, named) of the elements that it stands in."""
+
     __slots__ = ("text", "linked", "path", "inside", "unwanted")
 
     def __init__(self, text, linked, path, inside, unwanted):
         self.text, self.linked, self.path, self.inside, self.unwanted = text, linked, path, inside, unwanted
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Of a start tag; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(rest):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def names_chrome(names: str) -> bool:
+    """Whether a class, id or role names what isn't the article: by its first or last part."""
+    for whole in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+", whole) if x]
+        if parts and parts[0] not in TURNS and (parts[0] in UNWANTED or parts[-1] in UNWANTED or "".join(parts) in HEADER):
+            return True
+    return False
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
 def blocks(page: str) -> Iterator[Block]:
-    """Blocks in page order. inside: (number, name) of the open block-level elements."""
+    """Blocks in page order."""
     stack: list[_Open] = []
     parts: list[str] = []
     links, linked, number, at = 0, 0, 0, 0
@@ -76,7 +107,7 @@ def blocks(page: str) -> Iterator[Block]:
         n, linked = linked, 0
         parts.clear()
         if text:
-            yield Block(text, min(n, len(text)), "/".join(e.label for e in stack), tuple((e.number, e.name) for e in stack), any(e.unwanted for e in stack))
+            yield Block(text, min(n, len(text)), stack[-1].path if stack else "", tuple((e.number, e.name, e.path, e.named) for e in stack), any(e.unwanted for e in stack))
 
     size, lower = len(page), None
     while at < size:
@@ -94,11 +125,11 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         name, ending, rest = name.lower(), m["end"] or m["odd_end"], m["rest"] or m["odd_rest"] or ""
         if not ending and name in RAW:
-            if not rest.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{name}", at) if len(lower) == size else page.find(f"</{name}", at)
-                stop = page.find(">", end) if end >= 0 else -1
-                at = stop + 1 if stop >= 0 else size
+            # up to its end tag, even after "/>"; letters are turned one by one, so that places stay
+            lower = page.translate(_LOWER) if lower is None else lower
+            end = lower.find(f"</{name}", at)
+            stop = page.find(">", end) if end >= 0 else -1
+            at = stop + 1 if stop >= 0 else size
             continue
         if name in INLINE:
             if name == "a":
@@ -125,11 +156,13 @@ def blocks(page: str) -> Iterator[Block]:
             if stack[k].name in WALL.get(name, ROOTS):
                 break
         number += 1
-        names = " ".join(x for a in ATTR.finditer(rest) for x in a.groups() if x)
-        bad = name in NO_TEXT or name not in ROOTS and bool(UNWANTED.search(names)) or name == "header" and not any(e.name in ("article", "main") for e in stack)
-        bad = bad or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", rest)) and name not in ROOTS
-        bad = bad or name == "article" and bool(UNWANTED.search(names)) and any(e.name == "article" for e in stack)
-        stack.append(_Open(name, number, bad, f"{name}.{names}" if names else name))
+        given = attributes(rest)
+        names = " ".join(given[k] for k in ("class", "id", "role") if given.get(k))
+        bad = name in NO_TEXT or name == "header" and not any(e.name in ("article", "main") for e in stack)
+        bad = bad or name not in ROOTS and ("hidden" in given or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I)))
+        named = names_chrome(names) and (name not in ROOTS or name == "article" and any(e.name == "article" for e in stack) or name == "article" and "comment" in names.lower())
+        label = f"{name}.{names}" if names else name
+        stack.append(_Open(name, number, bad, named, label, f"{stack[-1].path}/{label}" if stack else label))
     yield from flush()
 
 
@@ -152,42 +185,60 @@ def content_paths(found: list[Block], share: float = SHARE) -> set[str]:
     return {p for p, v in value.items() if v > 0 and v >= share * top}
 
 
+def told_by_name(found: list[Block]) -> set[int]:
+    """Elements that are left out for their names: those that hold no headline and no article, and not most of the unlinked text."""
+    holds: dict[int, int] = defaultdict(int)
+    top: set[int] = set()
+    for b in found:
+        head = any(name in ("h1", "article", "main") for _, name, _, _ in b.inside)
+        for i, (number, _, _, named) in enumerate(b.inside):
+            if named:
+                holds[number] += len(b.text) - b.linked
+                if head and any(name in ("h1", "article", "main") for _, name, _, _ in b.inside[i + 1 :]):
+                    top.add(number)
+    total = sum(len(b.text) - b.linked for b in found)
+    return {n for n, m in holds.items() if n not in top and m < 0.8 * total}
+
+
 def main_text(page: str | None) -> str:
     found = [b for b in blocks(page or "") if not b.unwanted]
+    left_out = told_by_name(found)
+    found = [b for b in found if not any(n in left_out for n, _, _, _ in b.inside)]
     good = content_paths(found)
     held = [b for b in found if b.path in good]
     if not held:
         return ""
     total = sum(len(b.text) for b in held)
     mass: dict[int, int] = defaultdict(int)
-    name_of: dict[int, str] = {}
+    about: dict[int, tuple[str, str]] = {}
     for b in held:
-        for number, name in b.inside:
+        for number, name, path, _ in b.inside:
             mass[number] += len(b.text)
-            name_of[number] = name
+            about[number] = name, path
     # numbers grow inwards: the innermost article, or main, with most of the content; else the innermost such element
-    most = [n for n, m in mass.items() if m >= 0.5 * total and name_of[n] in ("article", "main")] or [n for n, m in mass.items() if m >= 0.9 * total]
-    root = max(most, default=None)
-    within = [root is None or any(n == root for n, _ in b.inside) for b in found]
-    # a headline may stand just before the element that holds the paragraphs
-    first = within.index(True)
-    if name_of.get(root) not in ("article", "main"):
-        for i in range(first - 1, -1, -1):
-            if found[i].inside and found[i].inside[-1][1] == "h1":
-                within[i] = True
-                break
-    out = []
-    for b, inside in zip(found, within):
-        if not inside:
-            continue
-        if b.path not in good and b.linked > 0.5 * len(b.text):
-            continue
-        out.append(b.text)
-    return " ".join(out)
+    most = [n for n, m in mass.items() if m >= 0.5 * total and about[n][0] in ("article", "main")]
+    own = bool(most)
+    root = max(most or [n for n, m in mass.items() if m >= MOST * total], default=None)
+    if root is None:
+        within = [True] * len(found)
+    else:
+        like = about[root][1]
+        within = [any(n == root or not own and path == like for n, _, path, _ in b.inside) for b in found]
+        first = within.index(True)
+        if not own:
+            # what comes before on content paths, and a headline
+            for i in range(first):
+                within[i] = found[i].path in good or any(name == "h1" for _, name, _, _ in found[i].inside)
+    linked, size = defaultdict(int), defaultdict(int)
+    for b in found:
+        linked[b.path] += b.linked
+        size[b.path] += len(b.text)
+    return " ".join(b.text for b, inside in zip(found, within) if inside and (own or b.path in good or linked[b.path] <= 0.7 * size[b.path]))
 
 
 def extract(pages: DataFrame, page: str = "html", keep=("page_id", "url")) -> DataFrame:
     """A row per page: the columns of keep, text, n_chars. Runs where the rows are: no shuffle."""
+    bounded_batches(pages.sparkSession, 500)
     d = pages.select(*keep, page)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
 
