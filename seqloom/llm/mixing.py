@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import cut, partitions, table, word_count
+from seqloom.llm.common import cut, partitions, stored, table, word_count
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix-1"
 
@@ -59,7 +59,8 @@ def offset(skey: Column, seed: str) -> Column:
 def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, text: str = "text", source: str = "source", keep=("doc_id",)) -> DataFrame:
     """A row per document: the columns of keep, _skey, size, source_size, target, copies."""
     spark = docs.sparkSession
-    d = docs.select(*keep, source_key(F.col(source)).alias("_skey"), word_count(F.col(text)).alias("size"))
+    # words are counted once: the frame without texts is stored before it is dealt out, which reads it twice
+    d = stored(docs.select(*[F.col(k) for k in keep], source_key(F.col(source)).alias("_skey"), word_count(F.col(text)).alias("size")))
     d = d.withColumn("_h", F.substring(F.md5(F.coalesce(F.col(keep[0]).cast("string"), F.lit("")).cast("binary")), 1, 16))
     order = ["_skey", "size", "_h", *keep]
     # the parts must not change once they are counted: they are stored
@@ -77,18 +78,25 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, tex
     return d.select(*keep, "_skey", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed documents themselves: every row as often as the plan takes it, with docs' columns."""
-    key = [F.col(id_col).alias("_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_row")]
-    # equal rows share a key: the plan's copies for them are listed, and dealt out by their number
-    p = plan(docs.select("*", *key), keep=("_id", "_row"), **how).filter("copies > 0")
-    p = p.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit(""))).groupBy("_id", "_row").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    d = docs.select("*", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), key[1]).join(p, ["_id", "_row"])
-    n = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_id"))
+    # a row stands in one column, so that no name of its columns can clash; equal rows share a key
+    d = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(*_hashable(docs)).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    p = plan(d, text="_text", source="_source", keep=("_id", "_key"), **how).filter("copies > 0")
+    # the plan's copies for equal rows are summed up, and dealt out by their number
+    p = p.groupBy("_id", "_key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    d = d.select("_row", "_id", "_key").join(p, ["_id", "_key"])
+    n = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
     share = F.floor(n * F.col("_all") / F.col("_rows")) - F.floor((n - 1) * F.col("_all") / F.col("_rows"))
     # rows that the plan leaves out are not counted in _rows: more rows than that give the rest nothing
     d = d.withColumn("_n", F.when(n <= F.col("_rows"), share).otherwise(0))
-    return d.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    d = d.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return d.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _hashable(docs: DataFrame) -> list[Column]:
+    """The columns, with maps as text: Spark hashes none."""
+    return [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
