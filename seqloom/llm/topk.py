@@ -11,7 +11,8 @@ which holds at most QUERIES queries and one bounded part of the candidates; each
 parts' lists are merged by a window on the query.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id;
-vectors of another length than the query's share no product and are no candidates for it; a score beyond a long is the
+vectors of another length than the query's share no product and are no candidates for it; query rows of one id are one
+query, that of the least vector; a score beyond a long is the
 nearest long; ties go to the smaller id; repeated rows are candidates each; fewer than k candidates give fewer rows; an empty table gives an empty result; other
 columns take no part.
 """
@@ -113,7 +114,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, n
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, not counting a candidate with the query's own id."""
-    q, c = usable(queries, id_col, vector), usable(candidates, id_col, vector)
+    q, c = usable(queries, id_col, vector).groupBy("id").agg(F.min("v").alias("v")), usable(candidates, id_col, vector)
     n_q, n_c = q.count(), c.count()
     blocks, parts = max(1, -(-n_q // QUERIES_A_BLOCK)), max(1, -(-n_c // PART))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

@@ -48,3 +48,10 @@ def test_search_prunes():
 def test_empty(spark):
     assert got(spark, []) == set()
     assert got(spark, [(3, [1.0])]) == set()
+
+
+def test_query_rows_of_one_id_are_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [0.5, 0.0])] + [(i, [1.0 / i, 0.0]) for i in range(1, 30)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.nearest(d.filter("vec_id = 0"), d).orderBy("rank").collect()]
+    assert got == [(k, k, 512 * (1024 // k)) for k in range(1, 11)]
