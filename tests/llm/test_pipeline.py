@@ -55,7 +55,7 @@ def test_stages_against_plain_steps(spark, folder):
 
     for i in sets:
         for j in sets:
-            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     assert set(kept.doc_id) == {i for i in sets if find(i) == i}
@@ -79,13 +79,57 @@ def test_run_gives_the_same(spark, folder):
     assert a == sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) and a
 
 
-def test_odd_rows_pass_every_stage(spark, folder):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = [(None, "some words of a text", "en", "a", 1), (1, None, None, None, None), (1, "x", "en", "a", 1), (1, "x", "en", "a", 1), (2, "w " * 5000, "en", None, 1)]
-    for rows in (odd, []):
-        for name, f in corpus_pipeline.STAGES:
-            out = f(spark, spark.createDataFrame(rows, schema), folder)
-            assert out.count() <= 15, name
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(EN[i % 7 * (i % 3)] for i in range(5000))
+
+
+def odd_rows():
+    a, b = " ".join(EN), " ".join(DE)
+    # no id, no text, rows alike in all, two texts under one id, a copy under another id, a long text
+    return [(None, a, "en", "a", 1), (None, a, "en", "a", 1), (1, None, None, None, None), (1, b, "de", "a", 1), (1, a + " more of it here now", "en", "a", 1), (2, b, "de", "b", 2), (2, b, "de", "b", 2), (3, LONG, "en", None, 1), (4, "", "en", "a", 0), (4, "", "en", "a", 0)]
+
+
+def seen(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_odd_rows_stage_by_stage(spark, folder):
+    rows = odd_rows()
+    d = spark.createDataFrame(rows, SCHEMA)
+    told = seen(corpus_pipeline.languages(spark, d, folder))
+    assert told == sorted(((r[0], r[1]) for r in rows if r[1]), key=str)
+    # one row of each text is left, all rows without words stay, both texts of id 1 are judged for themselves
+    near = corpus_pipeline.near_duplicates(spark, d, folder)
+    assert near.columns == d.columns
+    texts = sorted((t for _, t in seen(near)), key=str)
+    assert texts == sorted([rows[0][1], None, rows[3][1], LONG, "", "", *([rows[4][1]] if (1, rows[4][1]) in seen(near) else [])], key=str)
+    assert seen(corpus_pipeline.secret_scan(spark, d, folder)) == sorted(((r[0], r[1]) for r in rows), key=str)
+    taken = sum(r["size"] * r.copies for r in mixing.plan(d).collect())
+    assert sum(len((t or "").split()) for _, t in seen(corpus_pipeline.mix(spark, d, folder))) == taken
+    tokens = corpus_pipeline.encode(spark, d, folder).collect()
+    assert len(tokens) == len(rows) and sorted(r.n_tokens for r in tokens)[:3] == [0, 0, 0]
+
+
+def test_two_texts_of_one_id_both_stay(spark, folder):
+    rows = [(1, " ".join(EN), "en", "s", 1), (1, " ".join(DE), "de", "s", 1), (2, " ".join(DE), "de", "s", 1), (3, "alone here", "en", "s", 1)]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert sorted(r.text for r in left) == sorted([" ".join(EN), " ".join(DE), "alone here"])
+
+
+def test_empty_frames(spark, folder):
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, spark.createDataFrame([], SCHEMA), folder).collect() == [], name
+
+
+def test_names_that_clash(spark, folder):
+    """Columns named as the stages' own."""
+    extra = ["_id", "_row", "_key", "_n", "_gone", "_text", "_m", "_told", "size", "copies", "target", "id", "count", "n_tokens_"]
+    rows = [(*r, *[i] * len(extra)) for i, r in enumerate(odd_rows())]
+    d = spark.createDataFrame(rows, SCHEMA + "".join(f", {x} int" for x in extra))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, d, folder)
+        assert out.columns == d.columns and out.count() > 0, name
+    assert corpus_pipeline.encode(spark, d, folder).count() == len(rows)
 
 
 def test_near_copies_from_80_percent(spark, folder):
