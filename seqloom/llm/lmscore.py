@@ -56,7 +56,7 @@ STRIDE, LOOK_BACK = 16, 16
 CLASSES = 24
 SLAB_BYTES = 32 << 20
 #: Bytes of text in a batch; a task learns from batches that grow up to that.
-BATCH, FIRST_BATCH = 8 << 20, 8 << 10
+BATCH, FIRST_BATCH = 5 << 20, 8 << 10
 END, SPACE, LINE = b"\n", 32, 10
 BUCKETS, FINE = 33, 32
 #: Steps of a task after which its weights count in the average, and the map follows them.
