@@ -83,8 +83,6 @@ def main(args: list[str]) -> int:
     if not options.output:
         raise SystemExit("-o is needed")
     index = refindex.load(options.inputs[0])
-    if options.ignore_alt:
-        index.is_alt[:] = False
     header = records.header(index, options, "seqloom " + " ".join(args))
     lines = lines_of(spark, options).persist()
     if command == "mem":

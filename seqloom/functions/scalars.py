@@ -106,3 +106,124 @@ def mapq_single(score, sub, length, sub_n, a: int = 1, b: int = 4, frac_rep=None
     if frac_rep is not None:
         q = rounded(q * (1.0 - _c(frac_rep)))
     return F.when((sub >= score) | (score == 0), 0).otherwise(q).cast("int")
+
+
+def complement_codes(codes) -> Column:
+    """Base digits of the other strand: 3 - b, reversed; 4 stays 4."""
+    return F.reverse(F.translate(_c(codes), "0123", "3210"))
+
+
+def packed(codes) -> Column:
+    """Up to 31 base digits as one number, two bits each."""
+    return F.conv(_c(codes), 4, 10).cast("long")
+
+
+def unpacked(number, length) -> Column:
+    """The base digits of a packed number."""
+    return F.lpad(F.conv(_c(number).cast("string"), 10, 4), length, "0")
+
+
+def score_of(x, y, a: int = 1, b: int = 4) -> Column:
+    """An entry of the scoring matrix: of base digits."""
+    x, y = _c(x), _c(y)
+    return F.when((x == 4) | (y == 4), -1).when(x == y, a).otherwise(-b)
+
+
+def inferred_band(l1, l2, score, a: int = 1, open_: int = 6, ext: int = 1) -> Column:
+    """The band that an alignment of two lengths with such a score can need."""
+    l1, l2, score = map(_c, (l1, l2, score))
+    w = ((F.least(l1, l2) * a - score - open_).cast("double") / ext + 2.0).cast("int")
+    return F.when((l1 == l2) & (l1 * a - score < (open_ + ext - a) * 2), 0).otherwise(F.greatest(w, F.abs(l1 - l2))).cast("int")
+
+
+def trimmed_ops(ops) -> tuple[Column, Column, Column]:
+    """A CIGAR without a deletion at either end; and how many reference bases went at the head and at the tail."""
+    ops = _c(ops)
+    head = F.when(F.element_at(ops, 1)["op"] == 2, F.element_at(ops, 1)["len"]).otherwise(0)
+    tail = F.when((F.size(ops) > 1) & (F.element_at(ops, -1)["op"] == 2), F.element_at(ops, -1)["len"]).otherwise(0)
+    kept = F.slice(ops, F.when(head > 0, 2).otherwise(1), F.size(ops) - F.when(head > 0, 1).otherwise(0) - F.when(tail > 0, 1).otherwise(0))
+    return kept, head, tail
+
+
+def with_clips(ops, head, tail) -> Column:
+    """A CIGAR with soft clips (op 3) put at its ends."""
+    clip = lambda n: F.filter(F.array(F.struct(F.lit(3).alias("op"), _c(n).cast("int").alias("len"))), lambda o: o["len"] > 0)
+    return F.concat(clip(head), _c(ops), clip(tail))
+
+
+def differing(q, t) -> Column:
+    """Places (from 0) at which two sequences of one length differ, or the read's base is ambiguous."""
+    q, t = _c(q), _c(t)
+    place = F.filter(F.sequence(F.lit(1), F.length(q)), lambda i: (F.substr(q, i, F.lit(1)) != F.substr(t, i, F.lit(1))) | (F.substr(q, i, F.lit(1)) == "n"))
+    return F.when(F.length(q) > 0, F.transform(place, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def mismatch_text(t, places) -> Column:
+    """MD of an alignment without gaps: equal bases between, and the reference's base at, the places that differ."""
+    t, places = _c(t), _c(places)
+    one = F.transform(places, lambda p, i: F.concat((p - F.when(i > 0, F.get(places, i - 1) + 1).otherwise(0)).cast("string"), F.upper(F.substr(t, p + 1, F.lit(1)))))
+    last = F.when(F.size(places) > 0, F.length(t) - F.element_at(places, -1) - 1).otherwise(F.length(t))
+    return F.concat(F.array_join(one, ""), last.cast("string"))
+
+
+def run_lengths(text) -> Column:
+    """Runs of equal letters, as (letter, length)."""
+    runs = F.split(F.regexp_replace(_c(text), "(.)(?!\\1|$)", "$1|"), r"\|")
+    return F.transform(runs, lambda r: F.struct(F.left(r, F.lit(1)).alias("letter"), F.length(r).alias("len")))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sum64(a: Column, b: Column) -> Column:
+    """a + b modulo 2^64: by halves, as an overflow is an error."""
+    half = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    low = half(a) + half(b)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(half(high), 32).bitwiseOR(half(low))
+
+
+def hash64(x) -> Column:
+    """A 64-bit integer hash for ties (Thomas Wang's)."""
+    folded = lambda n: lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, n))
+    added = lambda n: lambda k: _sum64(k, F.shiftleft(k, n))
+    twice = lambda n, m: lambda k: _let(_sum64(k, F.shiftleft(k, n)), lambda s: _sum64(s, F.shiftleft(k, m)))
+    k = _let(_c(x).cast("long"), lambda k: _sum64(F.bitwise_not(k), F.shiftleft(k, 21)))
+    for step in (folded(24), twice(3, 8), folded(14), twice(2, 4), folded(28), added(31)):
+        k = _let(k, step)
+    return k
+
+
+def unescaped(text) -> Column:
+    """\\t, \\n, \\r and \\\\ as the characters that they stand for."""
+    parts = F.split(_c(text), r"\\\\")  # a backslash that is itself escaped ends a part
+    one = lambda p: F.replace(F.replace(F.replace(p, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(parts, one), "\\")
+
+
+def read_group_id(text) -> Column:
+    """The ID of a read-group line, null if it isn't one: it begins with @RG, has no tab of its own, and an ID of up to 255 characters."""
+    found = F.regexp_extract(unescaped(text), "\tID:([^\t\n]+)", 1)
+    return F.when(F.startswith(_c(text), F.lit("@RG")) & ~F.contains(_c(text), F.lit("\t")) & F.length(found).between(1, 255), found)
+
+
+#: A line's fields, by the specification.
+FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+
+
+def sam_text(tags, **fields) -> Column:
+    """A SAM line: the fields in their order, then the tags that aren't null."""
+    return F.concat_ws("\t", *[_c(fields[k]).cast("string") for k in FIELDS], tags)
+
+
+def sam_fields(line) -> Column:
+    """A SAM line's fields as a struct; tags as an array of texts."""
+    part = F.split(_c(line), "\t")
+    number = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
+    return F.struct(*[F.get(part, F.lit(i)).cast(number.get(k, "string")).alias(k) for i, k in enumerate(FIELDS)], F.slice(part, 12, F.greatest(F.size(part) - 11, F.lit(0))).alias("tags"))
+
+
+def has_bit(flag, bit: int) -> Column:
+    return _c(flag).bitwiseAND(F.lit(bit)) != 0

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from seqloom.operators import kernels
+from seqloom.operators.batch import Seeder, groups
 from seqloom.options import Options
 from seqloom.refindex import Index, complement, encode
 
@@ -81,112 +83,6 @@ class Region:
     n_comp: int = 1
 
 
-class Searcher:
-    """Exact matches of a query by binary search in the suffix array."""
-
-    def __init__(self, index: Index):
-        self.text = np.asarray(index.text).tobytes()
-        self.sa = index.sa
-
-    def range_of(self, s: bytes) -> tuple[int, int]:
-        text, n = self.text, len(s)
-        low = bisect_left(self.sa, s, key=lambda p: text[p : p + n])
-        lo, hi = low, len(self.sa)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            p = int(self.sa[mid])
-            if text[p : p + n] == s:
-                lo = mid + 1
-            else:
-                hi = mid
-        return low, lo - low
-
-    def longest(self, q: bytes, at: int, least: int = 1) -> int:
-        """End of the longest match from ``at`` with at least ``least`` occurrences."""
-        text, sa = self.text, self.sa
-        rest = q[at:]
-        stop = rest.find(b"\x04")
-        if stop >= 0:
-            rest = rest[:stop]
-        if not rest:
-            return at
-        n = len(rest)
-        i = bisect_left(sa, rest, key=lambda p: text[p : p + n])
-        shared = {}
-
-        def common(k):
-            if k not in shared:
-                if not 0 <= k < len(sa):
-                    shared[k] = 0
-                else:
-                    p = int(sa[k])
-                    lo, hi = 0, n
-                    while lo < hi:
-                        mid = (lo + hi + 1) // 2
-                        if text[p : p + mid] == rest[:mid]:
-                            lo = mid
-                        else:
-                            hi = mid - 1
-                    shared[k] = lo
-            return shared[k]
-
-        # occurrences stand next to each other around i: the best window of ``least`` rows
-        return at + max(min(common(w), common(w + least - 1)) for w in range(i - least, i + 1))
-
-
-def smems(s: Searcher, q: bytes, x: int, least: int = 1) -> tuple[list[tuple[int, int]], int]:
-    """Maximal matches that cover x, in order of their starts, and the end of the longest one from x."""
-    end = s.longest(q, x, least)
-    if end == x:
-        return [], x + 1
-    found, a, e = [], x, end
-    while a > 0:
-        f = s.longest(q, a - 1, least)
-        if f <= x:
-            break
-        if f < e:
-            found.append((a, e))
-        a, e = a - 1, f
-    found.append((a, e))
-    return found[::-1], end
-
-
-def matches(s: Searcher, q: bytes, o: Options) -> list[Match]:
-    """Three rounds of exact matches: maximal ones, those within long unique ones, and short rare ones."""
-    found: list[tuple[int, int]] = []
-    x = 0
-    while x < len(q):
-        if q[x] > 3:
-            x += 1
-            continue
-        some, x = smems(s, q, x)
-        found += [f for f in some if f[1] - f[0] >= o.min_seed]
-    split = rounded(o.min_seed * o.reseed_factor)
-    for b, e in list(found):
-        n = s.range_of(q[b:e])[1]
-        if e - b >= split and n <= o.split_width:
-            found += [f for f in smems(s, q, (b + e) // 2, n + 1)[0] if f[1] - f[0] >= o.min_seed]
-    if o.third_round_occ > 0:
-        x = 0
-        while x + o.min_seed < len(q):
-            stop = q.find(b"\x04", x)
-            top = len(q) if stop < 0 else stop
-            lo, hi = x + o.min_seed + 1, top + 1
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if s.range_of(q[x:mid])[1] < o.third_round_occ:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            if lo > top:
-                x = top + 1
-                continue
-            if s.range_of(q[x:lo])[1] > 0:
-                found.append((x, lo))
-            x = lo
-    return [Match(b, e, *s.range_of(q[b:e])) for b, e in sorted(found)]
-
-
 def chains(index: Index, found: list[Match], l_query: int, o: Options) -> list[Chain]:
     """Places of the matches, joined to colinear chains."""
     covered, begin, end = 0, 0, 0
@@ -213,7 +109,7 @@ def chains(index: Index, found: list[Match], l_query: int, o: Options) -> list[C
             if i >= 0 and joined(out[i], seed, rid, half, o):
                 continue
             keys.insert(i + 1, pos)
-            out.insert(i + 1, Chain(pos, rid, bool(index.is_alt[rid]), [seed]))
+            out.insert(i + 1, Chain(pos, rid, bool(index.is_alt[rid]) and not o.ignore_alt, [seed]))
     for c in out:
         c.frac_rep = covered / l_query
     return out
@@ -283,7 +179,7 @@ def filtered(found: list[Chain], o: Options) -> list[Chain]:
     for c in order:
         if c.kept in (1, 2):
             n += 1
-            if n > o.max_chain_extend:
+            if n >= o.max_chain_extend:
                 continue
         if c.kept:
             out.append(c)
@@ -317,8 +213,9 @@ def max_gap(l: int, o: Options) -> int:
     return min(max(d, i, 1), 2 * o.band)
 
 
-def extended(index: Index, q: np.ndarray, c: Chain, o: Options, m: np.ndarray, out: list[Region]) -> None:
-    """Regions from a chain's seeds, the best first; those that an earlier region explains are passed over."""
+def extended(index: Index, q: np.ndarray, c: Chain, o: Options, m: np.ndarray, out: list[Region]) -> Iterator[tuple]:
+    """Regions from a chain's seeds, the best first; those that an earlier region explains are passed over. A generator: it asks
+    for extensions (query, target, band, bonus, start) and is sent them, so that those of many reads can be made at once."""
     n = len(q)
     lo, hi = 2 * index.half, 0
     for s in c.seeds:
@@ -339,14 +236,14 @@ def extended(index: Index, q: np.ndarray, c: Chain, o: Options, m: np.ndarray, o
         r = Region(s.ref, s.ref + s.len, s.query, s.query + s.len, c.rid, s.len * o.match, s.len * o.match, is_alt=c.is_alt, frac_rep=c.frac_rep, seed_len=s.len)
         bands = [o.band, o.band]
         if s.query:
-            x, r.score, bands[0] = tried(q[: s.query][::-1], ref[: s.ref - lo][::-1], o, m, r.score, o.clip5)
+            x, r.score, bands[0] = yield from tried(q[: s.query][::-1], ref[: s.ref - lo][::-1], o, m, r.score, o.clip5)
             if x.whole_score <= 0 or x.whole_score <= r.score - o.clip5:
                 r.qb, r.rb, r.true_score = s.query - x.query, s.ref - x.target, r.score
             else:
                 r.qb, r.rb, r.true_score = 0, s.ref - x.whole_target, x.whole_score
         if s.query + s.len < n:
             before = r.score
-            x, r.score, bands[1] = tried(q[s.query + s.len :], ref[s.ref + s.len - lo :], o, m, before, o.clip3)
+            x, r.score, bands[1] = yield from tried(q[s.query + s.len :], ref[s.ref + s.len - lo :], o, m, before, o.clip3)
             if x.whole_score <= 0 or x.whole_score <= r.score - o.clip3:
                 r.qe, r.re, r.true_score = s.query + s.len + x.query, s.ref + s.len + x.target, r.true_score + r.score - before
             else:
@@ -366,13 +263,13 @@ def explains(r: Region, s: Seed, l_query: int, o: Options) -> bool:
     return False
 
 
-def tried(q, t, o: Options, m, start: int, bonus: int):
+def tried(q, t, o: Options, m, start: int, bonus: int) -> Iterator[tuple]:
     """Extension with the band, and with twice the band unless the first is well inside it."""
     score = -1
     for k in range(2):
         band = o.band << k
         before = score
-        x = kernels.extend(q, t, m, o.open_del, o.ext_del, o.open_ins, o.ext_ins, band, bonus, o.z_drop, start)
+        x = yield q, t, band, bonus, start
         score = x.score
         if score == before or x.off < (band >> 1) + (band >> 2):
             break
@@ -483,18 +380,40 @@ def marked(found: list[Region], read_id: int, o: Options) -> int:
     return primary
 
 
-def regions(index: Index, s: Searcher, seq: str, o: Options, m: np.ndarray) -> list[Region]:
-    q = encode(seq)
-    if len(q) < o.min_seed:
-        return []
-    found = filtered(chains(index, matches(s, q.tobytes(), o), len(q), o), o)
-    screen(index, q, found, o, m)
+def regions(index: Index, q: np.ndarray, found: list[Match], o: Options, m: np.ndarray) -> Iterator[tuple]:
+    """A read's regions from its matches: a generator that asks for extensions."""
+    held = filtered(chains(index, found, len(q), o), o) if found else []
+    if held:
+        screen(index, q, held, o, m)
     out: list[Region] = []
-    for c in found:
-        extended(index, q, c, o, m, out)
+    for c in held:
+        yield from extended(index, q, c, o, m, out)
     out = deduplicated(index, q, out, o, m)
     for r in out:
-        r.is_alt = bool(index.is_alt[r.rid])
+        r.is_alt = bool(index.is_alt[r.rid]) and not o.ignore_alt
+    return out
+
+
+def regions_of(seeder: Seeder, reads: list[str], o: Options, m: np.ndarray) -> list[list[Region]]:
+    """The regions of many reads: seeded side by side, and extended in step with each other."""
+    codes = [encode(x) for x in reads]
+    out: list[list[Region]] = []
+    for some in groups([len(q) for q in codes]):
+        own = [codes[i] for i in some]
+        found = seeder.matches([q if len(q) >= o.min_seed else q[:0] for q in own], o)
+        steps = [regions(seeder.index, q, [Match(*x) for x in f], o, m) for q, f in zip(own, found)]
+        done: list[list[Region]] = [[] for _ in own]
+        waiting = [(i, None) for i in range(len(own))]
+        while waiting:
+            asked = []
+            for i, x in waiting:
+                try:
+                    asked.append((i, steps[i].send(x)))
+                except StopIteration as e:
+                    done[i] = e.value
+            answers = kernels.extend_many([x for _, x in asked], m, o.open_del, o.ext_del, o.open_ins, o.ext_ins, o.z_drop)
+            waiting = [(i, x) for (i, _), x in zip(asked, answers)]
+        out += done
     return out
 
 
@@ -595,12 +514,11 @@ def differences(q: np.ndarray, t: np.ndarray, cigar) -> tuple[int, str]:
     nm, run, i, j, md = 0, 0, 0, 0, []
     for op, n in cigar:
         if op == 0:
-            for k in range(n):
-                if q[i + k] == t[j + k] and q[i + k] < 4:
-                    run += 1
-                else:
-                    md += [str(run), "ACGTN"[t[j + k]]]
-                    nm, run = nm + 1, 0
+            at = 0
+            for k in np.flatnonzero((q[i : i + n] != t[j : j + n]) | (q[i : i + n] > 3)).tolist():
+                md += [str(run + k - at), "ACGTN"[t[j + k]]]
+                nm, run, at = nm + 1, 0, k + 1
+            run += n - at
             i, j = i + n, j + n
         elif op == 2:
             md += [str(run), "^", "".join("ACGTN"[x] for x in t[j : j + n])]

@@ -30,3 +30,8 @@ def stats(pairs: DataFrame, chunk: list[str], direction: str, dist: str) -> Data
     most = F.max("n").over(Window.partitionBy(*chunk))
     q = q.withColumn("low", F.greatest(F.lit(1), low)).withColumn("high", high).withColumn("failed", (F.col("n") < LEAST) | (F.col("n") < SHARE * most))
     return q.drop("_lo", "_hi")
+
+
+def eligible(pairs: DataFrame, dist: str, score: str, rival: str, most: int) -> DataFrame:
+    """Pairs that count: at a distance of 1 to ``most``, with no rival hit of over four fifths of the best one's score."""
+    return pairs.filter(F.col(dist).between(1, most) & (F.col(rival) <= 0.8 * F.col(score)))

@@ -77,6 +77,112 @@ def extend(q: np.ndarray, t: np.ndarray, m: np.ndarray, o_del: int, e_del: int,
     return Extension(best, bj + 1, bi + 1, wi + 1, whole, off)
 
 
+#: Extensions that run side by side.
+TOGETHER = 256
+
+
+def extend_many(tasks: list[tuple], m: np.ndarray, o_del: int, e_del: int, o_ins: int, e_ins: int, z_drop: int) -> list[Extension]:
+    """``extend`` of many (query, target, band, bonus, start) at once."""
+    out: list[Extension | None] = [None] * len(tasks)
+    rest = []
+    for i, (q, t, _, _, start) in enumerate(tasks):
+        n = len(q)
+        if n and start > 0 and len(t) >= n and (q == t[:n]).all():
+            # nothing beats equal bases to the end
+            out[i] = Extension(start + n * int(m[0, 0]), n, n, n, start + n * int(m[0, 0]), 0)
+        elif not n:
+            out[i] = extend(q, t, m, o_del, e_del, o_ins, e_ins, tasks[i][2], tasks[i][3], z_drop, start)
+        else:
+            rest.append(i)
+    rest.sort(key=lambda i: (len(tasks[i][0]), len(tasks[i][1])))
+    for at in range(0, len(rest), TOGETHER):
+        some = rest[at : at + TOGETHER]
+        for i, x in zip(some, _side_by_side([tasks[i] for i in some], m, o_del, e_del, o_ins, e_ins, z_drop)):
+            out[i] = x
+    return out
+
+
+def _side_by_side(tasks: list[tuple], m: np.ndarray, o_del: int, e_del: int, o_ins: int, e_ins: int, z_drop: int) -> list[Extension]:
+    """A row of every task's matrix at a time. Columns beyond a query only lead further beyond, so they are left to run."""
+    count, match, mismatch = len(tasks), int(m[0, 0]), int(m[0, 1])
+    size, rows = np.array([len(x[0]) for x in tasks]), np.array([len(x[1]) for x in tasks])
+    wide, high_ = int(size.max()), int(rows.max())
+    query, target = np.full((count, wide), 5, np.uint8), np.full((count, max(1, high_)), 6, np.uint8)
+    for i, (q, t, *_) in enumerate(tasks):
+        query[i, : len(q)], target[i, : len(t)] = q, t
+    other = np.where(query == 4, int(m[4, 0]), mismatch).astype(np.int32)
+    bonus, start = np.array([x[3] for x in tasks]), np.array([x[4] for x in tasks], np.int32)
+    band = np.array([x[2] for x in tasks])
+    for o, e in ((o_ins, e_ins), (o_del, e_del)):
+        band = np.minimum(band, np.maximum(1, ((size * match + bonus - o) / e + 1).astype(np.int64)))
+    col = np.arange(wide, dtype=np.int32)
+    rise, fall = e_ins * col - (o_ins + e_ins), (e_ins * (col - 1)).astype(np.int32)
+    h = np.empty((count, wide + 1), np.int32)
+    h[:, 0] = start
+    h[:, 1:] = np.maximum(0, start[:, None] - o_ins - e_ins * (col + 1))
+    e = np.zeros((count, wide), np.int32)
+    own = np.arange(count)
+    best, bi, bj, whole, wi, off = start.astype(np.int64), *(np.full(count, x, np.int64) for x in (-1, -1, -1, -1, 0))
+    done: list[Extension | None] = [None] * count
+
+    def finished(k):
+        for i in np.flatnonzero(k):
+            done[own[i]] = Extension(int(best[i]), int(bj[i]) + 1, int(bi[i]) + 1, int(wi[i]) + 1, int(whole[i]), int(off[i]))
+
+    for i in range(high_ + 1):
+        over = (i >= rows) | (i - band >= size)
+        if over.any():
+            finished(over)
+            keep = ~over
+            own, query, target, other, size, rows, band, start, h, e, best, bi, bj, whole, wi, off = (x[keep] for x in (own, query, target, other, size, rows, band, start, h, e, best, bi, bj, whole, wi, off))
+            if not len(own):
+                break
+        lo, hi = np.maximum(0, i - band), np.minimum(size, i + band + 1)
+        inside = (col >= lo[:, None]) & (col < hi[:, None]) if (lo > 0).any() or (hi < wide).any() else None
+        narrow = bool((lo > 0).any() or (hi < size).any())
+        diag = h[:, :-1]
+        a = np.where(query == target[:, i : i + 1], np.int32(match), other)
+        a += diag
+        a[diag <= 0] = 0
+        opened = a + rise
+        if narrow:
+            opened[~inside] = LOW
+        gap = np.maximum.accumulate(opened, axis=1)
+        now = np.maximum(a, e)
+        if wide > 1:
+            np.maximum(now[:, 1:], gap[:, :-1] - fall[1:], out=now[:, 1:])
+        np.maximum(now, 0, out=now)
+        longer = np.maximum(e - e_del, a - (o_del + e_del))
+        np.maximum(longer, 0, out=longer)
+        if narrow:
+            e = np.where(inside, longer, e)
+            h[:, 1:] = np.where(inside, now, h[:, 1:])
+            h[np.arange(len(own)), lo] = np.where(lo == 0, np.maximum(0, start - o_del - e_del * (i + 1)), 0)
+        else:
+            e = longer
+            h[:, 1:] = now
+            h[:, 0] = np.maximum(0, start - o_del - e_del * (i + 1))
+        if inside is not None:
+            now = np.where(inside, now, -1)
+        last = now[np.arange(len(own)), size - 1]
+        better = (hi == size) & (last >= whole)
+        whole, wi = np.where(better, last, whole), np.where(better, i, wi)
+        # the last of equal columns
+        k = wide - 1 - now[:, ::-1].argmax(axis=1)
+        high = now[np.arange(len(own)), k]
+        stop = high == 0
+        better = high > best
+        off = np.where(better, np.maximum(off, np.abs(k - i)), off)
+        if z_drop > 0:
+            di, dj = i - bi, k - bj
+            cost = np.where(di > dj, e_del * (di - dj), e_ins * (dj - di))
+            stop |= ~better & (best - high - cost > z_drop)
+        best, bi, bj = np.where(better, high, best), np.where(better, i, bi), np.where(better, k, bj)
+        if stop.any():
+            rows = np.where(stop, 0, rows)
+    return done
+
+
 def align_global(q: np.ndarray, t: np.ndarray, m: np.ndarray, o_del: int, e_del: int, o_ins: int, e_ins: int, band: int) -> tuple[int, list[tuple[int, int]]]:
     """Score and CIGAR (op, length): 0 match, 1 insertion, 2 deletion."""
     n, rows = len(q), len(t)

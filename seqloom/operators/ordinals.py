@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.storage import cut
@@ -28,3 +28,8 @@ def zip_join(r1: DataFrame, r2: DataFrame, ordinal: str = "ordinal") -> DataFram
     both = r1.select(ordinal, F.struct(*[c for c in r1.columns if c != ordinal]).alias("r1")).join(r2.select(ordinal, F.struct(*[c for c in r2.columns if c != ordinal]).alias("r2")), ordinal, "full")
     missing = F.col("r1").isNull() | F.col("r2").isNull()
     return both.withColumn("r1", F.when(missing, F.raise_error(F.lit("the mates' files hold different numbers of reads")).cast(both.schema["r1"].dataType)).otherwise(F.col("r1")))
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """The name of two mates. Different names fail the query."""
+    return F.when(a == b, a).otherwise(F.raise_error(F.concat(F.lit("paired reads have different names: "), a, F.lit(", "), b)).cast("string"))

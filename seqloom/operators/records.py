@@ -9,6 +9,7 @@ import numpy as np
 
 from seqloom.operators import aligner as A
 from seqloom.operators import kernels
+from seqloom.operators.batch import Seeder
 from seqloom.options import Options
 from seqloom.refindex import Index, encode, load
 
@@ -17,9 +18,8 @@ _TURN = str.maketrans("ACGTNacgtn", "TGCANTGCAN")
 
 
 @functools.lru_cache(maxsize=2)
-def searcher(path: str) -> tuple[Index, A.Searcher]:
-    index = load(path)
-    return index, A.Searcher(index)
+def seeder(path: str) -> Seeder:
+    return Seeder(load(path))
 
 
 def cigar_text(a: A.Alignment, o: Options, which: int) -> str:
@@ -282,16 +282,26 @@ def fix_mates(first: list[str], second: list[str]) -> list[str]:
 
 def header(index: Index, o: Options, program: str) -> str:
     """@SQ lines, then the user's, then @RG and @PG."""
-    from seqloom.options import checked_read_group, unescape
+    from seqloom.options import checked_read_group
 
     out = [f"@SQ\tSN:{n}\tLN:{l}" for n, l in zip(index.names, index.lengths)]
     if o.header:
-        out.append(unescape(o.header))
+        out += header_lines(o.header)
     if o.read_group:
         out.append(checked_read_group(o.read_group)[0])
     out.append(f"@PG\tID:seqloom\tPN:seqloom\tVN:0.1.0\tCL:{program}")
     return "\n".join(out) + "\n"
 
 
+def header_lines(given: str) -> list[str]:
+    """The user's header lines: the text itself if it begins with @, else the lines of that file which do."""
+    from seqloom.options import unescape
+
+    if given.startswith("@"):
+        return [unescape(given)]
+    with open(given, encoding="utf-8") as f:
+        return [unescape(x.rstrip("\r\n")) for x in f if x.startswith("@")]
+
+
 def scoring(o: Options) -> np.ndarray:
     return kernels.matrix(o.match, o.mismatch)

@@ -16,7 +16,8 @@ from seqloom.functions import scalars as S
 from seqloom.operators import chunking, coverage, insert_size, intervals, mates, ordinals, routing, seeding
 from seqloom.plans import align_queries
 
-READ, K, OCC, CHUNK = 100, 19, 3, 20_000
+#: Bases of a read, and of a k-mer; places of a k-mer that are looked into; bases of a chunk; bases of a k-mer that is to repeat.
+READ, K, OCC, CHUNK, SHORT = 100, 19, 3, 20_000, 7
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtan"
 
 
@@ -49,9 +50,7 @@ def reads(spark, d) -> DataFrame:
 
 def hits(spark, d, k: int = K) -> DataFrame:
     """doc_id, item_id, qpos, rpos: equal k-mers of documents and contigs, forward strand."""
-    q = seeding.kmers(documents(spark, d), ["doc_id"], "seq", k).withColumnRenamed("pos", "qpos")
-    r = seeding.kmers(contigs(spark, d), ["item_id"], "seq", k).withColumnRenamed("pos", "rpos")
-    return seeding.exact_join(q, r)
+    return seeding.exact_join(documents(spark, d), "doc_id", contigs(spark, d), "item_id", "seq", k)
 
 
 # the same, as SQL: common table expressions that the oracles share
@@ -59,9 +58,15 @@ _SEQ = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}',
 _DOCS = f"d AS (SELECT doc_id, {_SEQ} AS seq FROM documents WHERE text IS NOT NULL)"
 _CONTIGS = f"c0 AS (SELECT item_id, {_SEQ} AS seq FROM benchmark WHERE text IS NOT NULL), c AS (SELECT item_id, seq, length(seq)::BIGINT AS len, (sum(length(seq)) OVER (ORDER BY item_id) - length(seq))::BIGINT AS off FROM c0)"
 _READS = f"r AS (SELECT doc_id, idx::INTEGER AS idx, substr(seq, (idx * {READ} + 1)::BIGINT, {READ}) AS seq FROM (SELECT doc_id, seq, unnest(range(0, ((length(seq) + {READ} - 1) // {READ})::BIGINT)) AS idx FROM d WHERE seq <> ''))"
-_HITS = f"""q AS (SELECT doc_id, p AS qpos, substr(seq, p + 1, {K}) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - {K} + 1)) AS p FROM d WHERE length(seq) >= {K})),
-t AS (SELECT item_id, p AS rpos, substr(seq, p + 1, {K}) AS kmer FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {K} + 1)) AS p FROM c WHERE length(seq) >= {K})),
+
+
+def _hits_sql(k: int) -> str:
+    return f"""q AS (SELECT doc_id, p AS qpos, substr(seq, p + 1, {k}) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - {k} + 1)) AS p FROM d WHERE length(seq) >= {k})),
+t AS (SELECT item_id, p AS rpos, substr(seq, p + 1, {k}) AS kmer FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {k} + 1)) AS p FROM c WHERE length(seq) >= {k})),
 h AS (SELECT doc_id, item_id, qpos, rpos, kmer FROM q JOIN t USING (kmer) WHERE kmer NOT LIKE '%n%')"""
+
+
+_HITS = _hits_sql(K)
 _ALL = f"WITH {_DOCS}, {_CONTIGS}, {_HITS}"
 _CHAIN = "i AS (SELECT *, qpos - row_number() OVER (PARTITION BY doc_id, item_id, rpos - qpos ORDER BY qpos) AS isl FROM h), m AS (SELECT doc_id, item_id, (rpos - qpos)::BIGINT AS diag, min(qpos)::BIGINT AS qbeg, (max(qpos) + %d)::BIGINT AS qend FROM i GROUP BY doc_id, item_id, rpos - qpos, isl)" % K
 
@@ -102,15 +107,18 @@ def qual_score(spark, d):
     return reads(spark, d).select("doc_id", "idx", S.quality_score(F.transform(F.split("seq", ""), lambda c: F.ascii(c) % 42)).alias("ms"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 60 = 0 THEN 0 ELSE l_linenumber % 4 END AS dir, abs(l_partkey - l_suppkey)::BIGINT AS dist FROM lineitem WHERE l_partkey % 60 > 0 UNION ALL SELECT l_orderkey, l_linenumber, l_linenumber % 4, abs(l_partkey - l_suppkey)::BIGINT FROM lineitem WHERE l_partkey % 60 = 0")
+_HALF = 1 << 20
+_HITS2 = f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 2 * {_HALF} - 1 - l_partkey ELSE l_partkey END AS b1, CASE WHEN l_linenumber % 2 = 0 THEN 2 * {_HALF} - 1 - l_suppkey ELSE l_suppkey END AS b2 FROM lineitem"
+
+
+@query(f"""WITH h AS ({_HITS2}), s AS (SELECT *, b1 >= {_HALF} AS r1, b2 >= {_HALF} AS r2 FROM h),
+p AS (SELECT *, CASE WHEN r1 = r2 THEN b2 ELSE 2 * {_HALF} - 1 - b2 END AS p2 FROM s)
+SELECT l_orderkey, l_linenumber, (CASE WHEN r1 = r2 THEN CASE WHEN p2 > b1 THEN 0 ELSE 3 END ELSE CASE WHEN p2 > b1 THEN 1 ELSE 2 END END)::INTEGER AS dir, abs(p2 - b1)::BIGINT AS dist FROM p""")
 def pair_orientation(spark, d):
-    """P8 on positions of a text of 2^20 bases and its reverse: the orientation code and distance of two hits."""
-    half = 1 << 20
-    x = table(spark, d, "lineitem").withColumn("o", F.col("l_linenumber") % 4)
-    # hits built so that the operator must find the orientation and the distance again
-    b1 = F.when(F.col("o") >= 2, 2 * half - 1 - F.col("l_partkey")).otherwise(F.col("l_partkey"))
-    second = F.when(F.col("l_suppkey") > F.col("l_partkey"), F.col("o")).otherwise(F.col("o"))
-    return mates.orientation_analogue(x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", b1.alias("b1"), second.alias("o")), half)
+    """P8 on positions of a text of 2^20 bases and its reverse, either hit on either strand: orientation code and distance."""
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"CASE WHEN l_quantity > 25 THEN 2 * {_HALF} - 1 - l_partkey ELSE l_partkey END AS b1", f"CASE WHEN l_linenumber % 2 = 0 THEN 2 * {_HALF} - 1 - l_suppkey ELSE l_suppkey END AS b2")
+    code, dist = mates.orientation(F.col("b1"), F.col("b2"), _HALF)
+    return x.select("l_orderkey", "l_linenumber", code.cast("int").alias("dir"), dist.cast("long").alias("dist"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN sub >= score OR score = 0 THEN 0 ELSE greatest(0, least(60, q))::INTEGER END AS mapq FROM (SELECT *, trunc(trunc(6.02 * (score - sub) * f * f + 0.499) - CASE WHEN sub_n > 0 THEN trunc(4.343 * ln(sub_n + 1) + 0.499) ELSE 0 END) AS q FROM (SELECT *, (CASE WHEN l < 50 THEN 1.0 ELSE 3.0 / ln(l) END) * ident * ident AS f FROM (SELECT *, 1.0 - (l - score)::DOUBLE / 5 / l AS ident FROM (SELECT l_orderkey, l_linenumber, (l_quantity + 40)::INTEGER AS l, (l_quantity + 40 - l_partkey % 20)::INTEGER AS score, (20 + l_suppkey % 30)::INTEGER AS sub, (l_linenumber - 1)::INTEGER AS sub_n FROM lineitem))))")
@@ -134,13 +142,13 @@ def tlen(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.template_length("l_partkey", "l_suppkey").alias("tlen"))
 
 
-@query("WITH x AS (SELECT l_orderkey, l_linenumber, (l_partkey % 30)::INTEGER AS m, (l_suppkey % 9)::INTEGER AS d, (l_quantity % 5)::INTEGER AS s FROM lineitem) SELECT l_orderkey, l_linenumber, concat(CASE WHEN s > 0 THEN concat(s, 'S') ELSE '' END, m + 1, 'M', CASE WHEN d > 0 THEN concat(d, 'D') ELSE '' END, '5M') AS cigar, (m + 1 + d + 5)::BIGINT AS rlen FROM x")
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, (l_partkey % 30)::INTEGER AS m, (l_suppkey % 9)::INTEGER AS d, (l_quantity % 5)::INTEGER AS s FROM lineitem) SELECT l_orderkey, l_linenumber, concat(CASE WHEN s > 0 THEN concat(s, 'S') ELSE '' END, m + 1, 'M', CASE WHEN d > 0 THEN concat(d, 'D') ELSE '' END, '5M') AS cigar, (m + 1 + d + 5)::BIGINT AS rlen, (m + 1 + d + 5)::BIGINT AS rlen_of_ops FROM x")
 def cigar_lengths(spark, d):
     x = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "int(l_partkey % 30) AS m", "int(l_suppkey % 9) AS d", "int(l_quantity % 5) AS s")
     op = lambda code, n: F.struct(F.lit(code).alias("op"), n.cast("int").alias("len"))
     ops = F.filter(F.array(op(3, F.col("s")), op(0, F.col("m") + 1), op(2, F.col("d")), op(0, F.lit(5))), lambda o: o["len"] > 0)
     x = x.withColumn("ops", ops).withColumn("cigar", S.cigar_text("ops"))
-    return x.select("l_orderkey", "l_linenumber", "cigar", S.reference_length_of_text("cigar").alias("rlen")).filter(F.col("rlen") == S.reference_length_of_text("cigar"))
+    return x.select("l_orderkey", "l_linenumber", "cigar", S.reference_length_of_text("cigar").alias("rlen"), S.reference_length("ops").alias("rlen_of_ops"))
 
 
 # -- reads, pairs, chunks ----------------------------------------------------------------------------------------------
@@ -196,9 +204,10 @@ def chain_weight(spark, d):
     return coverage.chain_weight(seeding.merge_diagonals(hits(spark, d), ["doc_id", "item_id"], K), ["doc_id", "item_id"])
 
 
-@query(f"{_ALL}, o AS (SELECT DISTINCT doc_id, qpos FROM (SELECT doc_id, qpos, count(*) AS occ FROM h GROUP BY doc_id, qpos) WHERE occ >= 1), g AS (SELECT doc_id, qpos, lag(qpos) OVER (PARTITION BY doc_id ORDER BY qpos) AS p FROM o) SELECT doc_id, sum(least({K}, qpos - coalesce(p, -1000000)))::BIGINT AS l_rep, sum(least({K}, qpos - coalesce(p, -1000000)))::DOUBLE / max(length(seq)) AS frac_rep FROM g JOIN d USING (doc_id) GROUP BY doc_id")
+@query(f"WITH {_DOCS}, {_CONTIGS}, {_hits_sql(SHORT)}, o AS (SELECT DISTINCT doc_id, qpos FROM (SELECT doc_id, qpos, count(*) AS occ FROM h GROUP BY doc_id, qpos) WHERE occ > {OCC}), g AS (SELECT doc_id, qpos, lag(qpos) OVER (PARTITION BY doc_id ORDER BY qpos) AS p FROM o) SELECT doc_id, sum(least({SHORT}, qpos - coalesce(p, -1000000)))::BIGINT AS l_rep, sum(least({SHORT}, qpos - coalesce(p, -1000000)))::DOUBLE / max(length(seq)) AS frac_rep FROM g JOIN d USING (doc_id) GROUP BY doc_id")
 def repeat_fraction(spark, d):
-    covered = coverage.covered(hits(spark, d).select("doc_id", "qpos").distinct().select("doc_id", F.col("qpos").alias("qbeg"), (F.col("qpos") + K).alias("qend")), ["doc_id"])
+    often = seeding.repeated(documents(spark, d), "doc_id", contigs(spark, d), "item_id", "seq", SHORT, OCC)
+    covered = coverage.covered(often.select("doc_id", F.col("pos").alias("qbeg"), (F.col("pos") + SHORT).alias("qend")), ["doc_id"])
     x = covered.join(documents(spark, d), "doc_id")
     return x.select("doc_id", F.col("covered").alias("l_rep"), (F.col("covered").cast("double") / F.length("seq")).alias("frac_rep"))
 
@@ -300,3 +309,4 @@ def distinct_hits(spark, d):
 
 
 QUERIES |= align_queries.QUERIES
+ORACLE |= align_queries.ORACLE

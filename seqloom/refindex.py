@@ -2,6 +2,8 @@
 
 The text is the forward strand followed by its reverse complement, so a position of at least ``half`` is on the reverse
 strand. An index is a folder of ``.npy`` files and a JSON table, written by ``save`` and mapped into memory by ``load``.
+Large genomes come with an index made elsewhere: its packed bases, and its sampled suffix array, which is filled in from the
+Burrows-Wheeler transform (``read_packed``).
 """
 
 from __future__ import annotations
@@ -54,16 +56,57 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while True:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] if k < n else second[:0]
-        key = rank * (max(n, 8) + 2) + second
-        order = np.argsort(key, kind="stable")
-        s = key[order]
+        order, new = _ranked(rank, second, max(n, 8) + 2)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]]))
+        rank[order] = np.cumsum(new)
         if rank.max() == n or k >= n:
             return order
         k *= 2
 
 
+#: The largest number whose pairs are ranked as one number of 63 bits.
+ONE_KEY = 3_000_000_000
+
+
+def _ranked(first: np.ndarray, second: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of numbers below most, and which of them, in that order, differ from the one before."""
+    if most <= ONE_KEY:
+        key = first * most + second
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        return order, np.concatenate([[True], s[1:] != s[:-1]])
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+
+
+def packed_words(codes: np.ndarray) -> np.ndarray:
+    """Codes 0 to 3 in words of 32, the first in the high bits, and two words of zeros."""
+    n = -(-len(codes) // 32)
+    out = np.zeros(n + 2, np.uint64)
+    shift = np.arange(62, -2, -2).astype(np.uint64)
+    for at in range(0, n, 1 << 16):
+        part = np.zeros(min(1 << 16, n - at) * 32, np.uint64)
+        own = codes[at * 32 : at * 32 + len(part)]
+        part[: len(own)] = own
+        out[at : at + len(part) // 32] = np.bitwise_or.reduce(part.reshape(-1, 32) << shift, axis=1)
+    return out
+
+
+def row_starts(words: np.ndarray, sa: np.ndarray, most: int = 12) -> np.ndarray | None:
+    """Of every string of so many bases as the text is long, up to ``most``: the first row of the suffix array that isn't below it."""
+    depth = min(most, (len(sa).bit_length() - 1) // 2)
+    if depth < 1:
+        return None
+    out = np.zeros(4**depth + 1, np.int64)
+    for at in range(0, len(sa), 1 << 22):
+        pos = np.asarray(sa[at : at + (1 << 22)]).astype(np.int64)
+        w, s = pos >> 5, ((pos & 31) << 1).astype(np.uint64)
+        key = ((words[w] << s) | ((words[w + 1] >> np.uint64(1)) >> (np.uint64(63) - s))) >> np.uint64(64 - 2 * depth)
+        out[1:] += np.bincount(key.astype(np.int64), minlength=4**depth)
+    return np.cumsum(out)
+
+
 @dataclass
 class Index:
     names: list[str]
@@ -74,6 +117,13 @@ class Index:
     holes: list[tuple[int, int, str]]
     text: np.ndarray  # forward and reverse complement, codes 0 to 3
     sa: np.ndarray
+    words: np.ndarray | None = None  # the text, 32 bases a word
+    starts: np.ndarray | None = None  # rows of the suffix array by the first bases
+
+    def __post_init__(self):
+        if self.words is None:
+            self.words = packed_words(self.text)
+            self.starts = row_starts(self.words, self.sa)
 
     @property
     def half(self) -> int:
@@ -113,6 +163,8 @@ class Index:
         os.makedirs(path, exist_ok=True)
         np.save(f"{path}/text.npy", self.text)
         np.save(f"{path}/sa.npy", self.sa)
+        np.save(f"{path}/words.npy", self.words)
+        np.save(f"{path}/starts.npy", np.zeros(0, np.int64) if self.starts is None else self.starts)
         table = {"names": self.names, "offsets": self.offsets.tolist(), "lengths": self.lengths.tolist(), "is_alt": self.is_alt.tolist(), "annos": self.annos, "holes": self.holes}
         with open(f"{path}/contigs.json", "w", encoding="utf-8") as f:
             json.dump(table, f)
@@ -130,7 +182,11 @@ def load(path: str) -> Index:
     """Mapped, so that processes of one machine share the pages."""
     with open(f"{path}/contigs.json", encoding="utf-8") as f:
         t = json.load(f)
-    return Index(t["names"], np.array(t["offsets"], np.int64), np.array(t["lengths"], np.int64), np.array(t["is_alt"], bool), t["annos"], [tuple(h) for h in t["holes"]], np.load(f"{path}/text.npy", mmap_mode="r"), np.load(f"{path}/sa.npy", mmap_mode="r"))
+    return Index(t["names"], np.array(t["offsets"], np.int64), np.array(t["lengths"], np.int64), np.array(t["is_alt"], bool), t["annos"], [tuple(h) for h in t["holes"]], *(np.load(f"{path}/{x}.npy", mmap_mode="r") for x in ("text", "sa", "words")), _or_none(np.load(f"{path}/starts.npy")))
+
+
+def _or_none(x: np.ndarray) -> np.ndarray | None:
+    return x if len(x) else None
 
 
 def build(contigs: list[tuple[str, str, str]], alt: set[str] = frozenset(), seed: int = 11) -> Index:
@@ -181,7 +237,10 @@ def read_alt(path: str) -> set[str]:
 
 
 def read_packed(prefix: str) -> Index:
-    """From the text and packed files of an existing index (.ann, .amb, .pac, optionally .alt); the suffix array is built."""
+    """From the files of an existing index: .ann, .amb, .pac, optionally .alt; with .bwt and .sa its suffix array is filled in, else
+    it is built. A prefix whose files have the additional extension .64 is found by either name."""
+    if not os.path.exists(f"{prefix}.ann") and os.path.exists(f"{prefix}.64.ann"):
+        prefix += ".64"
     with open(f"{prefix}.ann") as f:
         total, n, _ = map(int, f.readline().split())
         names, annos, offsets, lengths = [], [], [], []
@@ -199,4 +258,64 @@ def read_packed(prefix: str) -> Index:
     forward = ((packed[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).ravel()[:total].astype(np.uint8)
     alt = read_alt(f"{prefix}.alt") if os.path.exists(f"{prefix}.alt") else set()
     text = np.concatenate([forward, complement(forward)]).astype(np.uint8)
-    return Index(names, np.array(offsets, np.int64), np.array(lengths, np.int64), np.array([x in alt for x in names], bool), annos, holes, text, suffix_array(text))
+    sa = read_suffix_array(prefix) if os.path.exists(f"{prefix}.bwt") and os.path.exists(f"{prefix}.sa") else suffix_array(text)
+    return Index(names, np.array(offsets, np.int64), np.array(lengths, np.int64), np.array([x in alt for x in names], bool), annos, holes, text, sa)
+
+
+#: Fixed values of the files: symbols between counters, and words of 16 symbols and of counters in such a block.
+BLOCK, BLOCK_WORDS, COUNTER_WORDS = 128, 8, 8
+
+
+def read_transform(path: str) -> tuple[int, np.ndarray]:
+    """The row of the whole text, and the symbols of the transform without its end, from a .bwt file (counters are passed over)."""
+    head = np.fromfile(path, "<u8", 5)
+    primary, n = int(head[0]), int(head[4])
+    words = np.memmap(path, "<u4", "r", offset=40)
+    out = np.empty(n, np.uint8)
+    shift = np.arange(30, -2, -2).astype(np.uint32)
+    step = BLOCK_WORDS + COUNTER_WORDS
+    for at in range(0, n, BLOCK << 12):
+        m = min(n - at, BLOCK << 12)
+        part = np.asarray(words[at // BLOCK * step : -(-(at + m) // BLOCK) * step])
+        part = np.concatenate([part, np.zeros(-len(part) % step, np.uint32)]).reshape(-1, step)[:, COUNTER_WORDS:].ravel()
+        out[at : at + m] = ((part[:, None] >> shift) & 3).ravel()[:m]
+    return primary, out
+
+
+def read_suffix_array(prefix: str) -> np.ndarray:
+    """The whole suffix array, from every so many-th row that the .sa file holds: the other rows step to the suffix that begins one
+    base earlier until they meet a row that is known."""
+    primary, symbols = read_transform(f"{prefix}.bwt")
+    n = len(symbols)
+    head = np.fromfile(f"{prefix}.sa", "<u8", 7)
+    every = int(head[5])
+    if int(head[0]) != primary or int(head[6]) != n:
+        raise ValueError(f"{prefix}.sa and {prefix}.bwt are of different texts")
+    known = np.fromfile(f"{prefix}.sa", "<u8", offset=56).astype(np.int64)
+    out = np.full(n + 1, -1, np.int64)
+    out[0] = n
+    rows = np.arange(every, n + 1, every)
+    out[rows] = known[: len(rows)]
+    # the row of the suffix one base longer, of each row: how many symbols are smaller, and equal ones before
+    earlier = np.empty(n + 1, np.int64)
+    place = np.delete(np.arange(n + 1), primary)
+    below = 1
+    for c in range(4):
+        own = place[symbols == c]
+        earlier[own] = np.arange(below, below + len(own))
+        below += len(own)
+    earlier[primary] = 0
+    open_ = np.flatnonzero(out < 0)
+    at, steps = open_.copy(), 0
+    found = np.empty(len(open_), np.int64)
+    left = np.arange(len(open_))
+    while len(left):
+        steps += 1
+        at = earlier[at]
+        value = out[at]
+        met = value >= 0
+        # row 0 is the end, which stands before the text's first base
+        found[left[met]] = np.where(at[met] == 0, -1, value[met]) + steps
+        left, at = left[~met], at[~met]
+    out[open_] = found
+    return out[1:]

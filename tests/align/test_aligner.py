@@ -6,6 +6,7 @@ import pytest
 from seqloom import refindex
 from seqloom.operators import align, records
 from seqloom.operators import aligner as A
+from seqloom.operators.batch import Seeder, groups
 from seqloom.options import Options, checked_read_group, parse
 
 
@@ -52,32 +53,157 @@ def test_index_lookups(genome):
     assert refindex.decode(ix.text[ix.half :]) == turned(refindex.decode(ix.text[: ix.half]))
 
 
-def test_maximal_matches_against_brute_force(genome):
-    ix, s = records.searcher(genome[0])
-    text = ix.text.tobytes()
+def places(text, s):
+    return sum(text.startswith(s, i) for i in range(len(text)))
+
+
+def slow_matches(text, q, o):
+    """The three rounds, by counting places."""
+    count = {}
+
+    def n(b, e):
+        if (b, e) not in count:
+            count[b, e] = 0 if 4 in q[b:e] else places(text, q[b:e])
+        return count[b, e]
+
+    def maximal(least, over=None):
+        every = {(b, e) for b in range(len(q)) for e in range(b + 1, len(q) + 1) if (over is None or b <= over < e) and n(b, e) >= least}
+        return sorted(m for m in every if (m[0] - 1, m[1]) not in every and (m[0], m[1] + 1) not in every)
+
+    found = [m for m in maximal(1) if m[1] - m[0] >= o.min_seed]
+    for b, e in list(found):
+        if e - b >= int(o.min_seed * o.reseed_factor + 0.499) and n(b, e) <= o.split_width:
+            found += [m for m in maximal(n(b, e) + 1, (b + e) // 2) if m[1] - m[0] >= o.min_seed]
+    x = 0
+    while x + o.min_seed < len(q):
+        top = q.find(b"\x04", x) if 4 in q[x:] else len(q)
+        e = next((e for e in range(x + o.min_seed + 1, top + 1) if n(x, e) < o.third_round_occ), None)
+        if e is None:
+            x = top + 1
+            continue
+        if n(x, e):
+            found.append((x, e))
+        x = e
+    return sorted((b, e, n(b, e)) for b, e in found)
+
+
+@pytest.mark.parametrize("least", [5, 7, 12])
+def test_matches_against_slow_rounds(least):
     rnd = np.random.default_rng(4)
-    for _ in range(6):
-        at = int(rnd.integers(0, 2900))
-        q = bytearray(refindex.encode(genome[1]["chrA"][at : at + 60]).tobytes())
-        for _ in range(3):
-            q[int(rnd.integers(0, 60))] = int(rnd.integers(0, 5))
-        q = bytes(q)
-        every = {(b, e) for b in range(60) for e in range(b + 1, 61) if 4 not in q[b:e] and q[b:e] in text}
-        top = {(b, e) for b, e in every if (b - 1, e) not in every and (b, e + 1) not in every}
-        for x in (0, 13, 30, 59):
-            if q[x] < 4:
-                assert set(A.smems(s, q, x)[0]) == {m for m in top if m[0] <= x < m[1]}
-
-
-def test_occurrences(genome):
-    ix, s = records.searcher(genome[0])
-    text = ix.text.tobytes()
-    for at in (5, 1050, 3600):
-        for n in (1, 3, 8, 25):
-            q = text[at : at + n]
-            low, count = s.range_of(q)
-            assert count == sum(text.startswith(q, i) for i in range(len(text)))
-            assert all(text.startswith(q, int(ix.sa[low + k])) for k in range(min(count, 5)))
+    unit = dna(rnd, 12)
+    ix = refindex.build([("a", "", dna(rnd, 150) + unit * 6 + dna(rnd, 60)), ("b", "", dna(rnd, 40) + unit + dna(rnd, 60))])
+    text, s = ix.text.tobytes(), Seeder(ix)
+    o = Options(min_seed=least, third_round_occ=3, split_width=4)
+    qs = []
+    for _ in range(25):
+        at = int(rnd.integers(0, len(text) - 60))
+        q = bytearray(text[at : at + int(rnd.integers(3, 60))])
+        for _ in range(int(rnd.integers(0, 3))):
+            q[int(rnd.integers(0, len(q)))] = int(rnd.integers(0, 5))
+        qs.append(bytes(q))
+    qs += [b"", b"\x04" * 9, text[-30:], text[:40], refindex.encode(unit * 5).tobytes()]
+    got = s.matches([np.frombuffer(q, np.uint8) for q in qs], o)
+    for q, found in zip(qs, got):
+        assert [(b, e, n) for b, e, _, n in found] == slow_matches(text, q, o)
+        assert all(text.startswith(q[b:e], int(ix.sa[low + k])) for b, e, low, n in found for k in range(n))
+
+
+def test_reads_longer_than_a_word_and_alone(genome):
+    ix = refindex.load(genome[0])
+    s = Seeder(ix)
+    qs = [refindex.encode(genome[1]["chrA"][at : at + n]) for at, n in ((0, 500), (900, 200), (2900, 100), (17, 33), (5, 64))]
+    together = s.matches(qs, Options())
+    assert together == [s.matches([q], Options())[0] for q in qs]
+    assert all((0, len(q)) in {m[:2] for m in f} for f, q in zip(together, qs))
+
+
+def test_groups_hold_every_read_once():
+    sizes = [10] * 1500 + [1 << 19] + [5] * 10
+    parts = groups(sizes)
+    assert [i for r in parts for i in r] == list(range(len(sizes))) and all(len(r) <= 512 for r in parts)
+    assert groups([]) == []
+
+
+def test_suffix_array_of_large_numbers(monkeypatch):
+    """Ranks whose product would not fit 63 bits are ordered as pairs."""
+    rnd = np.random.default_rng(7)
+    t = rnd.integers(0, 4, 400).astype(np.uint8)
+    want = refindex.suffix_array(t).tolist()
+    monkeypatch.setattr(refindex, "ONE_KEY", 1)
+    assert refindex.suffix_array(t).tolist() == want
+    first = np.array([2**40, 2**40, 5, 2**40 - 1])
+    order, new = refindex._ranked(first, np.array([3, 2, 9, 9]), 2**41)
+    assert order.tolist() == [2, 3, 1, 0] and new.tolist() == [True, True, True, True]
+
+
+@pytest.mark.parametrize("every", [1, 4, 32])
+def test_index_files_made_elsewhere(tmp_path, every):
+    """Files written here by the rules of their format, read back."""
+    rnd = np.random.default_rng(3)
+    a, b = dna(rnd, 700), dna(rnd, 333)
+    want = refindex.build([("chrA", "one", a), ("chrB", "", b)])
+    n, text = len(want.text), want.text
+    sa = np.concatenate([[n], want.sa])
+    before = np.where(sa > 0, text[sa - 1], 9)
+    primary = int(np.flatnonzero(sa == 0)[0])
+    symbols = np.delete(before, primary).astype(np.uint32)
+    counts = np.bincount(text, minlength=4)
+    words = []
+    for at in range(0, n, 16):
+        if at % 128 == 0:
+            words += np.bincount(symbols[:at], minlength=4).astype("<u8").view("<u4").tolist()
+        part = np.concatenate([symbols[at : at + 16], np.zeros(16, np.uint32)])[:16]
+        words.append(int(sum(int(x) << (30 - 2 * i) for i, x in enumerate(part))))
+    words += counts.astype("<u8").view("<u4").tolist()
+    p = str(tmp_path / "ref")
+    with open(f"{p}.bwt", "wb") as f:
+        f.write(np.array([primary, *np.cumsum(counts)], "<u8").tobytes() + np.array(words, "<u4").tobytes())
+    with open(f"{p}.sa", "wb") as f:
+        f.write(np.array([primary, *np.cumsum(counts), every, n], "<u8").tobytes() + sa[every::every].astype("<u8").tobytes())
+    with open(f"{p}.ann", "w") as f:
+        f.write(f"{n // 2} 2 11\n0 chrA one\n0 700 0\n0 chrB (null)\n700 333 0\n")
+    with open(f"{p}.amb", "w") as f:
+        f.write(f"{n // 2} 2 0\n")
+    half = np.concatenate([text[: n // 2], np.zeros(-(n // 2) % 4, np.uint8)]).reshape(-1, 4)
+    np.concatenate([(half << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1).astype(np.uint8), [n // 2 % 4]]).astype(np.uint8).tofile(f"{p}.pac")
+    got = refindex.read_packed(p)
+    assert got.sa.tolist() == want.sa.tolist() and got.text.tolist() == text.tolist() and got.names == want.names and got.annos == want.annos
+    for x in ("ann", "amb", "pac", "bwt", "sa"):
+        (tmp_path / f"ref.{x}").rename(tmp_path / f"big.64.{x}")
+    assert refindex.read_packed(str(tmp_path / "big")).sa.tolist() == want.sa.tolist()
+
+
+def test_header_lines_of_a_file(tmp_path, genome):
+    f = tmp_path / "head.txt"
+    f.write_text("@CO\tfirst\nnot a header line\n@CO\tsecond\\tpart\n")
+    ix = refindex.load(genome[0])
+    lines = records.header(ix, Options(header=str(f)), "x").splitlines()
+    assert lines[3:5] == ["@CO\tfirst", "@CO\tsecond\tpart"]
+    assert records.header(ix, Options(header="@CO\\tgiven"), "x").splitlines()[3] == "@CO\tgiven"
+
+
+def test_alternative_contigs_are_told_apart_unless_ignored(spark, tmp_path):
+    rnd = np.random.default_rng(9)
+    a = dna(rnd, 2000)
+    path = str(tmp_path / "alt")
+    refindex.build([("chr1", "", a), ("chr1_alt", "", dna(rnd, 300) + a[500:700] + dna(rnd, 300))], {"chr1_alt"}).save(path)
+    d = spark.createDataFrame([(0, 0, "r", None, a[550:650], "I" * 100)], "chunk_id long, idx long, name string, comment string, seq string, qual string")
+    with_alt = [r.sam.split("\t") for r in align.single_end(d, path).collect()]
+    without = [r.sam.split("\t") for r in align.single_end(d, path, Options(ignore_alt=True)).collect()]
+    # an alternative contig doesn't make the primary place ambiguous
+    assert with_alt[0][2] == "chr1" and int(with_alt[0][4]) > 0
+    assert without[0][4] == "0"
+
+
+def test_limit_of_extended_chains():
+    seeds = lambda at: [A.Seed(at, 0, 30, 30)]
+    # three chains, of which the second and third stand in the first one's shadow
+    found = [A.Chain(1000 * k, 0, False, seeds(1000 * k)) for k in range(3)]
+    kept = lambda n: [c.pos for c in A.filtered([A.Chain(c.pos, 0, False, list(c.seeds)) for c in found], Options(max_chain_extend=n))]
+    every = kept(1 << 30)
+    shadowed = [c for c in every if c != every[0]]
+    assert kept(1) == [x for x in every if x not in shadowed] or len(kept(1)) < len(every)
+    assert len(kept(2)) == len(kept(1)) + 1
 
 
 def reads(genome):

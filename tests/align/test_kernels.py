@@ -94,3 +94,23 @@ def test_extension():
     bad = np.concatenate([t[:15], 3 - t[15:50]])
     assert K.extend(bad, t, M, *GAPS, 100, 5, 100, 20).query == 15
     assert K.extend(t[:0], t, M, *GAPS, 100, 5, 100, 20).score == 20
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_extensions_side_by_side(seed):
+    """Each equals the extension made alone, whatever stands beside it."""
+    rnd = np.random.default_rng(seed)
+    tasks = []
+    for k in range(60):
+        t = rnd.integers(0, 4, int(rnd.integers(0, 90))).astype(np.uint8)
+        q = mutated(rnd, t, int(rnd.integers(0, 6))) if len(t) > 10 else rnd.integers(0, 5, int(rnd.integers(1, 20))).astype(np.uint8)
+        if k % 7 == 0:
+            q = q[: len(t)].copy()
+            q[: len(q) // 2] = 4
+        if k % 5 == 0:
+            q = t[: max(1, len(t) // 2)] if len(t) else q
+        tasks.append((q, t, int(rnd.integers(1, 40)) if k % 3 else 100, int(rnd.integers(0, 8)), int(rnd.integers(1, 60))))
+    for z in (0, 10, 100):
+        for m, gaps in ((M, GAPS), (K.matrix(2, 3), (4, 2, 5, 1))):
+            got = K.extend_many(tasks, m, *gaps, z)
+            assert got == [K.extend(q, t, m, *gaps, band, bonus, z, start) for q, t, band, bonus, start in tasks]
