@@ -478,4 +478,20 @@ def op10_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_deep_shallow_dedup": op10_deep_shallow_dedup}
-ORACLE: dict[str, str] = {}
+#: The same by all windows of 100 bytes; texts are cut in overlapping pieces, as a place far on in a string is dear to find.
+ORACLE = {
+    "op10_deep_shallow_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, j * 1000 AS off, substr(h, j * 2000 + 1, 2198) AS h FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 999) // 1000)) AS j FROM d)),
+w AS (SELECT doc_id, off + i AS i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, off, h, unnest(range(0, least(1000, length(h) // 2 - 99))) AS i FROM b)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k),
+a AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) > first),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM a),
+g AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+x AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM g),
+y AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS tail FROM g GROUP BY doc_id),
+z AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(concat(coalesce(kept, ''), substr(h, 2 * coalesce(tail, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)""",
+}
