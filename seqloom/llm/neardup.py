@@ -7,7 +7,8 @@ coordinates) at least once. Pairs that meet count their equal coordinates over a
 are compared on their full sets; only links that hold there count. The threshold is a parameter, and both numbers come
 from it (``Bounds``).
 
-A posting list of m classes isn't turned into its pairs. First each member is compared with a few heads of its list,
+A posting list of m classes isn't turned into its pairs, and one of more than HOT isn't read as one either: its members are posted
+again under that coordinate and each of another prefix, of the coordinates left; classes that are to be linked agree there too. First each member is compared with a few heads of its list,
 which are found by aggregation; links found make components. Then only lists that still hold several components are
 read, in blocks of bounded size: pairs of different components that reach ``matches`` are compared, each in the first list
 that both share (later meetings are skipped). Members that have a crowd of such partners aren't paired: their sets are
@@ -47,6 +48,8 @@ COORDS, SHORT = 64, 20
 MISS, MISS_COUNT = 1e-5, 3.1e-5
 #: Members of a posting list that are compared in one go, and ids that are broadcast at most (8 MB).
 BLOCK, FEW = 2048, 1_000_000
+#: Lists longer than this are posted again, under pairs of coordinates.
+HOT = 1024
 #: A member with more likely partners than this in a list is compared with them by counting, not pair by pair.
 CROWD = 16
 
@@ -253,19 +256,28 @@ def rest_pairs(postings: DataFrame, labels: DataFrame, by: Bounds) -> DataFrame:
     """What is left to compare in lists of several components: pairs (a, b) of different components with at least by.matches
     equal coordinates; and in place of the pairs of a member that has more than CROWD of them, the members of that crowd
     (key, x, y, a: list and blocks), b null."""
-    p = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    # blocks of a long list meet in pairs: a member of block i goes to (i, j) or (j, i) for every j
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    p = p.join(open_, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def open_(p: DataFrame) -> DataFrame:
+        """p with n, the length of its list, where that holds several components."""
+        return p.join(p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "n"), "key")
+
+    p = postings.join(labels, "id", "left").select("key", F.shiftright("key", 32).cast("int").alias("coord"), "id", F.coalesce("label", "id").alias("label"), "low")
+    p = stored(open_(p))
+    # of the coordinates left, as many as the first prefix had: its others whole, and the low byte of the next one
+    again = [F.when(F.col("coord") != j, F.xxhash64("key", F.lit(j), F.substring("low", 4 * j + 1, 4))) for j in range(by.prefix)]
+    again.append(F.xxhash64("key", F.lit(by.prefix), F.substring("low", 4 * by.prefix + 1, 1)))
+    hot = p.filter(F.col("n") > HOT).select(F.explode(F.array_compact(F.array(*again))).alias("key"), "coord", "id", "label", "low")
+    p = p.filter(F.col("n") <= HOT).unionByName(open_(hot))
+    # blocks of a list that is still long meet in pairs: a member of block i goes to (i, j) or (j, i) for every j
+    p = p.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     p = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    p = p.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label", "low")
+    p = p.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label", "low", "coord")
     p = p.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def run(batches):
         for (key, x, y), t in _in_groups(batches):
             block, ids, label, (head, low) = t["i"].to_numpy(), t["id"].to_numpy(), t["label"].to_numpy(), _unpacked(t["low"], by)
-            coord = key >> 32
+            coord = t["coord"][0].as_py()
             crowd = np.zeros(len(ids), bool)
             out_a, out_b = [], []
             for r in range(len(ids) - 1):
