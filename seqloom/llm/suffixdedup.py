@@ -15,7 +15,9 @@ neighbours in the two orders tell, for each place that an anchor can have in a s
 hold one string; the earliest keeps it.
 
 Repeats within a task are cut down to their earliest before any shuffle, so a passage in a third of all documents sends a
-row a task. Sorted streams are read in chunks; the rows of one anchor with different surroundings stand in one chunk.
+row a task. Sorted streams are read in chunks; the rows of one anchor with different surroundings stand in one chunk. An anchor
+with more than HOT of them is dealt out again: whatever its place in a string, two rows that share the string share most of the
+bytes around it, so rows go by those bytes, once for each of a few ranges of places.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; rows with one id are documents in order of a
 hash of their texts, and those with one text too are one document, each row with its result; a row without id comes last;
@@ -33,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored, table
+from seqloom.llm.common import bounded_batches, stored, table
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM  # bytes on either side of an anchor that a string can cover
 SHALLOW = 32
+#: Surroundings of an anchor that stand together, and the ranges of its places in a string by which more are dealt out.
+HOT, PLACES = 2000, (0, 20, 40, 60, REACH + 1)
 PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -401,6 +405,20 @@ def _matrices(n_before: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
     return np.ascontiguousarray(whole[:, :REACH][:, ::-1]), np.ascontiguousarray(whole[:, REACH:]), size - n_before
 
 
+def dealt(around: DataFrame, opened: DataFrame) -> DataFrame:
+    """around, h of anchors with many surroundings replaced by hashes of the bytes that a string covers wherever in a range the anchor
+    stands in it: a row for each range for which the text has those bytes."""
+    hot = opened.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
+    x = around.join(hot, "h", "left")
+    keys = []
+    for lo, hi in zip(PLACES, PLACES[1:]):
+        after = LENGTH + 1 - hi
+        whole = (F.col("n_before") >= lo) & (F.octet_length("bytes") - F.col("n_before") >= after)
+        keys.append(F.when(whole, F.xxhash64("h", F.lit(lo), F.substring("bytes", F.col("n_before") - lo + 1, F.lit(lo + after)))))
+    key = F.when(F.col("hot"), F.array_compact(F.array(*keys))).otherwise(F.array("h"))
+    return x.select(F.explode(key).alias("h"), "doc", "sub", "at", "n_before", "bytes")
+
+
 def second_look(around: DataFrame, chunk: int = 20_000) -> DataFrame:
     """Ranges (doc, sub, at, upto) that suffix sorting of the surroundings finds."""
     around = around.repartition(F.col("h")).sortWithinPartitions("h", "doc", "sub", "at")
@@ -408,6 +426,9 @@ def second_look(around: DataFrame, chunk: int = 20_000) -> DataFrame:
     def solve(t: pa.Table):
         doc, sub, at, n_before = (t[k].to_numpy().astype(np.int64) for k in ("doc", "sub", "at", "n_before"))
         order = np.lexsort((at, sub, doc))
+        # an anchor that was dealt out by several keys stands here once
+        same = np.append(False, (doc[order][1:] == doc[order][:-1]) & (sub[order][1:] == sub[order][:-1]) & (at[order][1:] == at[order][:-1]))
+        order = order[~same[: len(order)]]
         doc, sub, at, n_before = doc[order], sub[order], at[order], n_before[order]
         texts = t["bytes"].to_pylist()
         before, after, n_after = _matrices(n_before, [texts[i] for i in order])
@@ -444,13 +465,15 @@ def second_look(around: DataFrame, chunk: int = 20_000) -> DataFrame:
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text also kept, the bytes that stay."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     several = not ids.groupBy("id").count().filter("count > 1").isEmpty()
     sub = F.coalesce(F.xxhash64(text), F.lit(0)) if several else F.lit(0).cast("long")
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), sub.alias("sub"), F.col(text).alias("t"), F.col(id_col).alias("id"))
     looked = stored(first_look(anchor_rows(d.select("doc", "sub", "t"))))
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is stored
-    more = second_look(surroundings(looked.filter(F.col("kind") == ANCHOR), d.select("doc", "sub", "t")))
+    opened = looked.filter(F.col("kind") == ANCHOR)
+    more = second_look(dealt(surroundings(opened, d.select("doc", "sub", "t")), opened))
     ranges = stored(looked.filter(F.col("kind") == RANGE).select("doc", "sub", "at", "upto").union(more))
     spark._jvm.System.gc()
     by_doc = ranges.groupBy("doc", "sub").agg(F.collect_set(F.struct("at", "upto")).alias("r"))
@@ -464,11 +487,11 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_te
                 raw = _raw(t.as_py())
                 _, start, end = merged(np.zeros(len(at or ()), np.int64), np.array(at or (), np.int64), np.array(upto or (), np.int64))
                 edge = [0, *(x for s, e in zip(start.tolist(), end.tolist()) for x in (s, e)), len(raw)]
-                rest = b"".join(raw[s:e] for s, e in zip(edge[::2], edge[1::2]))
-                for x, v in zip(out, (len(raw), len(raw) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest)):
+                rest = raw if not len(start) else b"".join(raw[s:e] for s, e in zip(edge[::2], edge[1::2]))
+                for x, v in zip(out, (len(raw), len(raw) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), *[rest] * with_text)):
                     x.append(v)
-            cols = [pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols[: 4 + with_text]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            cols = [pa.array(x, k) for x, k in zip(out[: 4 + with_text], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     return both.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
 

@@ -51,6 +51,8 @@ def made(seed):
 def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(sd, "PIECE", 400)
+    if seed == 3:
+        monkeypatch.setattr(sd, "HOT", 1)
     rows = made(seed)
     assert got(spark, rows) == brute(rows)
 
