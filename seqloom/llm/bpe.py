@@ -178,7 +178,7 @@ def learn(bpe: Bpe, path: str, texts: list[list[str]]) -> _Known:
     return known
 
 
-def _groups(texts: pa.Array, most: int = 3_000_000) -> Iterator[list[str]]:
+def _groups(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         t = t.as_py() or ""
