@@ -55,8 +55,8 @@ STRIDE, LOOK_BACK = 16, 16
 #: Classes of how often a stretch's context was seen.
 CLASSES = 24
 SLAB_BYTES = 32 << 20
-#: Bytes of text in a batch; a task learns from batches that grow up to that.
-BATCH, FIRST_BATCH = 5 << 20, 8 << 10
+#: Bytes of text in a batch, and rows; a task learns from batches that grow up to that.
+BATCH, FIRST_BATCH, ROWS = 7 << 20, 8 << 10, 1500
 END, SPACE, LINE = b"\n", 32, 10
 BUCKETS, FINE = 33, 32
 #: Steps of a task after which its weights count in the average, and the map follows them.
@@ -105,7 +105,7 @@ def _clustered(x: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
         chosen.append(int(((1 - (unit @ unit[chosen].T).max(axis=1)) ** 2 * weight).argmax()))
     centre = unit[chosen]
     own = np.zeros(len(x), np.int64)
-    for _ in range(6 if chosen else 0):
+    for _ in range(4 if chosen else 0):
         own = (unit @ centre.T).argmax(axis=1)
         for k in range(len(chosen)):
             if (own == k).any():
@@ -172,14 +172,22 @@ class Batch:
             self.spell(topics.states(self))
 
     @functools.cached_property
-    def hash(self) -> np.ndarray:
-        """Of each word."""
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-
-    def spell(self, state: np.ndarray) -> None:
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' bytes with a space after each, where each word begins and how long it is, and hashes of their beginnings."""
         flat = np.frombuffer(b" ".join([*self.words, b""]), np.uint8)
         length = np.array(list(map(len, self.words)), np.int64)
         at = np.cumsum(length + 1) - length - 1
+        return flat, at, length, _beginnings(flat, at, length)
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """Of each word: of its beginning up to its end, mixed once more."""
+        _, at, length, so_far = self.flat
+        h = (so_far[at + length - 1] ^ (length.astype(np.uint64) << np.uint64(48))) * _mult[23]
+        return h ^ (h >> np.uint64(32))
+
+    def spell(self, state: np.ndarray) -> None:
+        flat, at, length, so_far = self.flat
         first, second = flat[at].astype(np.int64), flat[np.minimum(at + 1, len(flat) - 1)].astype(np.int64)
         last, last2 = flat[at + length - 1].astype(np.int64), np.where(length > 1, flat[at + np.maximum(length, 2) - 2], SPACE).astype(np.int64)
         token = self.token
@@ -199,7 +207,6 @@ class Batch:
         self.owner = np.repeat(np.arange(len(units)), n)
         place = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n) + 2
         where = at[word][self.owner] + place
-        so_far = _beginnings(flat, at, length)
         key = (so_far[where] + kind[self.owner] * _mult[18]) * _mult[19]
         self.c, _, fresh = _first_of(key)
         where, place, kind = where[fresh], place[fresh], kind[self.owner[fresh]]
@@ -232,11 +239,11 @@ class Batch:
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, minlength=len(self.words))
 
-    def chunks(self, most: int = 50_000) -> Iterator[slice]:
+    def chunks(self, most: int = 6_000) -> Iterator[slice]:
         for a in range(0, len(self.byte), most):
             yield slice(a, min(a + most, len(self.byte)))
 
-    def mixed(self, most: int = 50_000) -> Iterator[np.ndarray]:
+    def mixed(self, most: int = 6_000) -> Iterator[np.ndarray]:
         """Chunks of edges in an order that has common and rare ones everywhere."""
         order = np.random.default_rng(len(self.byte)).permutation(len(self.byte))
         for a in range(0, len(order), most):
@@ -303,7 +310,8 @@ HISTORIES = FEW * FEW + 3 * (2 * ODDS + 1)
 
 
 def _coded(n: np.ndarray) -> np.ndarray:
-    x = (n.astype(np.float32).view(np.uint32) >> np.uint32(19)).astype(np.int32)
+    x = n.astype(np.float32).view(np.int32)
+    x >>= 19
     x -= (127 << 4) - 1
     return np.maximum(x, 0, out=x)
 
@@ -410,8 +418,8 @@ class Model:
             seen = []
             for k in range(CONTEXTS):
                 # both counts in one look
-                pair = np.take(self.slots[k].view(np.uint64), slots[k], mode="clip").view(np.uint32).reshape(-1, 2)
-                seen.append(history(pair[:, 0], pair[:, 1]))
+                both = _coded(np.take(self.slots[k].view(np.uint64), slots[k], mode="clip").view(np.uint32)).reshape(-1, 2)
+                seen.append(np.take(_HISTORY, both[:, 0] * np.int32(CODES) + both[:, 1]))
             x, gate = self.inputs(seen, place)
             weight = times.astype(np.float32)
             for k in range(CONTEXTS):
@@ -436,7 +444,7 @@ class Model:
                     both = np.bincount(cell, weight[e], 512 * BUCKETS).reshape(256, BUCKETS, 2)
                     self.hits += both[:, :, 1]
                     self.tries += both.sum(axis=2)
-            counted.append(([x << 1 | side for x in slots], times))
+            counted.append(([(x << 1 | side).astype(np.int32) for x in slots], times))
         for slots, times in counted:
             for k in range(CONTEXTS):
                 np.add.at(self.slots[k], slots[k], times)
@@ -487,6 +495,18 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return stored(rows.withColumn("part", F.spark_partition_id().cast("long")))
 
 
+def byte_counts(texts: pa.Array) -> np.ndarray:
+    """How often each byte is spelled in texts, about: letters in lower case, white space as one space, and an end each."""
+    raw = b"\n".join(texts.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pylist())
+    n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(np.int64)
+    n[97:123] += n[65:91]
+    n[65:91] = 0
+    n[SPACE] += n[9:14].sum()
+    n[9:14] = 0
+    n[LINE] = len(texts)
+    return n
+
+
 def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
     """How often each byte stands in the training texts, and their kinds: clusters of each slice of texts, clustered again."""
 
@@ -495,17 +515,12 @@ def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
         for b in batches:
             for _, texts in text_slices(b.column(0), BATCH):
                 one = Batch(texts, None)
-                raw, times = b" ".join([*one.words, b""]), one.counts()
-                # the end's own byte, and of each word its bytes and a space
-                total += np.bincount(np.frombuffer(raw, np.uint8), np.repeat(times, [len(w) + 1 for w in one.words]), 256).astype(np.int64)
-                total[SPACE] -= times[0]
+                total += byte_counts(texts)
                 column = _kind_words(one)[one.token]
                 row = np.repeat(np.arange(len(texts)), one.size)
-                for at in range(0, len(texts), 1000):
-                    use = (column >= 0) & (row >= at) & (row < at + 1000)
-                    n = min(1000, len(texts) - at)
-                    tf = np.bincount((row[use] - at) * (1 << KIND_BITS) + column[use], minlength=n << KIND_BITS).reshape(n, -1).astype(np.float32)
-                    held = _clustered(np.vstack([held, tf]))
+                use = column >= 0
+                tf = np.bincount(row[use] << KIND_BITS | column[use], minlength=len(texts) << KIND_BITS).reshape(len(texts), -1).astype(np.float32)
+                held = _clustered(np.vstack([held, tf]))
         if total.any():
             yield _row(0, pickle.dumps((total, held)))
 
@@ -767,7 +782,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text")
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
     held_out: a condition; what it holds for is scored but not learned from."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, ROWS)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
     train = docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(text).alias("_text"))
     model, n_bytes = fitted(train)
