@@ -7,7 +7,8 @@ regression is solved in it, one language against the rest. As k is linear in the
 times their coefficients is one matrix (features x languages), and a batch of texts is scored by one matrix product.
 
 The classifier is fitted on about SAMPLE labelled texts, dealt evenly over the languages by a hash of the id; the bound
-is a parameter. Languages, their counts and all predictions cover every row.
+is a parameter. A language's examples are its texts of at least SHORTEST bytes, or all of them if none is so long. Languages,
+their counts and all predictions cover every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; whole texts are read at any length;
 repeated rows are predicted alike; without any labelled text every text is ``und``; an empty table gives an empty
@@ -29,7 +30,7 @@ from seqloom.llm.common import bounded_batches, crc_mod, table, text_slices, tid
 BITS = {2: 14, 3: 15}
 N_FEATURES = 256 + sum(1 << b for b in BITS.values())
 SAMPLE, LANDMARKS, RIDGE, SEED = 1600, 240, 0.02, 11
-#: Texts of fewer bytes are of no use as examples.
+#: Texts of fewer bytes are examples only of languages that have no longer ones.
 SHORTEST = 40
 _letter = regex.compile(r"\p{L}")
 
@@ -90,12 +91,14 @@ def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tu
 def training_rows(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> list[tuple[str, np.ndarray]]:
     """Languages and features of about ``sample`` of the labelled rows of docs. The driver gets features of these rows only."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) >= SHORTEST))
-    counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
+    labelled = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
+    long_ = F.octet_length(text) >= SHORTEST
+    counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("_all"), F.count_if(long_).alias("_long"))
+    counts = counts.select(lang, (F.col("_long") > 0).alias("_only"), F.when(F.col("_long") > 0, F.col("_long")).otherwise(F.col("_all")).alias("_n"))
     each = F.lit(sample) / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy()))
-    share = counts.select(F.col(lang).alias("_lang"), (each / F.col("_n")).alias("_share"))
+    share = counts.select(F.col(lang).alias("_lang"), "_only", (each / F.col("_n")).alias("_share"))
     point = (F.xxhash64(F.lit(SEED), F.col(id_col)) % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003.0)
-    some = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), point.alias("_p")).join(F.broadcast(share), "_lang").filter("_p < _share")
+    some = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), point.alias("_p"), long_.alias("_is_long")).join(share, "_lang").filter("_p < _share AND (_is_long OR NOT _only)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -68,3 +68,29 @@ def test_as_a_column(spark):
     told = langid.judged(spark, langs, matrix)
     a = {(r.doc_id, r.p.lang_pred, r.p.score) for r in d.select("doc_id", told("text").alias("p")).collect()}
     assert a == {tuple(r) for r in langid.identify(d, langs, matrix).collect()}
+
+
+def test_scores_against_kernel_ridge_regression():
+    """With every training text a landmark the map spans the kernel, and the margins are those of the dual solution."""
+    rs = [(k, langid.features(t)) for _, t, k, _ in rows(8)]
+    langs, matrix = langid.fit(rs, landmarks=3 * len(rs), ridge=0.5)
+    k = np.array([[kernel(a.tolist(), b.tolist()) for _, b in rs] for _, a in rs])
+    y = np.array([[1.0 if l == g else -1.0 for g in langs] for l, _ in rs])
+    size = {l: sum(x == l for x, _ in rs) for l in langs}
+    weight = np.array([len(rs) / len(langs) / size[l] for l, _ in rs])
+    alpha = np.linalg.solve(k + np.diag(0.5 * len(rs) / len(langs) / weight), y)
+    for t in (EN[:30], DE[20:], ES, "neither of them", "ob es geht"):
+        f = langid.features(t)
+        want = np.array([kernel(f.tolist(), b.tolist()) for _, b in rs]) @ alpha
+        x = np.zeros(langid.N_FEATURES, np.float32)
+        x[f] = 1 / np.sqrt(len(f))
+        assert np.allclose(x @ matrix, want, atol=1e-3)
+        said, score = langid.predict([t], langs, matrix)
+        assert said == [langs[int(want.argmax())]] and np.isclose(score[0], min(1, max(0, (want.max() + 1) / 2)), atol=1e-3)
+
+
+def test_languages_of_short_texts_are_learned(spark):
+    d = spark.createDataFrame([(i, ("uvw xyz", "q")[i % 2] if i % 3 == 0 else EN, "zz" if i % 3 == 0 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    langs, matrix = langid.fit(langid.training_rows(d))
+    assert langs == ["en", "zz"]
+    assert [r.lang_pred for r in langid.identify(d, langs, matrix).orderBy("doc_id").limit(4).collect()] == ["zz", "en", "en", "zz"]
