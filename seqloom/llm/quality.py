@@ -28,8 +28,13 @@ SYMBOL = r"[#*$%&|<>]"
 MARKS = r"[#*$%&<>]{2,}|!!"
 SEPARATOR = r"[|»›•]"
 CLOSED = r"[.!?…:;,\"”»)\x5D][\x20\x09-\x0D]*$"
-#: Phrases of notices and menus, in lower case.
-BOILERPLATE = r"all rights reserved|copyright|cookie|privacy policy|terms of (use|service)|licensed under|released under|general public license|click here|sign (in|up)|log ?in|subscribe|enable javascript|skip to content|read more"
+#: Phrases of notices and menus in English, German, French and Spanish, in lower case.
+BOILERPLATE = (
+    r"all rights reserved|copyright|cookie|privacy policy|terms of (use|service)|licensed under|released under|general public license|click here|sign (in|up)|log ?in|subscribe|enable javascript|skip to content|read more"
+    r"|alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|impressum|hier klicken|newsletter abonnieren|weiterlesen"
+    r"|tous droits r[eé]serv|politique de confidentialit|conditions d.utilisation|mentions l[eé]gales|cliquez ici|se connecter|lire la suite"
+    r"|todos los derechos reservados|pol[ií]tica de privacidad|condiciones de uso|aviso legal|haga clic|iniciar sesi[oó]n|leer m[aá]s"
+)
 MOST_LOST = 30
 
 
@@ -38,20 +43,20 @@ def _q(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
-def line_fails(line: str) -> str:
-    n = f"regexp_count({line}, {_q(WORD)})"
-    seps = f"regexp_count({line}, {_q(SEPARATOR)})"
-    return (
-        f"(10 * regexp_count({line}, {_q(MARKS)}) > 3 * {n} OR ({seps} >= 3 AND 10 * {seps} > 2 * {n})"
-        f" OR ({n} < 5 AND NOT {line} RLIKE {_q(CLOSED)}) OR ({n} < 40 AND lower({line}) RLIKE {_q(BOILERPLATE)}))"
-    )
-
-
 def _let(value: str, name: str, body: str) -> str:
     """body, with name standing for value, which is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def line_fails(line: str) -> str:
+    """Whether a line that holds a word fails; its words and separators are counted once. The dear test comes last."""
+    fails = (
+        f"(10 * regexp_count({line}, {_q(MARKS)}) > 3 * n OR (n < 5 AND NOT {line} RLIKE {_q(CLOSED)})"
+        f" OR {_let(f'regexp_count({line}, {_q(SEPARATOR)})', 'c', 'c >= 3 AND 10 * c > 2 * n')} OR (n < 40 AND lower({line}) RLIKE {_q(BOILERPLATE)}))"
+    )
+    return _let(f"regexp_count({line}, {_q(WORD)})", "n", fails)
+
+
 REPEATED = _let(
     "sort_array(CASE WHEN size(_words) < 4 THEN NULL ELSE transform(sequence(0, size(_words) - 3), i -> struct(concat_ws(' ', get(_words, i), get(_words, i + 1), get(_words, i + 2)) AS g, i AS i)) END)",
     "s",
