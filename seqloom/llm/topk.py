@@ -6,6 +6,9 @@ is an upper bound of the score, that is, a lower bound of the distance. It is ta
 of 4 components: only pairs whose coarse bound reaches the query's k-th best score so far are bounded
 more finely, and only survivors are scored exactly, as integers.
 
+Every query starts with a bar: its k-th best score among the FIRST longest candidates, which are sent to where the queries are. So
+all parts prune from their first candidate on, and no part has to find the good ones itself.
+
 Queries and candidates are grouped in blocks. Every query block meets every candidate block once, in a task of its own,
 which holds at most QUERIES queries and one bounded part of the candidates; each task returns k rows a query, and the
 parts' lists are merged by a window on the query.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import table
 
-K, QUERIES_A_BLOCK, PART, SCALE, STEP = 10, 2048, 16384, 1024, 1024
+K, QUERIES_A_BLOCK, PART, SCALE, STEP, FIRST = 10, 2048, 16384, 1024, 1024, 2048
 RATIOS = (16, 4)
 
 
@@ -48,12 +51,13 @@ def exact(q: np.ndarray, x: np.ndarray, safe: bool) -> np.ndarray:
     return np.array([min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(r, s)))) for r, s in zip(q, x)], np.int64)
 
 
-def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The k best of x for each of q: query numbers, ids, scores; and how many pairs were scored exactly."""
+def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int = K, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k best of x for each of q, of those that reach its first bar: query numbers, ids, scores; and how many pairs were scored
+    exactly."""
     nq, dim = q.shape
     safe = bool(dim * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**52)
     out_q, out_id, out_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bar = np.full(nq, -np.inf)  # the k-th best score so far
+    bar = np.full(nq, -np.inf) if first is None else first.copy()  # the k-th best score so far
     levels = [r for r in RATIOS if r < dim]
     qq = {r: segments(q, r) for r in levels}
     q_len = np.sqrt((q * q).sum(axis=1))
@@ -85,7 +89,7 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
         start = np.searchsorted(out_q, np.arange(nq))
         place = np.arange(len(out_q)) - start[out_q]
         full = place == k - 1
-        bar[out_q[full]] = out_s[full].astype(np.float64)
+        bar[out_q[full]] = np.maximum(bar[out_q[full]], out_s[full].astype(np.float64))
         best = place < k
         out_q, out_id, out_s = out_q[best], out_id[best], out_s[best]
     return out_q, out_id, out_s, scored
@@ -112,13 +116,35 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, n
     return out
 
 
+def barred(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """queries with bar: the k-th best score among the FIRST longest candidates (of no more bytes than that times a vector's), or none."""
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    top = candidates.orderBy(norm.desc(), "id").limit(FIRST).toArrow()
+    sent = queries.sparkSession.sparkContext.broadcast((top["id"].to_numpy(), _matrix(top["v"])) if len(top) else (np.zeros(0, np.int64), {}))
+
+    def run(batches):
+        ids, by = sent.value
+        for b in batches:
+            bar = np.full(b.num_rows, -np.inf)
+            for n, (rows, m) in _matrix(b.column(1)).items():
+                if n in by and len(by[n][0]) > k and n * float(np.abs(m).max()) * float(np.abs(by[n][1]).max()) < 2**52:
+                    own = b.column(0).to_numpy()[rows]
+                    for at in range(0, len(rows), 1024):
+                        s = m[at : at + 1024] @ by[n][1].T
+                        s[own[at : at + 1024, None] == ids[by[n][0]][None, :]] = -np.inf
+                        bar[rows[at : at + 1024]] = np.partition(s, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bar)], names=["id", "v", "bar"])
+
+    return queries.select("id", "v").mapInArrow(run, "id bigint, v array<double>, bar double")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, not counting a candidate with the query's own id."""
     q, c = usable(queries, id_col, vector).groupBy("id").agg(F.min("v").alias("v")), usable(candidates, id_col, vector)
     n_q, n_c = q.count(), c.count()
     blocks, parts = max(1, -(-n_q // QUERIES_A_BLOCK)), max(1, -(-n_c // PART))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = q.withColumn("block", spread(blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    q = barred(q, c, k).withColumn("block", spread(blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     c = c.withColumn("part", spread(parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -128,7 +154,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str =
             a_id, b_id = a["id"].to_numpy(), b["id"].to_numpy()
             for n, (rows, m) in qs.items():
                 if n in cs:
-                    i, ids, s, _ = search(a_id[rows], m, b_id[cs[n][0]], cs[n][1], k)
+                    i, ids, s, _ = search(a_id[rows], m, b_id[cs[n][0]], cs[n][1], k, a["bar"].to_numpy()[rows])
                     found.append(pa.table({"query_id": a_id[rows][i], "vec_id": ids, "score": pa.array(s.tolist(), pa.int64())}))
         return pa.concat_tables(found) if found else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
 

@@ -55,3 +55,14 @@ def test_query_rows_of_one_id_are_one_query(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r["rank"], r.vec_id, r.score) for r in topk.nearest(d.filter("vec_id = 0"), d).orderBy("rank").collect()]
     assert got == [(k, k, 512 * (1024 // k)) for k in range(1, 11)]
+
+
+def test_first_bars_lose_nothing(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=8).astype(np.float32).tolist()) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(30)] + [(400, [1.0] * 5), (401, [2.0] * 5)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for first in (0, 5, 40, 1000):
+        monkeypatch.setattr(topk, "FIRST", first)
+        got[first] = sorted(map(tuple, topk.nearest(d.filter("vec_id % 7 = 0 OR vec_id >= 400"), d).collect()))
+    assert got[0] == got[5] == got[40] == got[1000] and len(got[0]) > 400
