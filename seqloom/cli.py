@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from seqloom.operators import align, chunking, ordinals, records
 from seqloom.options import Options, parse
 from seqloom.sinks import sam
 from seqloom.sources import fastq
+from seqloom.storage import cut
 
 COLUMNS = ("name", "comment", "seq", "qual", "l_seq")
 
@@ -82,18 +85,28 @@ def main(args: list[str]) -> int:
     options = parse(rest)
     if not options.output:
         raise SystemExit("-o is needed")
+    seconds, began = {}, time.time()
+
+    def phase(name: str) -> None:
+        nonlocal began
+        seconds[name], began = round(time.time() - began, 2), time.time()
+
     index = refindex.load(options.inputs[0])
+    phase("index")
     header = records.header(index, options, "seqloom " + " ".join(args))
-    lines = lines_of(spark, options).persist()
+    if command not in ("mem", "mem-by-contig"):
+        raise SystemExit(f"unknown command {command}")
+    lines = cut(lines_of(spark, options))
+    phase("align")
     if command == "mem":
-        sam.write(lines, f"{options.output}.{sam.SUFFIX[options.output_format]}", header, options.output_format)
-    elif command == "mem-by-contig":
-        paired = len(options.inputs) == 3 or options.interleaved
-        sam.write_by_destination(lines, options.output, header, index.names, options.output_format, paired and not options.fix_mates)
+        path = f"{options.output}.{sam.SUFFIX[options.output_format]}"
+        sizes = {path: sam.write(lines, path, header, options.output_format)}
     else:
-        raise SystemExit(f"unknown command {command}")
-    print(statistics(lines), file=sys.stderr)
-    lines.unpersist()
+        paired = len(options.inputs) == 3 or options.interleaved
+        paths = sam.write_by_destination(lines, options.output, header, index.names, options.output_format, paired and not options.fix_mates)
+        sizes = {p: os.path.getsize(p) for p in paths}
+    phase("write")
+    print({**statistics(lines), "seconds": seconds, "bytes": sizes}, file=sys.stderr)
     return 0
 
 

@@ -1,9 +1,15 @@
-"""SAM text, one file or a file a destination, plain or in blocks."""
+"""SAM text, one file or a file a destination, plain or in blocks.
+
+Lines are sorted once by destination and place. Every task writes its lines to parts in the shared folder and tells their sizes;
+with these the parts' places in the files are known, and tasks copy them there. The driver sees a row a part, and writes headers.
+"""
 
 from __future__ import annotations
 
 import gzip
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,65 +20,99 @@ from seqloom.operators import routing
 from seqloom.sinks import bgzf
 
 SUFFIX = {"sam": "sam", "bam": "bam", "gz": "gz"}
+ORDER = ("chunk_id", "idx", "line")
 
 
-def _parts(lines: DataFrame, kind: str) -> DataFrame:
-    """part, data: the partitions' lines in order, as bytes."""
-    order = ["chunk_id", "idx", "line"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts():
-            for b in batches:
-                yield from b.column(0).to_pylist()
+def _chunks(texts: Iterator[str], kind: str) -> Iterator[bytes]:
+    if kind == "sam":
+        return (t.encode() + b"\n" for t in texts)
+    return bgzf.blocks(texts)
 
-        n = 0
-        if kind == "sam":
-            chunks = (("\n".join(x) + "\n").encode() for x in _bunches(texts()))
-        else:
-            chunks = bgzf.blocks(texts())
-        for c in chunks:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([c], pa.binary())], names=["n", "data"])
-            n += 1
 
-    x = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("sam")
-    return x.mapInArrow(run, "n bigint, data binary").select(F.spark_partition_id().alias("part"), "n", "data")
+def _parts(lines: DataFrame, folder: str, kind: str) -> DataFrame:
+    """dest, part, file, bytes of the parts that hold lines (dest and a line's fields), in order."""
 
-
-def _bunches(texts, most: int = 1000):
-    held = []
-    for t in texts:
-        held.append(t)
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+
+        todo = rows()
+        held = next(todo, None)
+        while held is not None:
+            dest, part, _ = held
+
+            def same():
+                nonlocal held
+                while held is not None and held[0] == dest:
+                    yield held[2]
+                    held = next(todo, None)
+
+            # a task that runs again writes other files
+            file = f"{folder}/{uuid.uuid4().hex}"
+            with open(file, "wb") as f:
+                for c in _chunks(same(), kind):
+                    f.write(c)
+            yield pa.RecordBatch.from_arrays([pa.array([dest]), pa.array([part], pa.int32()), pa.array([file]), pa.array([os.path.getsize(file)], pa.int64())], names=["dest", "part", "file", "bytes"])
+
+    x = lines.repartitionByRange("dest", *ORDER).sortWithinPartitions("dest", *ORDER).select("dest", F.spark_partition_id().alias("part"), "sam")
+    return x.mapInArrow(run, "dest string, part int, file string, bytes bigint")
+
+
+def _copied(spark, places: list[tuple[str, str, int]]) -> None:
+    """Parts (file, path, place) copied into their files, and deleted."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, path, place in zip(*(c.to_pylist() for c in b.columns)):
+                with open(file, "rb") as f, open(path, "r+b") as g:
+                    g.seek(place)
+                    shutil.copyfileobj(f, g, 1 << 20)
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["file"])
+
+    if places:
+        d = spark.createDataFrame(places, "file string, path string, place long").repartition(max(1, min(len(places), spark.sparkContext.defaultParallelism)))
+        for r in d.mapInArrow(copy, "file string").toLocalIterator():
+            os.remove(r.file)
+
+
+def write_all(lines: DataFrame, paths: dict[str, str], header: str, kind: str = "sam") -> dict[str, int]:
+    """A file for each destination of lines (dest), with the header; the files' sizes. The paths are in a folder that all executors see."""
+    head = header.encode()
+    if kind != "sam":
+        head = b"".join(bgzf.block(head[i : i + bgzf.MOST]) for i in range(0, len(head), bgzf.MOST))
+    tail = bgzf.END if kind == "bam" else b""
+    for p in paths.values():
+        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
+    folder = f"{os.path.dirname(os.path.abspath(next(iter(paths.values()))))}/.parts-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    found = sorted((r.part, r.dest, r.file, r.bytes) for r in _parts(lines, folder, kind).toLocalIterator())
+    size, places = {d: len(head) for d in paths}, []
+    for _, dest, file, n in found:
+        places.append((file, os.path.abspath(paths[dest]), size[dest]))
+        size[dest] += n
+    for dest, path in paths.items():
+        with open(path, "wb") as f:
+            f.write(head)
+            f.seek(size[dest])
+            f.write(tail)
+            f.truncate(size[dest] + len(tail))
+    _copied(lines.sparkSession, places)
+    shutil.rmtree(folder)
+    return {d: n + len(tail) for d, n in size.items()}
 
 
 def write(lines: DataFrame, path: str, header: str, kind: str = "sam") -> int:
-    """One file in order of chunk, read and line, streamed through the driver part by part. Returns the number of bytes."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "wb") as f:
-        head = header.encode()
-        f.write(head if kind == "sam" else b"".join(bgzf.block(head[i : i + bgzf.MOST]) for i in range(0, len(head), bgzf.MOST)))
-        for r in _parts(lines, kind).orderBy("part", "n").toLocalIterator():
-            f.write(r.data)
-        if kind == "bam":
-            f.write(bgzf.END)
-        return f.tell()
+    """One file in order of chunk, read and line. Returns the number of bytes."""
+    return write_all(lines.withColumn("dest", F.lit("")), {"": path}, header, kind)[""]
 
 
 def write_by_destination(lines: DataFrame, folder: str, header: str, contigs: list[str], kind: str = "sam", discordant: bool = True) -> list[str]:
     """A file for each contig, for unmapped, and with discordant for the copies; all with the header."""
-    routed = routing.route(lines, discordant=discordant).persist()
     names = [*contigs, *(["discordant"] if discordant else []), "unmapped"]
-    out = []
-    for name in names:
-        path = f"{folder}/{name}.{SUFFIX[kind]}"
-        write(routed.filter(F.col("dest") == name), path, header, kind)
-        out.append(path)
-    routed.unpersist()
-    return out
+    paths = {n: f"{folder}/{n}.{SUFFIX[kind]}" for n in names}
+    write_all(routing.route(lines, discordant=discordant), paths, header, kind)
+    return list(paths.values())
 
 
 def read(path: str) -> list[str]:

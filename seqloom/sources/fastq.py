@@ -1,10 +1,12 @@
 """FASTQ as a data source, split on record boundaries.
 
-A byte range starts at the first line that begins with @ and whose second next begins with +: an @ can also be a quality.
+A byte range starts at the first line that begins with @ and whose second next begins with +: an @ can also be a quality. A gzip
+file is one range, as it can't be entered in its middle; offset and bytes are then those of its unpacked text.
 """
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 
@@ -59,9 +61,14 @@ class FastqReader(DataSourceReader):
         self.bytes = int(options.get("bytes", 64 << 20))
 
     def partitions(self):
-        return [Range(p, at, min(at + self.bytes, os.path.getsize(p))) for p in self.paths for at in range(0, max(1, os.path.getsize(p)), self.bytes)]
+        return [Range(p, 0, -1) for p in self.paths if p.endswith(".gz")] + [Range(p, at, min(at + self.bytes, os.path.getsize(p))) for p in self.paths if not p.endswith(".gz") for at in range(0, max(1, os.path.getsize(p)), self.bytes)]
 
     def read(self, partition):
+        if partition.end < 0:
+            with gzip.open(partition.path, "rb") as f:
+                for p, n, name, comment, seq, qual in records(f, 0, 1 << 62):
+                    yield partition.path, p, n, name, comment, seq, qual, len(seq)
+            return
         with open(partition.path, "rb") as f:
             size = os.path.getsize(partition.path)
             start, end = next_record(f, partition.start, size), next_record(f, partition.end, size) if partition.end < size else size

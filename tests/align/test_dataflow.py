@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import chunking, insert_size, ordinals, routing
+from seqloom.operators import chunking, insert_size, intervals, ordinals, routing, seeding
 from seqloom.sinks import bgzf, sam
 from seqloom.sources import fastq
 
@@ -31,6 +31,53 @@ def test_fastq_splits(spark, tmp_path, split):
     assert all(text[r.offset] == "@" for r in got) and [r.l_seq for r in got] == [len(r[2]) for r in rows]
 
 
+def test_compressed_fastq(spark, tmp_path):
+    text, rows = fastq_text(25)
+    p = tmp_path / "a.fastq.gz"
+    p.write_bytes(gzip.compress(text[:400].encode()) + gzip.compress(text[400:].encode()))
+    got = fastq.read(spark, str(p), 100).orderBy("offset").collect()
+    assert [(r.name, r.comment, r.seq, r.qual) for r in got] == rows and all(text[r.offset] == "@" for r in got)
+
+
+def test_kmers_and_their_joins(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    text = lambda n: "".join("acgtn"[i] for i in rnd.choice(5, n, p=[0.24, 0.24, 0.24, 0.24, 0.04]))
+    q, r = [(i, text(int(rnd.integers(0, 200)))) for i in range(20)] + [(99, None)], [(i, text(150)) for i in range(5)] + [(7, "acgt" * 20)]
+    dq, dr = spark.createDataFrame(q, "a long, s string"), spark.createDataFrame(r, "b long, s string")
+    k = 5
+    at = lambda s: [(i, s[i : i + k]) for i in range(len(s or "") - k + 1) if "n" not in s[i : i + k]]
+    want = sorted((i, j, x, y) for i, s in q for x, u in at(s) for j, t in r for y, v in at(t) if u == v)
+    often = {u for u in {u for _, t in r for _, u in at(t)} if sum(u == v for _, t in r for _, v in at(t)) > 2}
+    for few in (10**6, 0):
+        monkeypatch.setattr(seeding, "FEW", few)
+        assert sorted((h.a, h.b, h.qpos, h.rpos) for h in seeding.exact_join(dq, "a", dr, "b", "s", k).collect()) == want
+        got = seeding.repeated(dq, "a", dr, "b", "s", k, 2).collect()
+        assert sorted((h.a, h.pos) for h in got) == sorted((i, x) for i, s in q for x, u in at(s) if u in often)
+
+
+def test_places_in_long_and_short_ranges(spark):
+    ends = [0, 1, 3, 1000, 1001, 90_000, 5_000_000]
+    r = spark.createDataFrame([(i, a, b - a) for i, (a, b) in enumerate(zip(ends, ends[1:]))] + [(9, 7_000_000, 10), (10, 8, 0)], "rid long, off long, len long")
+    points = [0, 1, 2, 3, 999, 1000, 1001, 89_999, 90_000, 4_999_999, 5_000_000, 7_000_009, 7_000_010]
+    p = spark.createDataFrame([(x,) for x in points], "pos long")
+    got = {x.pos: x.rid for x in intervals.locate(p, "pos", r, "off", "len").collect()}
+    assert got == {x: i for x in points for i, (a, b) in [*enumerate(zip(ends, ends[1:])), (9, (7_000_000, 7_000_010))] if a <= x < b}
+    assert intervals.locate(p, "pos", r.limit(0), "off", "len").collect() == []
+
+
+def test_empty_reads_keep_their_chunk(spark):
+    bases = [0, 0, 50, 60, 0, 0, 120, 0, 10]
+    want, chunk, held = [], 0, 0
+    for b in bases:
+        want.append(chunk)
+        held += b
+        if held > 100:
+            chunk, held = chunk + 1, 0
+    for parts in (1, 4):
+        d = spark.createDataFrame([(i, b) for i, b in enumerate(bases)], "ordinal long, bases long").repartition(parts)
+        assert [r.chunk_id for r in chunking.variable(d, "ordinal", "bases", 100).orderBy("ordinal").collect()] == want
+
+
 def test_bad_fastq(spark, tmp_path):
     p = tmp_path / "b.fastq"
     p.write_text("@a\nACGT\n+\nIII\n")
