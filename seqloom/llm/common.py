@@ -94,7 +94,7 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return known, index, sizes
 
 
-def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(texts: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of bounded size: the first row and the texts."""
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     at = 0
@@ -107,10 +107,11 @@ def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.
 
 def tidied(f):
     """f, a function of a batch iterator, which gives its free memory back to the system when it ends: Python workers stay
-    for later tasks, whose memory adds to what they keep."""
+    for later tasks, whose memory adds to what they keep. Arrow takes its memory from the system, not from a pool that keeps it."""
 
     @functools.wraps(f)
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from f(batches)
         give_back()
 
