@@ -257,17 +257,19 @@ def rest_pairs(postings: DataFrame, labels: DataFrame, by: Bounds) -> DataFrame:
     equal coordinates; and in place of the pairs of a member that has more than CROWD of them, the members of that crowd
     (key, x, y, a: list and blocks), b null."""
 
-    def open_(p: DataFrame) -> DataFrame:
-        """p with n, the length of its list, where that holds several components."""
-        return p.join(p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "n"), "key")
-
-    p = postings.join(labels, "id", "left").select("key", F.shiftright("key", 32).cast("int").alias("coord"), "id", F.coalesce("label", "id").alias("label"), "low")
-    p = stored(open_(p))
-    # of the coordinates left, as many as the first prefix had: its others whole, and the low byte of the next one
-    again = [F.when(F.col("coord") != j, F.xxhash64("key", F.lit(j), F.substring("low", 4 * j + 1, 4))) for j in range(by.prefix)]
-    again.append(F.xxhash64("key", F.lit(by.prefix), F.substring("low", 4 * by.prefix + 1, 1)))
-    hot = p.filter(F.col("n") > HOT).select(F.explode(F.array_compact(F.array(*again))).alias("key"), "coord", "id", "label", "low")
-    p = p.filter(F.col("n") <= HOT).unionByName(open_(hot))
+    def several(p: DataFrame) -> DataFrame:
+        """Lists that hold several components, and their lengths n."""
+        return stored(p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "n"))
+
+    every = postings.join(labels, "id", "left").select("key", F.shiftright("key", 32).cast("int").alias("coord"), "id", F.coalesce("label", "id").alias("label"), "low")
+    open_ = several(every)
+    p = every.join(open_.filter(F.col("n") <= HOT), "key")
+    if not open_.filter(F.col("n") > HOT).isEmpty():
+        # of the coordinates left, as many as the first prefix had: its others whole, and the low byte of the next one
+        again = [F.when(F.col("coord") != j, F.xxhash64("key", F.lit(j), F.substring("low", 4 * j + 1, 4))) for j in range(by.prefix)]
+        again.append(F.xxhash64("key", F.lit(by.prefix), F.substring("low", 4 * by.prefix + 1, 1)))
+        hot = every.join(open_.filter(F.col("n") > HOT).select("key"), "key").select(F.explode(F.array_compact(F.array(*again))).alias("key"), "coord", "id", "label", "low")
+        p = p.unionByName(hot.join(several(hot), "key"))
     # blocks of a list that is still long meet in pairs: a member of block i goes to (i, j) or (j, i) for every j
     p = p.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     p = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
