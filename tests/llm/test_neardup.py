@@ -56,8 +56,6 @@ def got(spark, rows):
 def test_against_brute_force(spark, monkeypatch):
     rows = made()
     assert got(spark, rows) == brute(rows)
-    monkeypatch.setattr(neardup, "HOT", 5)
-    assert got(spark, rows) == brute(rows)
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(neardup, "FEW", 0)
     monkeypatch.setattr(neardup, "CROWD", 2)
