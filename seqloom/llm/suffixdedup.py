@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bounded_batches, stored, table
+from seqloom.llm.common import bounded_batches, cut, stored, table
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM  # bytes on either side of an anchor that a string can cover
 SHALLOW = 32
 #: Surroundings of an anchor that stand together, and the ranges of its places in a string by which more are dealt out.
 HOT, PLACES = 2000, (0, 20, 40, 60, REACH + 1)
+#: Such anchors that are broadcast at most (8 MB).
+FEW = 1_000_000
 PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -408,8 +410,12 @@ def _matrices(n_before: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
 def dealt(around: DataFrame, opened: DataFrame) -> DataFrame:
     """around, h of anchors with many surroundings replaced by hashes of the bytes that a string covers wherever in a range the anchor
     stands in it: a row for each range for which the text has those bytes."""
-    hot = opened.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
-    x = around.join(hot, "h", "left")
+    hot = cut(opened.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
+    n = hot.count()
+    if not n:
+        return around
+    # the hot ones themselves must not meet in a task of the join
+    x = around.join(F.broadcast(hot) if n <= FEW else hot, "h", "left")
     keys = []
     for lo, hi in zip(PLACES, PLACES[1:]):
         after = LENGTH + 1 - hi
