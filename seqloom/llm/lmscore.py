@@ -47,7 +47,7 @@ from seqloom.llm.common import bounded_batches, coded_words, crc_mod, removed, s
 
 #: Slots at most, by context; the least; slots of a slab; tables added at a time.
 TABLE_BITS, LEAST_BITS, SLAB_BITS, FAN = (23, 20, 21, 22), 18, 18, 32
-CONTEXTS, STATES, GATES = 4, 8, 72
+CONTEXTS, STATES, GATES = 4, 10, 72
 #: Words of the text's kind are told apart by a hash of so many bits, and are at most so long.
 KIND_BITS, KIND_LENGTH = 10, 4
 #: One place in so many begins a stretch; stretches of the text that its odds look back on.
@@ -105,7 +105,7 @@ def _clustered(x: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
         chosen.append(int(((1 - (unit @ unit[chosen].T).max(axis=1)) ** 2 * weight).argmax()))
     centre = unit[chosen]
     own = np.zeros(len(x), np.int64)
-    for _ in range(4 if chosen else 0):
+    for _ in range(6 if chosen else 0):
         own = (unit @ centre.T).argmax(axis=1)
         for k in range(len(chosen)):
             if (own == k).any():
@@ -114,9 +114,43 @@ def _clustered(x: np.ndarray, kinds: int = STATES - 1) -> np.ndarray:
     return np.stack([x[own == k].sum(axis=0) for k in range(len(chosen)) if (own == k).any()]) if chosen else np.zeros((0, x.shape[1]), np.float32)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[9:14] = SPACE
+
+
+def _short(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of words of at most KIND_LENGTH bytes that stand in flat: the column that they count in."""
+    word = np.zeros(len(at), np.uint32)
+    for i in range(KIND_LENGTH):
+        byte = flat[np.minimum(at + i, len(flat) - 1)].astype(np.uint32)
+        word = np.where(length > i, word << np.uint32(8) | byte, word)
+    return ((word * np.uint32(2654435761)) >> np.uint32(32 - KIND_BITS)).astype(np.int64)
+
+
 def _kind_words(batch: Batch) -> np.ndarray:
     """Of each word, the column that it counts in, or -1."""
-    return np.array([xxhash.xxh3_64_intdigest(w) >> 64 - KIND_BITS if len(w) <= KIND_LENGTH and w != END else -1 for w in batch.words], np.int64)
+    flat, at, length, _ = batch.flat
+    out = np.full(len(at), -1)
+    some = np.flatnonzero((length <= KIND_LENGTH) & (np.arange(len(at)) > 0))
+    out[some] = _short(flat, at[some], length[some])
+    return out
+
+
+def kind_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often each byte is spelled in texts, about: letters in lower case, white space as one space, and an end each; and the
+    short words of each text, by column."""
+    rows = texts.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pylist()
+    flat = np.take(_LOWER, np.frombuffer(b" ".join([b"", *rows, b""]), np.uint8))
+    n = np.bincount(flat, minlength=256).astype(np.int64)
+    n[LINE] = len(texts)
+    spaces = np.flatnonzero(flat == SPACE)
+    length = np.diff(spaces) - 1
+    short = np.flatnonzero((length > 0) & (length <= KIND_LENGTH))
+    at = spaces[short] + 1
+    row = np.searchsorted(np.cumsum([len(r) + 1 for r in rows]), at, "right")
+    column = _short(flat, at, length[short])
+    return n, np.bincount(row << KIND_BITS | column, minlength=len(texts) << KIND_BITS).reshape(len(texts), -1).astype(np.float32)
 
 
 class Topics:
@@ -204,26 +238,28 @@ class Batch:
         # edges c: of the units' bytes from the third on, those of different beginnings
         word, kind = units >> 4, (units & 15).astype(np.uint64)
         n = np.maximum(0, length[word] - 1) * (word > 0)
-        self.owner = np.repeat(np.arange(len(units)), n)
-        place = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n) + 2
-        where = at[word][self.owner] + place
-        key = (so_far[where] + kind[self.owner] * _mult[18]) * _mult[19]
-        self.c, _, fresh = _first_of(key)
+        self.owner = np.repeat(np.arange(len(units), dtype=np.int32), n)
+        place = np.arange(len(self.owner), dtype=np.int32) - np.repeat((np.cumsum(n) - n - 2).astype(np.int32), n)
+        where = at.astype(np.int32)[word][self.owner] + place
+        self.c, fresh = _first_of((so_far[where] + kind[self.owner] * _mult[18]) * _mult[19])
         where, place, kind = where[fresh], place[fresh], kind[self.owner[fresh]]
-        wide = flat.astype(np.uint64) + np.uint64(1)
-        p = [wide[where - 1], wide[where - 2], *(np.where(place >= k, wide[np.maximum(0, where - k)], np.uint64(0)) for k in (3, 4, 5))]
-        # the space before the word, where a context reaches it
-        for k in (3, 4, 5):
-            p[k - 1][place == k - 1] = SPACE + 1
+        # the bytes before, nine bits each from 1 on, the last one first; the space before the word where a context reaches it
+        before_c = np.zeros(len(where), np.uint64)
+        for k in range(1, 6):
+            byte = flat[np.maximum(0, where - k)].astype(np.uint64) + np.uint64(1)
+            if k > 2:
+                byte[place < k] = 0
+                byte[place == k - 1] = SPACE + 1
+            before_c = before_c << np.uint64(9) | byte
         one = np.uint64(1)
         ua, ub = a.astype(np.uint64), b.astype(np.uint64)
         byte_of = lambda x, shift: (x >> np.uint64(shift)) & np.uint64(255)
-        begins = byte_of(ua, 8) == LINE
-        space_a, space_b = np.where(begins, np.uint64(LINE), np.uint64(SPACE)), np.where(byte_of(ub, 16) == LINE, np.uint64(LINE), np.uint64(SPACE))
-        none_a, none_b = np.zeros(len(a), np.uint64), np.zeros(len(b), np.uint64)
-        before_a = [space_a + one, byte_of(ua, 8) + one, byte_of(ua, 16) + one, none_a, none_a]
-        before_b = [byte_of(ub, 8) + one, space_b + one, byte_of(ub, 16) + one, none_b, none_b]
-        self.previous = [np.concatenate(x) for x in zip(before_a, before_b, p)]
+        packed = lambda *x: functools.reduce(lambda y, z: y << np.uint64(9) | z + one, x, np.zeros(len(x[0]), np.uint64)) << np.uint64(18)
+        space_a, space_b = (np.where(x == LINE, np.uint64(LINE), np.uint64(SPACE)) for x in (byte_of(ua, 8), byte_of(ub, 16)))
+        before_a = packed(space_a, byte_of(ua, 8), byte_of(ua, 16))
+        before_b = packed(byte_of(ub, 8), space_b, byte_of(ub, 16))
+        self.previous = np.concatenate([before_a, before_b, before_c])
+        none_a = np.zeros(len(a), np.uint64)
         self.head = np.concatenate([none_a + _mult[20], byte_of(ub, 8) * _mult[21] + _mult[22], so_far[where - 1]])
         self.kind = np.concatenate([ua >> np.uint64(24), ub >> np.uint64(24), kind])
         self.place = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(b), np.int32), np.full(len(where), 2, np.int32)])
@@ -263,12 +299,14 @@ def _beginnings(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndar
     return head
 
 
-def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of keys in the order of their first places, the keys, and those places."""
+def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of keys in the order of their first places, and those places."""
     code, keys = pd.factorize(key)
-    fresh = np.empty(len(keys), np.int64)
-    fresh[code[::-1]] = np.arange(len(key))[::-1]
-    return code, keys, fresh
+    code, n = code.astype(np.int32), len(keys)
+    del keys
+    fresh = np.empty(n, np.int32)
+    fresh[code[::-1]] = np.arange(len(key), dtype=np.int32)[::-1]
+    return code, fresh
 
 
 class Coder:
@@ -281,12 +319,8 @@ class Coder:
 
     def decisions(self, batch: Batch, some: slice | np.ndarray):
         """Of some edges: side, slots (contexts x decisions), gate place, last byte, edge of each decision (its place in some)."""
-        prev = [x[some] for x in batch.previous]
-        kind, byte = batch.kind[some], batch.byte[some]
-        nine = np.uint64(9)
-        two = prev[0] << nine | prev[1]
-        three = two << nine | prev[2]
-        five = (three << nine | prev[3]) << nine | prev[4]
+        five, kind, byte = batch.previous[some], batch.kind[some], batch.byte[some]
+        two, three = five >> np.uint64(27), five >> np.uint64(18)
         contexts = (batch.head[some] + (kind << np.uint64(58)) * _mult[8], (two + (kind << np.uint64(40))) * _mult[3], (three + np.uint64(1)) * _mult[4], (five + np.uint64(2)) * _mult[5])
         reps = self.length[byte]
         at = np.repeat(np.arange(len(byte), dtype=np.int32), reps)
@@ -300,7 +334,7 @@ class Coder:
             h *= _mult[7]
             h >>= np.uint64(64 - bits)
             slots.append(h.view(np.int64))
-        return np.take(self.side.ravel(), cell, mode="clip"), slots, np.take(batch.place[some], at, mode="clip"), np.take(prev[0].astype(np.int32) - 1, at, mode="clip"), at
+        return np.take(self.side.ravel(), cell, mode="clip"), slots, np.take(batch.place[some], at, mode="clip"), np.take((five >> np.uint64(36)).astype(np.int32) - 1, at, mode="clip"), at
 
 
 #: A count as a small number: exact below 32, then in sixteen steps an octave, as the head of a float.
@@ -495,18 +529,6 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return stored(rows.withColumn("part", F.spark_partition_id().cast("long")))
 
 
-def byte_counts(texts: pa.Array) -> np.ndarray:
-    """How often each byte is spelled in texts, about: letters in lower case, white space as one space, and an end each."""
-    raw = b"\n".join(texts.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_pylist())
-    n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(np.int64)
-    n[97:123] += n[65:91]
-    n[65:91] = 0
-    n[SPACE] += n[9:14].sum()
-    n[9:14] = 0
-    n[LINE] = len(texts)
-    return n
-
-
 def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
     """How often each byte stands in the training texts, and their kinds: clusters of each slice of texts, clustered again."""
 
@@ -514,13 +536,9 @@ def kinds(train: DataFrame) -> tuple[np.ndarray, Topics]:
         total, held = np.zeros(256, np.int64), np.zeros((0, 1 << KIND_BITS), np.float32)
         for b in batches:
             for _, texts in text_slices(b.column(0), BATCH):
-                one = Batch(texts, None)
-                total += byte_counts(texts)
-                column = _kind_words(one)[one.token]
-                row = np.repeat(np.arange(len(texts)), one.size)
-                use = column >= 0
-                tf = np.bincount(row[use] << KIND_BITS | column[use], minlength=len(texts) << KIND_BITS).reshape(len(texts), -1).astype(np.float32)
-                held = _clustered(np.vstack([held, tf]))
+                n, words = kind_counts(texts)
+                total += n
+                held = _clustered(np.vstack([held, words]))
         if total.any():
             yield _row(0, pickle.dumps((total, held)))
 

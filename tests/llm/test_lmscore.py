@@ -195,7 +195,7 @@ def test_decisions_make_a_distribution(spark):
     # every byte as the first one after "ab ", of the second kind
     n = lambda x: np.full(256, x, np.uint64)
     one = lmscore.Batch([], model.coder.topics)
-    one.previous, one.head, one.kind = [n(33), n(ord("b") + 1), n(ord("a") + 1), n(0), n(0)], n(lmscore._mult[20]), n(1)
+    one.previous, one.head, one.kind = n((33 << 18 | ord("b") + 1 << 9 | ord("a") + 1) << 18), n(lmscore._mult[20]), n(1)
     one.place, one.byte = np.zeros(256, np.int64), np.arange(256).astype(np.uint8)
     assert math.isclose((10 ** model.edge_scores(one)).sum(), 1, rel_tol=1e-3)
 
@@ -218,3 +218,16 @@ def test_words_of_slices():
         one = lmscore.Batch(pa.array(texts).slice(at), None)
         want = [w for t in texts[at:] for w in words_of(t)]
         assert [one.words[i] for i in one.token.tolist()] == want
+
+
+def test_kinds_of_words_agree():
+    """Short words count in one column, whether they are found in texts or among tokens; bytes are those that are spelled."""
+    texts = ["the Cat  sat\ton", None, "", " é a toolong ab\n", "the the"]
+    n, counts = lmscore.kind_counts(pa.array(texts))
+    b = lmscore.Batch(texts, None)
+    column = lmscore._kind_words(b)[b.token]
+    row = np.repeat(np.arange(len(texts)), b.size)
+    want = np.zeros_like(counts)
+    np.add.at(want, (row[column >= 0], column[column >= 0]), 1)
+    assert (counts == want).all() and counts.sum() == 9
+    assert n[ord("t")] == 6 and n[ord("c")] == 1 and n[ord("C")] == 0 and n[lmscore.LINE] == 5
