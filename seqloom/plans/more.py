@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import uuid
 
@@ -18,7 +19,7 @@ from seqloom.operators.batch import Batch, Seeder
 from seqloom.options import Options
 from seqloom.plans import catalog as C
 from seqloom.plans.align_queries import INDEX_SQL, LETTERS, MAP, indexed, planted, PLANTED_SQL, READ
-from seqloom.sinks import bgzf
+from seqloom.sinks import bgzf, sam
 from seqloom.sources import fastq
 from seqloom.storage import shared_dir
 
@@ -490,6 +491,25 @@ def block_gzip_lines(spark, d):
     return spark.createDataFrame(list(enumerate(read)), "n long, line string").select("n", F.md5(F.col("line").cast("binary")).alias("line_md5"))
 
 
+_FILES = f"WITH x AS (SELECT concat('chr', l_partkey % 5) AS dest, l_orderkey * 8 + l_linenumber AS idx, {_SAM} AS sam FROM lineitem), f AS (SELECT dest, count(*)::BIGINT AS n, md5(string_agg(sam, chr(10) ORDER BY idx, sam)) AS body_md5 FROM x GROUP BY dest)"
+
+
+@query(f"{_FILES} SELECT kind, dest, n, body_md5 FROM f, (VALUES ('sam'), ('gz'), ('bam')) k(kind)")
+def files_by_destination(spark, d):
+    """Lines written to a file a destination, of each kind, and read back."""
+    x = sam_lines(spark, d).withColumn("rname", F.split("sam", "\t")[2]).withColumn("rnext", F.lit("="))
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("sam")
+    x = x.select(F.lit(0).cast("long").alias("chunk_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), F.row_number().over(order).alias("line"), "rname", "rnext", "sam")
+    rows = []
+    for kind in ("sam", "gz", "bam"):
+        folder = _local(spark, "files")
+        for path in sam.write_by_destination(x, folder, "@HD\tVN:1.6\n", [f"chr{i}" for i in range(5)], kind, discordant=False):
+            body = sam.read(path)[1:]
+            if body:
+                rows.append((kind, os.path.basename(path).split(".")[0], len(body), hashlib.md5("\n".join(body).encode()).hexdigest()))
+    return spark.createDataFrame(rows, "kind string, dest string, n long, body_md5 string")
+
+
 # -- the index ---------------------------------------------------------------------------------------------------------
 
 
