@@ -98,7 +98,8 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", tex
     each = F.lit(sample) / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy()))
     share = counts.select(F.col(lang).alias("_lang"), "_only", (each / F.col("_n")).alias("_share"))
     point = (F.xxhash64(F.lit(SEED), F.col(id_col)) % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003.0)
-    some = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), point.alias("_p"), long_.alias("_is_long")).join(share, "_lang").filter("_p < _share AND (_is_long OR NOT _only)")
+    # a row a language: texts aren't dealt out by language, of which one may hold most
+    some = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), point.alias("_p"), long_.alias("_is_long")).join(F.broadcast(share), "_lang").filter("_p < _share AND (_is_long OR NOT _only)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
