@@ -478,7 +478,9 @@ def placed(index: Index, q: np.ndarray, r: Region | None, o: Options, m) -> Alig
     if reverse:
         query, ref = query[::-1], ref[::-1]
     last = -(1 << 30)
-    for k in range(3):
+    # one gap that scores what the extension scored can't be beaten
+    score, cigar = kernels.one_gap(query, ref, m, o.open_del, o.ext_del, o.open_ins, o.ext_ins) if l_query != l_ref else (last, [])
+    for k in range(3 if score < r.true_score else 0):
         band = min(band, o.band << 2)
         if l_query == l_ref and band == 0:
             score, cigar = int(m[query, ref].sum()), [(0, l_query)]

@@ -242,6 +242,20 @@ def align_global(q: np.ndarray, t: np.ndarray, m: np.ndarray, o_del: int, e_del:
     return int(h[n]), ops[::-1]
 
 
+def one_gap(q: np.ndarray, t: np.ndarray, m: np.ndarray, o_del: int, e_del: int, o_ins: int, e_ins: int) -> tuple[int, list[tuple[int, int]]]:
+    """Score and CIGAR of the best alignment of two unequal lengths with one gap, leftmost among equals and inside both."""
+    n = min(len(q), len(t))
+    d = len(t) - len(q)
+    head = np.concatenate([[0], np.cumsum(m[t[:n], q[:n]])])
+    tail = np.concatenate([[0], np.cumsum(m[t[::-1][:n], q[::-1][:n]])])
+    total = head + tail[::-1]
+    k = 1 + int(total[1:n].argmax()) if n > 1 else 0
+    gap = o_del + e_del * d if d > 0 else o_ins - e_ins * d
+    if not 0 < k < n:
+        return LOW, []
+    return int(total[k]) - gap, [(0, k), (2, d) if d > 0 else (1, -d), (0, n - k)]
+
+
 def push(ops: list[tuple[int, int]], op: int, n: int) -> None:
     if ops and ops[-1][0] == op:
         ops[-1] = op, ops[-1][1] + n

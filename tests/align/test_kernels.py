@@ -114,3 +114,23 @@ def test_extensions_side_by_side(seed):
         for m, gaps in ((M, GAPS), (K.matrix(2, 3), (4, 2, 5, 1))):
             got = K.extend_many(tasks, m, *gaps, z)
             assert got == [K.extend(q, t, m, *gaps, band, bonus, z, start) for q, t, band, bonus, start in tasks]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_one_gap_where_it_is_enough(seed):
+    """Where one gap scores as much as any alignment, it is the one that the whole matrix gives."""
+    rnd = np.random.default_rng(seed)
+    met = 0
+    for _ in range(80):
+        t = rnd.integers(0, 4, int(rnd.integers(30, 110))).astype(np.uint8)
+        at, n = int(rnd.integers(8, len(t) - 16)), int(rnd.integers(1, 7))
+        q = np.delete(t, slice(at, at + n)) if rnd.random() < 0.5 else np.insert(t, at, rnd.integers(0, 4, n))
+        for k in rnd.integers(0, len(q), int(rnd.integers(0, 3))):
+            q[k] = rnd.integers(0, 4)
+        score, cigar = K.align_global(q, t, M, *GAPS, 40)
+        one = K.one_gap(q, t, M, *GAPS)
+        assert one[0] <= score
+        if one[0] == score:
+            met += 1
+            assert one[1] == cigar
+    assert met > 50
