@@ -13,13 +13,18 @@ from seqloom.operators import align
 from seqloom.options import Options
 from seqloom.storage import shared_dir
 
-READ, INSERT = 90, 160
+#: Bases of a read and of a fragment at least; steps between fragments, and variants of each.
+READ, INSERT, STEP, VARIANTS = 90, 160, 3, 20
 #: Letters, and the bases that stand for them.
 LETTERS = "abcdefghijklmnopqrstuvwxyz", "ACGTTGCAGTCACTGATCGACGTACG"
 MAP = f"translate(regexp_replace(lower(text), '[^a-z]', ''), '{LETTERS[0]}', '{LETTERS[1]}')"
 INDEX_SQL = f"c AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS[0]}', '{LETTERS[1]}') AS seq FROM benchmark WHERE text IS NOT NULL)"
-#: The pairs that ``planted`` makes, as SQL: p.
-PLANTED_SQL = f"""{INDEX_SQL}, p AS (SELECT item_id, p0, (item_id * 100000 + p0)::BIGINT AS pair_idx, least({INSERT} + (item_id + p0) % 9, length(seq) - p0) AS size, 20 + item_id % 50 AS hit, seq FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {INSERT}, 17)) AS p0 FROM c WHERE length(seq) >= {INSERT} + 20))"""
+
+
+def planted_sql(variants: int = VARIANTS) -> str:
+    """The pairs that ``planted`` makes: p."""
+    return f"""{INDEX_SQL}, o AS (SELECT item_id, seq, unnest(range(0, length(seq) - {INSERT}, {STEP})) AS p0 FROM c WHERE length(seq) >= {INSERT} + 20),
+p AS (SELECT item_id, p0, ((item_id * 10000 + p0) * 100 + v)::BIGINT AS pair_idx, least({INSERT} + (item_id + p0) % 9, length(seq) - p0) AS size, 20 + (item_id + 7 * v) % 50 AS hit, seq FROM o, range({variants}) t(v))"""
 
 
 def indexed(spark: SparkSession, d: str) -> str:
@@ -30,15 +35,16 @@ def indexed(spark: SparkSession, d: str) -> str:
     return path
 
 
-def planted(spark: SparkSession, d: str) -> DataFrame:
+def planted(spark: SparkSession, d: str, variants: int = VARIANTS) -> DataFrame:
     """Pairs from every passage long enough: the first mate forward, the second from the other strand, each with a
-    substitution at a place given by the passage's number. origin: the bases before it."""
+    substitution at a place given by the passage's number and the variant's. origin: the bases without it."""
     p = spark.read.parquet(f"{d}/benchmark.parquet").filter("text IS NOT NULL").selectExpr("item_id", f"{MAP} AS seq").filter(F.length("seq") >= INSERT + 20)
-    p = p.select("item_id", "seq", F.explode(F.expr(f"sequence(0, length(seq) - {INSERT} - 1, 17)")).alias("at"))
+    p = p.select("item_id", "seq", F.explode(F.expr(f"sequence(0, length(seq) - {INSERT} - 1, {STEP})")).alias("at"))
     p = p.withColumn("frag", F.expr(f"substring(seq, at + 1, {INSERT} + pmod(item_id + at, 9))"))
     p = p.withColumn("a", F.expr(f"substring(frag, 1, {READ})")).withColumn("b", F.expr(f"substring(reverse(translate(frag, 'ACGT', 'TGCA')), 1, {READ})"))
-    hit = lambda c: F.expr(f"concat(substring({c}, 1, 20 + pmod(item_id, 50)), translate(substring({c}, 21 + pmod(item_id, 50), 1), 'ACGT', 'CGTA'), substring({c}, 22 + pmod(item_id, 50)))")
-    p = p.withColumn("pair_idx", F.expr("item_id * 100000 + at"))
+    p = p.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(variants - 1)))).withColumn("hit", F.expr("int(20 + pmod(item_id + 7 * v, 50))"))
+    hit = lambda c: F.expr(f"concat(substring({c}, 1, hit), translate(substring({c}, hit + 1, 1), 'ACGT', 'CGTA'), substring({c}, hit + 2))")
+    p = p.withColumn("pair_idx", F.expr("(item_id * 10000 + at) * 100 + v"))
     name = F.concat(F.lit("r"), F.col("pair_idx"))
     row = lambda k, c: F.struct(F.lit(k).alias("mate"), hit(c).alias("seq"), F.col(c).alias("origin"))
     x = p.select("item_id", "at", "pair_idx", name.alias("name"), F.explode(F.array(row(0, "a"), row(1, "b"))).alias("r"))
@@ -56,7 +62,7 @@ def fields(lines: DataFrame, *more: str) -> DataFrame:
 _TURN = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _READ = f"substr({{0}}, 1, hit) || translate(substr({{0}}, hit + 1, 1), 'ACGT', 'CGTA') || substr({{0}}, hit + 2, {READ} - hit - 1)"
 #: Where the substitution stands on the forward strand, and the lines of both mates.
-_MATES = f"""{PLANTED_SQL}, r AS (SELECT *, substr(seq, p0 + 1, size) AS frag FROM p),
+_MATES = f"""{planted_sql()}, r AS (SELECT *, substr(seq, p0 + 1, size) AS frag FROM p),
 m AS (SELECT *, substr(frag, 1, {READ}) AS a, substr({_TURN.format('frag')}, 1, {READ}) AS b FROM r),
 l AS (SELECT pair_idx, item_id, size, p0 + 1 AS p1, p0 + size - {READ} + 1 AS p2, hit, {_READ.format('a')} AS s1, {_TURN.format('(' + _READ.format('b') + ')')} AS s2, substr(a, hit + 1, 1) AS r1, translate(substr(b, hit + 1, 1), 'ACGT', 'TGCA') AS r2 FROM m)"""
 

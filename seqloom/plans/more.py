@@ -18,7 +18,7 @@ from seqloom.operators import chunking, insert_size, intervals, kernels, mates,
 from seqloom.operators.batch import Batch, Seeder
 from seqloom.options import Options
 from seqloom.plans import catalog as C
-from seqloom.plans.align_queries import INDEX_SQL, LETTERS, MAP, indexed, planted, PLANTED_SQL, READ
+from seqloom.plans.align_queries import INDEX_SQL, LETTERS, MAP, indexed, planted, planted_sql, READ
 from seqloom.sinks import bgzf, sam
 from seqloom.sources import fastq
 from seqloom.storage import shared_dir
@@ -554,10 +554,10 @@ def index_lookup(spark, d):
 # -- kernels and alignments of reads whose place is known --------------------------------------------------------------
 
 
-@query(f"""WITH {PLANTED_SQL}, s AS (SELECT pair_idx, hit FROM p) SELECT pair_idx, ({READ} - 5 + 7)::INTEGER AS extended, ({READ} - 5 + 7)::INTEGER AS whole, ({READ} - 5)::INTEGER AS across, '{READ}M' AS cigar, greatest({READ} - 5, hit, {READ} - 1 - hit)::INTEGER AS local FROM s""")
+@query(f"""WITH {planted_sql(1)}, s AS (SELECT pair_idx, hit FROM p) SELECT pair_idx, ({READ} - 5 + 7)::INTEGER AS extended, ({READ} - 5 + 7)::INTEGER AS whole, ({READ} - 5)::INTEGER AS across, '{READ}M' AS cigar, greatest({READ} - 5, hit, {READ} - 1 - hit)::INTEGER AS local FROM s""")
 def kernel_scores(spark, d):
     """A read with one substitution against its own place: extension from a score of 7, to the end, across, and local."""
-    x = planted(spark, d).filter("mate = 0").select("pair_idx", "seq", "origin")
+    x = planted(spark, d, 1).filter("mate = 0").select("pair_idx", "seq", "origin")
 
     def run(batches):
         m = kernels.matrix(1, 4)
