@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives; SQL expressions only.
 
 Candidates are what CANDIDATE matches: keys with a known prefix, private keys in PEM form as a whole, values assigned to a
-telling name (whatever comes before it in a longer name), passwords in URLs, long tokens with a digit, very long ones without,
+telling name (whatever comes before it in a longer name), passwords in URLs, long tokens with a digit (but in data URLs), very long ones without,
 and long last parts of paths. Each candidate is described by its length, its character transitions (changes between lower case,
 upper case, digits and signs, and the share of different characters), how much of it dictionary words cover, signs of a path, and
 the words beside it. A random forest, trained from labelled findings, gives the share of its trees' leaves for a secret.
@@ -48,7 +48,8 @@ KEYS = (
     r"|https://(?:hooks\.[a-z.]{3,40}/[A-Za-z0-9/_-]{20,}|[a-z.]{3,40}/api/webhooks/[A-Za-z0-9/_-]{20,})"
 )
 KNOWN = KEYS + "|" + PEM
-TOKEN = r"(?<![A-Za-z\u00c0-\u024f0-9+/_=.-])(?:(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}|[A-Za-z0-9+/_-]{36,}+(?![\u00c0-\u024f]))={0,2}|(?<=/)(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9_/.-])"
+#: What a data URL holds is an image or a font, not a token.
+TOKEN = r"(?<!;base64,)(?<![A-Za-z\u00c0-\u024f0-9+/_=.-])(?:(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}|[A-Za-z0-9+/_-]{36,}+(?![\u00c0-\u024f]))={0,2}|(?<=/)(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9_/.-])"
 BEFORE = "(?:" + ASSIGNED + "|" + USER + ")"
 CANDIDATE = "(?:" + PEM + "|(?<![A-Za-z0-9])(?:" + KEYS + ")|" + ASSIGNED + "(?:" + PEM + r"|[^\s\x22\x27<>,;]{6,})|" + LOGIN + r"[^\s/@\x22\x27]{3,128}|" + TOKEN + ")"
 #: Words that secrets don't hold, and words that tell of something else beside a token.
