@@ -100,9 +100,9 @@ def variable(reads: DataFrame, ordinal: str, bases: str, most: int) -> DataFrame
 
     told = spark.createDataFrame(entries, "part long, brought long, chunk long")
     starts = cut(index.join(told, "part").groupBy("part").applyInArrow(begins, "chunk_id bigint, first bigint"))
-    end = index.agg(F.max("o").alias("end"))
+    end = index.agg(F.max("o")).first()[0]
     following = starts.select((F.col("chunk_id") - 1).alias("chunk_id"), (F.col("first") - 1).alias("last"))
-    spans = starts.join(following, "chunk_id", "left").join(F.broadcast(end)).select("chunk_id", "first", F.coalesce("last", "end").alias("last"))
+    spans = starts.join(following, "chunk_id", "left").select("chunk_id", "first", F.coalesce("last", F.lit(end).cast("long")).alias("last"))
     # a chunk has about most / mean length reads: ranges of that width make the join an equality
     width = 256
     marks = spans.withColumn("_w", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"last div {width}"))))

@@ -239,8 +239,8 @@ def best_hit_topk(spark, d):
 @query(f"WITH {_CONTIGS}, p AS (SELECT l_orderkey, l_linenumber, ((l_partkey * 7919 + l_suppkey) % (SELECT sum(len) FROM c))::BIGINT AS pos FROM lineitem) SELECT l_orderkey, l_linenumber, item_id, (pos - off)::BIGINT AS at FROM p JOIN c ON pos >= off AND pos < off + len")
 def pos_to_contig(spark, d):
     c = contigs(spark, d).select("item_id", "off", "len")
-    total = c.agg(F.sum("len").alias("total"))
-    p = table(spark, d, "lineitem").crossJoin(F.broadcast(total)).selectExpr("l_orderkey", "l_linenumber", "bigint((l_partkey * 7919 + l_suppkey) % total) AS pos")
+    total = c.agg(F.sum("len")).first()[0] or 1
+    p = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"bigint((l_partkey * 7919 + l_suppkey) % {total}) AS pos")
     return intervals.locate(p, "pos", c, "off", "len").select("l_orderkey", "l_linenumber", "item_id", (F.col("pos") - F.col("off")).alias("at"))
 
 
