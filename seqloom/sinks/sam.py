@@ -7,6 +7,9 @@ with these the parts' places in the files are known, and tasks copy them there.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
+import itertools
 import os
 import shutil
 import uuid
@@ -115,8 +118,33 @@ def write_by_destination(lines: DataFrame, folder: str, header: str, contigs: li
     return list(paths.values())
 
 
-def read(path: str) -> list[str]:
-    """The lines of a file of any kind."""
+def lines_of(path: str) -> Iterator[str]:
+    """The lines of a file of any kind, one at a time; only a line feed ends a line."""
     with open(path, "rb") as f:
-        raw = f.read()
-    return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines()
+        packed = f.read(2) == b"\x1f\x8b"
+        f.seek(0)
+        with io.TextIOWrapper(gzip.GzipFile(fileobj=f) if packed else f, encoding="utf-8", newline="\n") as t:
+            for line in t:
+                yield line.removesuffix("\n")
+
+
+def read(path: str) -> list[str]:
+    """The lines of a file of any kind, all at once."""
+    return list(lines_of(path))
+
+
+def digests(spark, paths: list[str], skip: int = 0) -> DataFrame:
+    """path, n, body_md5: the number of lines of each file but the first ``skip``, and the MD5 of these with line feeds between.
+    A task reads a file line by line, so neither it nor the driver holds one. The paths are in a folder that all executors see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                n, md5 = 0, hashlib.md5()
+                for line in itertools.islice(lines_of(path), skip, None):
+                    md5.update(("\n" + line if n else line).encode())
+                    n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([md5.hexdigest()])], names=["path", "n", "body_md5"])
+
+    d = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return d.mapInArrow(run, "path string, n long, body_md5 string")

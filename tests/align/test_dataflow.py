@@ -1,10 +1,13 @@
 import gzip
+import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import chunking, insert_size, intervals, ordinals, routing, seeding
+from seqloom.plans import more
 from seqloom.sinks import bgzf, sam
 from seqloom.sources import fastq
 
@@ -147,3 +150,25 @@ def test_sinks(spark, tmp_path):
     assert len(lines["unmapped"]) == sum(r[3] == "*" for r in rows)
     assert len(lines["discordant"]) == sum(r[3] != "*" and r[4] not in ("*", "=", r[3]) for r in rows)
     assert gzip.decompress(open(out[0], "rb").read())
+
+
+@pytest.mark.parametrize("kind", ["sam", "gz", "bam"])
+def test_files_are_read_a_line_at_a_time(spark, tmp_path, kind):
+    line = "x" * 200
+    d = spark.range(40000).selectExpr("0L AS chunk_id", "id AS idx", "0 AS line", f"concat(id, ' {line}') AS sam")
+    p = str(tmp_path / f"o.{kind}")
+    sam.write(d, p, "@CO\tx\n", kind)
+    tracemalloc.start()
+    got = sam.digests(spark, [p], skip=1).first()
+    most = tracemalloc.get_traced_memory()[1]
+    n = sum(1 for _ in sam.lines_of(p))
+    most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    want = hashlib.md5("\n".join(f"{i} {line}" for i in range(40000)).encode()).hexdigest()
+    assert (got.n, got.body_md5, n) == (40000, want, 40001) and most < 2_000_000
+
+
+def test_files_by_destination_holds_no_file_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(sam, "read", lambda path: pytest.fail("a whole file in the driver"))
+    rows = more.files_by_destination(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 15 and len({(r.dest, r.n, r.body_md5) for r in rows}) == 5
