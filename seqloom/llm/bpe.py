@@ -20,6 +20,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ from seqloom.llm.common import bounded_batches, table, tidied
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens that a Python worker remembers; more are encoded again.
 REMEMBERED = 250_000
+#: Pretokens that are merged together; a pair's places are merged in numpy from so many on.
+TOGETHER, LONG = 60_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -56,8 +59,14 @@ class Bpe:
             born[new] = r
             self.rank[pair] = r
             self.made.append(new)
+        self.pairs = list(self.rank)
+        self.ids_of_bytes, self.base = np.array(self.byte_id, np.int32), max(vocab.values()) + 1
+        keys = np.array([a * self.base + b for a, b in self.pairs], np.int64)
+        self.key_ranks = np.argsort(keys)
+        self.keys = keys[self.key_ranks]
         byte_of = {s: b for b, s in enumerate(symbols)}
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
+        self.text_of = {i: str(i) for i in vocab.values()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -65,64 +74,93 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each pretoken, all merged together by the pair index."""
-        rank, made, byte_id = self.rank, self.made, self.byte_id
-        symbol: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            starts.append(len(symbol))
-            symbol.extend(map(byte_id.__getitem__, w.encode("utf-8", "surrogatepass")))
-            symbol.append(-1)  # no pair reaches over it
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, made, pairs = self.rank, self.made, self.pairs
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+        # a -1 stands before the first word and after each one; no pair reaches over it
+        places_ = np.arange(1, len(flat) + 1, dtype=np.int32) + np.repeat(np.arange(len(raw), dtype=np.int32), list(map(len, raw)))
+        n = len(flat) + len(raw) + 1
+        symbols = np.full(n, -1, np.int32)
+        symbols[places_] = self.ids_of_bytes[flat]
+        afters, befores = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        # long lists of places are merged in numpy, short ones place by place, in the same memory
+        symbol, after, before = memoryview(symbols), memoryview(afters), memoryview(befores)
         where: dict[int, list[int]] = {}
-        for i, r in enumerate(map(rank.get, zip(symbol, symbol[1:]))):
-            if r is not None:
-                if r in where:
-                    where[r].append(i)
+        active: list[int] = []
+
+        def put(ranks: np.ndarray, at: np.ndarray) -> None:
+            some = np.flatnonzero(ranks >= 0)
+            order = some[np.argsort(ranks[some], kind="stable")]
+            ranks, at = ranks[order], at[order].tolist()
+            cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(at)]
+            for q, x, y in zip(ranks[cuts].tolist(), cuts.tolist(), ends):
+                if q in where:
+                    where[q] += at[x:y]
                 else:
-                    where[r] = [i]
-        pairs = {r: p for p, r in rank.items()} if not hasattr(self, "_pairs") else self._pairs
-        self._pairs = pairs
-        active = list(where)
-        heapq.heapify(active)
+                    where[q] = at[x:y]
+                    heapq.heappush(active, q)
+
+        beside = np.diff(places_) == 1
+        put(self.ranks_of(symbols[places_[:-1]][beside], symbols[places_[1:]][beside]), places_[:-1][beside])
         while active:
             r = heapq.heappop(active)
             a, b = pairs[r]
             new = made[r]
             places = where.pop(r)
+            if len(places) >= LONG:
+                i = np.sort(np.array(places, np.int32))
+                i = i[(np.diff(i, prepend=-1) > 0) & (symbols[i] == a)]
+                j = afters[i]
+                fits = symbols[j] == b
+                i, j = i[fits], j[fits]
+                if a == b and len(i):
+                    # of places that overlap, every other one from the left
+                    at = np.arange(len(i))
+                    first = np.maximum.accumulate(np.where(np.append(True, j[:-1] != i[1:]), at, 0))
+                    fits = (at - first) % 2 == 0
+                    i, j = i[fits], j[fits]
+                symbols[i], symbols[j] = new, -2  # -2: taken
+                k = afters[j]
+                afters[i], befores[k] = k, i
+                h, news = befores[i], np.full(len(i), new, np.int32)
+                put(self.ranks_of(np.concatenate([symbols[h], news]), np.concatenate([news, symbols[k]])), np.concatenate([h, i]))
+                continue
             places.sort()
             for i in places:
                 if symbol[i] != a:
                     continue
                 j = after[i]
-                if j >= n or symbol[j] != b:
+                if symbol[j] != b:
                     continue
-                symbol[i], symbol[j] = new, -2  # -2: taken
+                symbol[i], symbol[j] = new, -2
                 k = after[j]
                 after[i] = k
-                if k < n:
-                    before[k] = i
-                    if (x := symbol[k]) >= 0 and (q := rank.get((new, x))) is not None:
-                        if q in where:
-                            where[q].append(i)
-                        else:
-                            where[q] = [i]
-                            heapq.heappush(active, q)
+                before[k] = i
+                if (x := symbol[k]) >= 0 and (q := rank.get((new, x))) is not None:
+                    if q in where:
+                        where[q].append(i)
+                    else:
+                        where[q] = [i]
+                        heapq.heappush(active, q)
                 h = before[i]
-                if h >= 0 and (x := symbol[h]) >= 0 and (q := rank.get((x, new))) is not None:
+                if (x := symbol[h]) >= 0 and (q := rank.get((x, new))) is not None:
                     if q in where:
                         where[q].append(h)
                     else:
                         where[q] = [h]
                         heapq.heappush(active, q)
-        out = []
-        for i in starts:
-            ids = []
-            while (s := symbol[i]) >= 0:
-                ids.append(s)
-                i = after[i]
-            out.append(ids)
-        return out
+        left = symbols[1:][symbols[1:] != -2]
+        ends, ids = np.flatnonzero(left < 0).tolist(), left.tolist()
+        return [ids[x:y] for x, y in zip([0, *(e + 1 for e in ends)], ends)]
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, or -1."""
+        if not len(self.keys):
+            return np.full(len(a), -1)
+        key = a.astype(np.int64) * self.base + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.key_ranks[at], -1)
 
     def pretokens(self, text: str) -> list[str]:
         """Pretokens in order; a special token is one of them."""
@@ -168,11 +206,13 @@ def learn(bpe: Bpe, path: str, texts: list[list[str]]) -> _Known:
         known.ids = {w: x for w, x in known.ids.items() if w in held} | known.special
         known.odd = {w: x for w, x in known.odd.items() if w in held}
     new = [w for w in held if w not in known.ids]
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for w, ids in zip(some, bpe.encode_words(some)):
-            known.ids[w] = ",".join(map(str, ids))
-            decoded = b"".join([bpe.bytes_of[i] for i in ids])
+    bytes_of, text_of = bpe.bytes_of, bpe.text_of
+    for at in range(0, len(new), TOGETHER):
+        some = new[at : at + TOGETHER]
+        encoded = bpe.encode_words(some)
+        known.ids.update(zip(some, [",".join([text_of[i] for i in ids]) for ids in encoded]))
+        for w, ids in zip(some, encoded):
+            decoded = b"".join([bytes_of[i] for i in ids])
             if decoded != w.encode("utf-8", "surrogatepass"):
                 known.odd[w] = decoded
     return known

@@ -59,3 +59,13 @@ def test_empty_table_and_repeats(spark):
     assert bpe.encode(e).collect() == []
     two = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert len(bpe.encode(two).collect()) == 2
+
+
+@pytest.mark.parametrize("long", [1, 3, 1 << 30])
+def test_merges_of_long_lists_as_place_by_place(model, library, monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long)
+    # pairs of one symbol that overlap, in words of even and odd lengths, beside each other and repeated
+    words = sorted({w for t in texts() for w in model.pretokens(t) if w not in model.special} | {"a" * n for n in range(1, 40)} | {"ab" * n + "b" for n in range(9)} | {" " * n for n in range(1, 30)})
+    words += words[:50]
+    assert model.encode_words(words) == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert model.encode_words([]) == []
