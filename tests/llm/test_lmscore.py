@@ -1,10 +1,12 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import lmscore
@@ -231,3 +233,24 @@ def test_kinds_of_words_agree():
     np.add.at(want, (row[column >= 0], column[column >= 0]), 1)
     assert (counts == want).all() and counts.sum() == 9
     assert n[ord("t")] == 6 and n[ord("c")] == 1 and n[ord("C")] == 0 and n[lmscore.LINE] == 5
+
+
+def test_words_of_texts_are_stored_in_few_bytes(spark):
+    rnd = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i:x}" for i in range(20000)])
+    texts = [" ".join(vocabulary[np.minimum(rnd.zipf(1.2, 400), 20000) - 1]) for _ in range(300)]
+    d = spark.createDataFrame([(i, i % 7 == 2, t) for i, t in enumerate(texts)], "id long, held_out boolean, _text string").coalesce(1)
+    model, n_bytes = lmscore.fitted(d.filter("NOT held_out").select("_text"))
+    rows = lmscore.spelling(d, spark.sparkContext.broadcast(model), 1).filter(f"kind = {lmscore.TEXTS}").collect()
+    n, stored = 0, 0
+    for r in rows:
+        _, token, *_ = pickle.loads(r.payload)
+        n, stored = n + len(texts) * 401, stored + len(token)
+    assert len(rows) == 1 and stored < 1.5 * n
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_rising_numbers_come_back(kind):
+    rnd = np.random.default_rng(1)
+    for x in (np.zeros(0, kind), np.array([np.iinfo(kind).max, 0, 5, 5, 3], kind), np.sort(rnd.integers(0, np.iinfo(kind).max, 1000, dtype=kind))):
+        assert (lmscore._unpack_rising(lmscore._pack_rising(x), kind) == x).all()
