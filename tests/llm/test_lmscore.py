@@ -222,6 +222,36 @@ def test_words_of_slices():
         assert [one.words[i] for i in one.token.tolist()] == want
 
 
+def test_words_are_spelled_without_an_object_each():
+    texts = pa.array(["a  b\tC", None, "", " x\x0by ", "é\xa0z", "longer text with words", " "] * 5)
+    _, counts = lmscore.kind_counts(texts)
+    for some in (texts, texts.slice(3), texts.slice(2, 1), texts.slice(0, 0)):
+        one = lmscore.Batch(some, lmscore.Topics(counts[:6]))
+        flat, at, length, _ = one.flat
+        lmscore.stretches(one)
+        one.counts()
+        assert "words" not in vars(one)
+        assert flat.tobytes() == b"".join(w + b" " for w in one.words) and len(one.counts()) == len(one.words)
+        assert [flat[a : a + n].tobytes() for a, n in zip(at, length)] == one.words
+
+
+def test_states_against_sums_text_by_text():
+    rnd = random.Random(7)
+    texts = [None if i == 3 else " ".join(rnd.choice(["the", "of", "der", "und", "le", "toolong", "x"]) for _ in range(rnd.randrange(0, 12))) for i in range(40)]
+    counts = np.random.default_rng(2).integers(0, 9, (5, 1 << lmscore.KIND_BITS)).astype(np.float32)
+    topics = lmscore.Topics(counts)
+    b = lmscore.Batch(texts, None)
+    column = lmscore._kind_words(b)[b.token]
+    want = []
+    for start, n in zip(b.start, b.size):
+        told, seen = np.zeros(topics.told.shape[1]), False
+        for i in range(start, start + n):
+            want.append(1 + int(told.argmax()) if seen else 0)
+            if column[i] >= 0:
+                told, seen = told + topics.told[column[i]], True
+    assert topics.states(b).tolist() == want
+
+
 def test_kinds_of_words_agree():
     """Short words count in one column, whether they are found in texts or among tokens; bytes are those that are spelled."""
     texts = ["the Cat  sat\ton", None, "", " é a toolong ab\n", "the the"]
